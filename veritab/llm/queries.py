@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from . import shared
 from .minhash import op1_minhash_dedup
+from .suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op1_minhash_dedup": lambda spark, sf_dir: op1_minhash_dedup(shared.table(spark, sf_dir, "documents")),
+    "op4_suffix_dedup": lambda spark, sf_dir: op4_suffix_dedup(shared.table(spark, sf_dir, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
