@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from . import shared
 from .minhash import op1_minhash_dedup
+from .packing import op9_packing
 from .suffix_dedup import op4_suffix_dedup
 
+
+def _over(table: str, operator):
+    return lambda spark, sf_dir: operator(shared.table(spark, sf_dir, table))
+
+
 QUERIES = {
-    "op1_minhash_dedup": lambda spark, sf_dir: op1_minhash_dedup(shared.table(spark, sf_dir, "documents")),
-    "op4_suffix_dedup": lambda spark, sf_dir: op4_suffix_dedup(shared.table(spark, sf_dir, "documents")),
+    "op1_minhash_dedup": _over("documents", op1_minhash_dedup),
+    "op4_suffix_dedup": _over("documents", op4_suffix_dedup),
+    "op9_packing": _over("documents", op9_packing),
 }
 
 ORACLE_SQL: dict[str, str] = {}
