@@ -9,9 +9,10 @@ Steps: (1) sketch every text, collapse equal sets; (2) hash bands of registers,
 the buckets with two members or more; (3) pair each member with two of its buckets' centres;
 the joint likelihood of (K_u > K_v, K_u < K_v, K_u = K_v) with known set sizes drops
 pairs for which the threshold is out of reach; (4) the full sets decide; (5) connected
-components; (6) what still shares a bucket without sharing a component is paired,
-judged alike, and joined to the components.  Buckets are never expanded into all pairs:
-pairs within a component are settled already.
+components; (6) what still shares a bucket without sharing a component is compared by
+sketch within the bucket, and each member's likeliest partners in other components go
+through (4) and (5), ever more of them, until no untried pair is likely.  Pairs within
+a component are settled and never made.
 """
 
 from __future__ import annotations
@@ -25,14 +26,14 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .shared import clashing, materialize
+from .shared import clashing, materialize, parallelism
 
 #: Sketch scale: b close to 1 makes agreement track similarity; rate a and q cover sets of 1 to 1e18 items.
 BASE = 1.001
 RATE = 20.0
 LIMIT = 65534
 #: Log-likelihood by which the best similarity may beat the threshold before a pair is dropped unseen.
-MARGIN = 12.0
+MARGIN = 9.0
 
 
 def _multipliers(m: int) -> np.ndarray:
@@ -145,6 +146,44 @@ def _estimated(pairs: DataFrame, reps: DataFrame, m: int, threshold: float) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
+def _across(placed: DataFrame, best: int, m: int, threshold: float) -> DataFrame:
+    """The likeliest untried pairs (a, b) of members of one bucket in different components: for each member and component the best so many."""
+
+    def pairs(ids, n, c, grid, tried):
+        _, group, size = np.unique(c, return_inverse=True, return_counts=True)
+        largest = int(size.argmax())
+        for i in np.flatnonzero(group != largest).tolist():
+            # a pair of two smaller components is met from the side of the smaller number
+            j = np.flatnonzero((group == largest) | (group > group[i]))
+            j = j[~np.isin(ids[j], tried[i])] if tried[i] else j
+            if len(j):
+                j = j[likely(np.full(len(j), n[i]), n[j], (grid[i] > grid[j]).sum(axis=1), (grid[i] < grid[j]).sum(axis=1), m, threshold)]
+            if len(j):
+                same = (grid[j] == grid[i]).sum(axis=1)
+                order = np.lexsort((ids[j], -same, group[j]))
+                j = j[order]
+                lead = np.flatnonzero(np.append(True, group[j][1:] != group[j][:-1]))
+                rank = np.arange(len(j)) - np.repeat(lead, np.diff(np.append(lead, len(j))))
+                for y in ids[j[rank < best]].tolist():
+                    yield (min(y, int(ids[i])), max(y, int(ids[i])))
+
+    def run(batches):
+        for part in tb.whole_keys(batches, 0):
+            part = part.combine_chunks()
+            bucket, ids, n, c = (part.column(k).to_numpy() for k in range(4))
+            grid = tb.buffers(part.column(4))[0].view(np.uint16).reshape(-1, m)
+            tried = part.column(5).to_pylist()
+            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(bucket)]
+            found = set()
+            for x, y in zip(edge[:-1], edge[1:], strict=True):
+                found.update(pairs(ids[x:y], n[x:y].astype(float), c[x:y], grid[x:y], tried[x:y]))
+            found = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    placed = placed.select("bucket", "id", "n", "c", "sketch", "tried").repartition(parallelism(placed.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return placed.mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
 
@@ -198,19 +237,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     edges = materialize(_verified(first, docs, words, percent), "links")
     groups = materialize(components(edges), "groups")
 
-    placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
-    open_ = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("bucket")
-    placed = materialize(placed.join(open_, "bucket", "left_semi"), "open")
-    if not placed.isEmpty():
-        left, right = (placed.select("bucket", *(F.col(c).alias(f"{c}{k}") for c in ("id", "n", "c"))) for k in (1, 2))
-        ratio = (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-        rest = left.join(right, (left.bucket == right.bucket) & (F.col("id1") < F.col("id2")) & (F.col("c1") != F.col("c2")) & ratio)
-        rest = rest.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-        rest = materialize(_estimated(rest, reps, m, threshold), "pairs")
+    tried, best = first, 2
+    while True:
+        placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+        open_ = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("bucket")
+        placed = placed.join(open_, "bucket", "left_semi")
+        past = tried.select("a", "b").union(tried.select("b", "a")).groupBy("a").agg(F.collect_list("b").alias("tried")).withColumnRenamed("a", "id")
+        rest = materialize(_across(placed.join(reps.select("id", "n", "sketch"), "id").join(past, "id", "left"), best, m, threshold), "pairs")
+        if rest.isEmpty():
+            break
         more = materialize(_verified(rest, docs, words, percent), "links")
         if not more.isEmpty():
             stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
             groups = materialize(components(stars.union(more)), "groups")
+        tried, best = materialize(tried.union(rest), "tried"), 4 * best
 
     named = reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", F.col("n").alias("n_"), F.coalesce("component", "id").alias("component"))
     out = all_sketches.select("id", "n", "f1", "f2").join(named.withColumnRenamed("n_", "n"), ["f1", "f2", "n"], "left")

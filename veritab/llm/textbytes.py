@@ -105,3 +105,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[:-1] = inside[1:]
     end = np.flatnonzero(inside & (~after | cut[1:])) + 1
     return start, end, np.searchsorted(offsets, start, side="right") - 1
+
+
+def whole_keys(batches, key: int):
+    """Batches recut so that rows of one key, which follow each other, are never parted."""
+    rest = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        keys = part.column(key).to_numpy()
+        if not len(keys):
+            continue
+        cut = int(np.searchsorted(-(keys != keys[-1]).astype(np.int8), 0)) if keys[0] != keys[-1] else 0
+        if cut:
+            yield part.slice(0, cut)
+        rest = part.slice(cut)
+    if rest is not None and len(rest):
+        yield rest
