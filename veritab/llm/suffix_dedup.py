@@ -107,7 +107,7 @@ def _parsed(batch: pa.RecordBatch, length: int):
     """The phrases of one batch of (doc_id, text) as columns doc_id, first, last, trigger, key, phrase, and the chunk-wise window hasher."""
     ids = batch.column(0).to_numpy()
     data, offsets = tb.buffers(batch.column(1))
-    for f, to in tb.chunks(offsets):
+    for f, to in tb.chunks(offsets, 1 << 18):
         found = _phrases(data[offsets[f] : offsets[to]], offsets[f : to + 1] - offsets[f], length)
         if found:
             d, a, b, t, key, phrase, prefix, base = found
@@ -165,27 +165,11 @@ def _dictionary(docs: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
     return docs.mapInArrow(run, _MAPPED)
 
 
-def _whole_keys(batches, key: int):
-    """Batches recut so that rows of one key, which follow each other, are never parted."""
-    rest = None
-    for batch in batches:
-        part = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        keys = part.column(key).to_numpy()
-        if not len(keys):
-            continue
-        cut = int(np.searchsorted(-(keys != keys[-1]).astype(np.int8), 0)) if keys[0] != keys[-1] else 0
-        if cut:
-            yield part.slice(0, cut)
-        rest = part.slice(cut)
-    if rest is not None and len(rest):
-        yield rest
-
-
 def _settle(rows: DataFrame, length: int) -> DataFrame:
     """Kind 1: spans that repeat.  Kind 0: one of each different phrase that shares its trigger string with others."""
 
     def run(batches):
-        for part in _whole_keys(batches, 1):
+        for part in tb.whole_keys(batches, 1):
             kind, key, phrase, doc, first, last, at = (c.to_numpy() for c in part.columns)
             spans = kind == 1
             yield _batch(1, *(x[spans] for x in (key, phrase, doc, first, last, at)))
@@ -259,7 +243,7 @@ def _ordered(phrases: DataFrame, length: int) -> DataFrame:
     """Spans of the windows of open phrases that stand earlier in another one."""
 
     def run(batches):
-        for part in _whole_keys(batches, 0):
+        for part in tb.whole_keys(batches, 0):
             key, doc, first, last, at = (part.column(k).to_numpy() for k in range(5))
             order = np.lexsort((at, doc))
             key, doc, first, last, at = (x[order] for x in (key, doc, first, last, at))
