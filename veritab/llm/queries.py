@@ -6,6 +6,7 @@ from . import shared
 from .bpe import op8_bpe
 from .minhash import op1_minhash_dedup
 from .packing import op9_packing
+from .quality_classifier import op6_quality_classifier
 from .quality_rules import op3_quality_rules
 from .suffix_dedup import op4_suffix_dedup
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op1_minhash_dedup": _over("documents", op1_minhash_dedup),
     "op3_quality_rules": _over("documents", op3_quality_rules),
     "op4_suffix_dedup": _over("documents", op4_suffix_dedup),
+    "op6_quality_classifier": _over("documents", op6_quality_classifier),
     "op8_bpe": _over("documents", op8_bpe),
     "op9_packing": _over("documents", op9_packing),
 }
