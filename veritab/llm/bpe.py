@@ -56,11 +56,7 @@ def _split_batches(docs: DataFrame, buckets: int) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            everything, all_offsets = tb.buffers(batch.column(1))
-            for f, to in tb.chunks(all_offsets, pretokens.CHUNK):
-                data, offsets = everything[all_offsets[f] : all_offsets[to]], all_offsets[f : to + 1] - all_offsets[f]
-                start, end, doc = pretokens.split(data, offsets)
-                hashes, one, which = pretokens.distinct(data, start, end)
+            for f, to, data, start, end, doc, hashes, one, which in pretokens.distinct(batch.column(1)):
                 raw = data.tobytes()
                 lengths = (end - start)[one].astype(np.uint32)
                 found = [raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]

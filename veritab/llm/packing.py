@@ -23,6 +23,8 @@ from .shared import clashing, materialize, parallelism
 
 DIMS, BITS = 3, 10
 SPECIAL = "<|endoftext|>"
+#: Bytes of text in hand at a time, and words whose ids a worker remembers.
+CHUNK, KNOWN = 2 << 20, 200_000
 
 
 def hilbert(points: np.ndarray) -> np.ndarray:
@@ -73,15 +75,19 @@ def tokenized(docs: DataFrame, json_path: str, ranks_path: str, pattern: str) ->
     def run(batches):
         word_ids = pretokens.encoder(ranks_path, pattern)
         special, special_id = _special(json_path)
+        known: dict[bytes, list[int]] = {}
         for batch in batches:
-            everything, all_offsets = tb.buffers(batch.column(1))
-            for f, to in tb.chunks(all_offsets, pretokens.CHUNK):
-                data, offsets = everything[all_offsets[f] : all_offsets[to]], all_offsets[f : to + 1] - all_offsets[f]
-                start, end, doc = pretokens.split(data, offsets, special)
-                hashes, one, which = pretokens.distinct(data, start, end)
+            for f, to, data, start, end, doc, hashes, one, which in pretokens.distinct(batch.column(1), CHUNK, special):
                 raw = data.tobytes()
-                found = [raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
-                lists = [[special_id] if w == special else word_ids(w.decode()) for w in found]
+                if len(known) > KNOWN:
+                    known.clear()
+                lists = []
+                for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True):
+                    word = raw[a:b]
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = [special_id] if word == special else word_ids(word.decode())
+                    lists.append(ids)
                 size = np.fromiter(map(len, lists), np.int64, len(lists))
                 flat = np.fromiter((x for ids in lists for x in ids), np.uint16, int(size.sum()))
                 ids, ends = pretokens.spread(flat, np.cumsum(size) - size, size, which)

@@ -19,8 +19,8 @@ import numpy as np
 from . import textbytes as tb
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
-#: Bytes of text that are split at a time.
-CHUNK = 8 << 20
+#: Bytes of text whose pre-tokens are brought together, and that are split at a time.
+CHUNK, PART = 8 << 20, 1 << 20
 
 
 @lru_cache(1)
@@ -103,10 +103,21 @@ def split(data: np.ndarray, offsets: np.ndarray, special: bytes = b"") -> tuple[
     return start, stop, np.searchsorted(offsets, start, side="right") - 1
 
 
-def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """(hashes in order, one place of each, number of each pre-token) of the different pre-tokens."""
-    hashes = tb.slice_hashes(tb.prefix_hashes(tb.byte_values(data)), start, end)
-    return np.unique(hashes, return_index=True, return_inverse=True)
+def distinct(column, size: int = CHUNK, special: bytes = b""):
+    """For every chunk of a column of texts: (first, last text, bytes, start, end, text number of
+    each pre-token, hashes of the different ones in order, one place of each, number of each pre-token)."""
+    everything, all_offsets = tb.buffers(column)
+    for f, to in tb.chunks(all_offsets, size):
+        data, offsets = everything[all_offsets[f] : all_offsets[to]], all_offsets[f : to + 1] - all_offsets[f]
+        found = []
+        for a, b in tb.chunks(offsets, PART):
+            base = offsets[a]
+            part = data[base : offsets[b]]
+            start, end, doc = split(part, offsets[a : b + 1] - base, special)
+            hashes = tb.slice_hashes(tb.prefix_hashes(tb.byte_values(part)), start, end)
+            found.append((start + base, end + base, doc + a, hashes))
+        start, end, doc, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+        yield f, to, data, start, end, doc, *np.unique(hashes, return_index=True, return_inverse=True)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
