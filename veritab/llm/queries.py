@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import shared
+from . import shared, topk_join, url_filters
 from .bpe import op8_bpe
+from .language_id import op7_language_id
 from .minhash import op1_minhash_dedup
 from .packing import op9_packing
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import op3_quality_rules
 from .suffix_dedup import op4_suffix_dedup
+from .topk_join import op2_topk_search
+from .url_filters import op5_url_filters
 
 
 def _over(table: str, operator):
@@ -17,11 +20,14 @@ def _over(table: str, operator):
 
 QUERIES = {
     "op1_minhash_dedup": _over("documents", op1_minhash_dedup),
+    "op2_topk_search": _over("embeddings", op2_topk_search),
     "op3_quality_rules": _over("documents", op3_quality_rules),
     "op4_suffix_dedup": _over("documents", op4_suffix_dedup),
+    "op5_url_filters": _over("pages", op5_url_filters),
     "op6_quality_classifier": _over("documents", op6_quality_classifier),
+    "op7_language_id": _over("documents", op7_language_id),
     "op8_bpe": _over("documents", op8_bpe),
     "op9_packing": _over("documents", op9_packing),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_topk_search": topk_join.ORACLE, "op5_url_filters": url_filters.ORACLE}
