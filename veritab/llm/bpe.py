@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import pretokens
 from . import textbytes as tb
-from .shared import clashing, materialize, parallelism
+from .shared import clashing, parallelism
 
 #: Buckets of words for each shuffle partition.
 BUCKETS = 4
@@ -48,32 +48,52 @@ def _planes(numbers: np.ndarray) -> list[np.ndarray]:
     return list(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
 
 
-def _split_batches(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket >= 0: the words a batch sends there.  bucket -1: the batch's documents as numbers of words."""
+def _chunks(batches):
+    """(batch number, documents, the distinct() of the chunk) of every chunk of a partition.
 
-    def run(batches):
-        from pyspark import TaskContext
+    The number holds the partition, the chunk and a hash of the chunk's words, so
+    two readings of the input agree on it exactly if they saw the same chunk."""
+    from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for f, to, data, start, end, doc, hashes, one, which in pretokens.distinct(batch.column(1)):
-                raw = data.tobytes()
-                lengths = (end - start)[one].astype(np.uint32)
-                found = [raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
-                bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                rows = [(b, _pack(lengths[x:y], np.frombuffer(b"".join(found[x:y]), np.uint8))) for b, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x]
-                by_count = np.argsort(-np.bincount(which, minlength=len(hashes)), kind="stable")
-                rank = np.empty(len(hashes), np.int64)
-                rank[by_count] = np.arange(len(hashes))
-                ids = batch.column(0).slice(f, to - f).to_numpy()
-                rows.append((-1, _pack(ids, np.bincount(doc, minlength=to - f), by_count.astype(np.uint32), *_planes(rank[which]))))
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["batch", "bucket", "block"])
-                number += 1
+    k = 0
+    for batch in batches:
+        for f, to, *found in pretokens.distinct(batch.column(1)):
+            with np.errstate(over="ignore"):
+                content = found[4].sum(dtype=np.uint64) + np.uint64(TaskContext.get().partitionId() << 20) + np.uint64(k)
+            yield int(tb.mix(np.array([content])).view(np.int64)[0]), batch.column(0).slice(f, to - f), found
+            k += 1
+
+
+def _words(docs: DataFrame, buckets: int) -> DataFrame:
+    """(batch, bucket, block): the words a batch sends to each bucket."""
+
+    def run(batches):
+        for number, _, (data, start, end, _, hashes, one, _) in _chunks(batches):
+            raw = data.tobytes()
+            lengths = (end - start)[one].astype(np.uint32)
+            found = [raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+            bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            edges = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+            rows = [(b, _pack(lengths[x:y], np.frombuffer(b"".join(found[x:y]), np.uint8))) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["batch", "bucket", "block"])
 
     return docs.mapInArrow(run, "batch long, bucket long, block binary")
 
 
+def _order(docs: DataFrame) -> DataFrame:
+    """(batch, block): the documents of a batch as numbers of its words."""
+
+    def run(batches):
+        for number, ids, (_, _, _, doc, hashes, _, which) in _chunks(batches):
+            by_count = np.argsort(-np.bincount(which, minlength=len(hashes)), kind="stable")
+            rank = np.empty(len(hashes), np.int64)
+            rank[by_count] = np.arange(len(hashes))
+            block = _pack(ids.to_numpy(), np.bincount(doc, minlength=len(ids)), by_count.astype(np.uint32), *_planes(rank[which]))
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([block], pa.binary())], ["batch", "block"])
+
+    return docs.mapInArrow(run, "batch long, block binary")
+
+
 def _encoded(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(batch, bucket, ids): for each block of words the block of their ids.  Each word of a bucket is encoded once."""
 
@@ -105,20 +125,22 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     docs: doc_id long, text string.  Null and empty texts have no ids; rows come back
     as often as they came, those with a null doc_id are left out.  The vocabulary
-    must have fewer than 65,536 ids."""
+    must have fewer than 65,536 ids.  docs is read twice, which costs less than keeping
+    the split texts on disk; an input that comes in another order the second time
+    (a shuffle's output) is noticed and refused."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    buckets = BUCKETS * parallelism(spark)
-    blocks = materialize(_split_batches(docs, buckets), "words")
-    ids = _encoded(blocks.where("bucket >= 0"), ranks_path, pattern)
+    ids = _encoded(_words(docs, BUCKETS * parallelism(spark)), ranks_path, pattern)
     ids = ids.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("answers"))
-    both = blocks.where("bucket = -1").select("batch", "block").join(ids.select("batch", F.col("answers.ids").alias("ids")), "batch", "left")
+    both = _order(docs).join(ids.select("batch", F.col("answers.ids").alias("ids")), "batch", "left")
 
     def run(batches):
         for batch in batches:
             for block, answers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 doc, words, by_count, *planes = _unpack(block, np.int64, np.int64, np.uint32, *[np.uint8] * 4)
                 which = by_count[np.ascontiguousarray(np.stack(planes, axis=1)).view("<u4").ravel()].astype(np.int64)
+                if len(by_count) and not answers:
+                    raise RuntimeError("the input was not read in the same order twice; write it as a table first")
                 parts = [_unpack(x, np.uint32, np.uint16) for x in answers or []]
                 size = np.concatenate([p[0] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
                 flat = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint16)
