@@ -34,6 +34,8 @@ RATE = 20.0
 LIMIT = 65534
 #: Log-likelihood by which the best similarity may beat the threshold before a pair is dropped unseen.
 MARGIN = 9.0
+#: So many ids may be broadcast to pick the texts whose full sets are needed; 8 bytes each.
+BROADCAST_IDS = 500_000
 
 
 def _multipliers(m: int) -> np.ndarray:
@@ -207,6 +209,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled to meet the ids
+        ids = F.broadcast(ids)
     full = docs.select("id", "text").join(ids, "id", "left_semi").mapInArrow(sets, "id long, items binary")
     full = materialize(full, "sets")
     side = lambda k: full.select(F.col("id").alias(k), F.col("items").alias(f"items_{k}"))
