@@ -7,6 +7,7 @@ from .bpe import op8_bpe
 from .language_id import op7_language_id
 from .minhash import op1_minhash_dedup
 from .packing import op9_packing
+from .paragraph_dedup import op10_paragraph_dedup
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import op3_quality_rules
 from .suffix_dedup import op4_suffix_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op7_language_id": _over("documents", op7_language_id),
     "op8_bpe": _over("documents", op8_bpe),
     "op9_packing": _over("documents", op9_packing),
+    "op10_paragraph_dedup": _over("documents", op10_paragraph_dedup),
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_topk_search": topk_join.ORACLE, "op5_url_filters": url_filters.ORACLE}
