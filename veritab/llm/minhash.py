@@ -9,10 +9,10 @@ Steps: (1) sketch every text, collapse equal sets; (2) hash bands of registers,
 the buckets with two members or more; (3) pair each member with two of its buckets' centres;
 the joint likelihood of (K_u > K_v, K_u < K_v, K_u = K_v) with known set sizes drops
 pairs for which the threshold is out of reach; (4) the full sets decide; (5) connected
-components; (6) what still shares a bucket without sharing a component is compared by
-sketch within the bucket, and each member's likeliest partners in other components go
-through (4) and (5), ever more of them, until no untried pair is likely.  Pairs within
-a component are settled and never made.
+components; (6) where a bucket still holds several components, the full sets of its members
+meet block by block, and a spanning forest of the links between components, not the
+links themselves, leaves the block.  Large buckets are cut into pairs of blocks, so
+a task holds a bounded number of sets.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ LIMIT = 65534
 MARGIN = 9.0
 #: So many ids may be broadcast to pick the texts whose full sets are needed; 8 bytes each.
 BROADCAST_IDS = 500_000
+#: Members of a bucket that are compared in one place; a larger bucket becomes pairs of such blocks.
+BLOCK = 512
 
 
 def _multipliers(m: int) -> np.ndarray:
@@ -148,52 +150,98 @@ def _estimated(pairs: DataFrame, reps: DataFrame, m: int, threshold: float) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
-def _across(placed: DataFrame, best: int, m: int, threshold: float) -> DataFrame:
-    """The likeliest untried pairs (a, b) of members of one bucket in different components: for each member and component the best so many."""
-
-    def pairs(ids, n, c, grid, tried):
-        _, group, size = np.unique(c, return_inverse=True, return_counts=True)
-        largest = int(size.argmax())
-        for i in np.flatnonzero(group != largest).tolist():
-            # a pair of two smaller components is met from the side of the smaller number
-            j = np.flatnonzero((group == largest) | (group > group[i]))
-            j = j[~np.isin(ids[j], tried[i])] if tried[i] else j
-            if len(j):
-                j = j[likely(np.full(len(j), n[i]), n[j], (grid[i] > grid[j]).sum(axis=1), (grid[i] < grid[j]).sum(axis=1), m, threshold)]
-            if len(j):
-                same = (grid[j] == grid[i]).sum(axis=1)
-                order = np.lexsort((ids[j], -same, group[j]))
-                j = j[order]
-                lead = np.flatnonzero(np.append(True, group[j][1:] != group[j][:-1]))
-                rank = np.arange(len(j)) - np.repeat(lead, np.diff(np.append(lead, len(j))))
-                for y in ids[j[rank < best]].tolist():
-                    yield (min(y, int(ids[i])), max(y, int(ids[i])))
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a block of sets: frequent items as one matrix product, rare ones pair by pair."""
+    g = len(sets)
+    owner = np.repeat(np.arange(g), [len(x) for x in sets])
+    items, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((g, g), np.float32)
+    frequent = np.flatnonzero(count > 32)
+    place = np.full(len(items), -1)
+    for k in range(0, len(frequent), 512):
+        columns = frequent[k : k + 512]
+        place[columns] = np.arange(len(columns))
+        hit = place[number] >= 0
+        grid = np.zeros((g, len(columns)), np.float32)
+        grid[owner[hit], place[number[hit]]] = 1
+        out += grid @ grid.T
+        place[columns] = -1
+    rare = (count[number] > 1) & (count[number] <= 32)
+    order = np.argsort(number[rare], kind="stable")
+    own, item = owner[rare][order], number[rare][order]
+    for step in range(1, 32):
+        together = item[step:] == item[:-step] if len(item) > step else np.zeros(0, bool)
+        if not together.any():
+            break
+        flat = np.bincount(own[:-step][together] * g + own[step:][together], minlength=g * g).reshape(g, g)
+        out += flat + flat.T
+    return out
+
+
+def _tree(linked: np.ndarray, c: np.ndarray) -> list[tuple[int, int]]:
+    """Row pairs that join components: a spanning forest over the components of the linked rows."""
+    _, group = np.unique(c, return_inverse=True)
+    k = int(group.max()) + 1
+    i, j = np.nonzero(linked & (group[:, None] != group[None, :]))
+    example = np.full((k, k), -1, np.int64)
+    example[group[i], group[j]] = i * len(c) + j
+    seen, out = np.zeros(k, bool), []
+    for root in range(k):
+        stack = [] if seen[root] else [root]
+        seen[root] = True
+        while stack:
+            x = stack.pop()
+            new = np.flatnonzero((example[x] >= 0) & ~seen)
+            seen[new] = True
+            stack += new.tolist()
+            out += [divmod(int(e), len(c)) for e in example[x][new]]
+    return out
+
+
+def _across(placed: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of one bucket in different components, enough of them to connect what any link connects.
+
+    placed: key (a bucket, or a pair of blocks of a large one), id, c."""
 
     def run(batches):
-        for part in tb.whole_keys(batches, 0):
-            part = part.combine_chunks()
-            bucket, ids, n, c = (part.column(k).to_numpy() for k in range(4))
-            grid = tb.buffers(part.column(4))[0].view(np.uint16).reshape(-1, m)
-            tried = part.column(5).to_pylist()
-            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(bucket)]
+        for rows in tb.whole_keys(batches, 0):
+            rows = rows.combine_chunks()
+            key, ids, c = (rows.column(k).to_numpy() for k in range(3))
+            data, offsets = tb.buffers(rows.column(3))
+            data, offsets = data.view(np.uint64), offsets // 8
+            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist() + [len(key)]
             found = set()
             for x, y in zip(edge[:-1], edge[1:], strict=True):
-                found.update(pairs(ids[x:y], n[x:y].astype(float), c[x:y], grid[x:y], tried[x:y]))
+                if (c[x:y] == c[x]).all():
+                    continue
+                common = _common([data[offsets[k] : offsets[k + 1]] for k in range(x, y)])
+                n = (offsets[x + 1 : y + 1] - offsets[x:y]).astype(np.float64)
+                linked = (common > 0) & (100.0 * common >= percent * (n[:, None] + n[None, :] - common))
+                found.update((min(int(ids[x + i]), int(ids[x + j])), max(int(ids[x + i]), int(ids[x + j]))) for i, j in _tree(linked, c[x:y]))
             found = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    placed = placed.select("bucket", "id", "n", "c", "sketch", "tried").repartition(parallelism(placed.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    rows = placed.join(_sets(placed.select("id").distinct(), docs, words), "id").select("key", "id", "c", "items")
+    rows = rows.repartition(parallelism(placed.sparkSession), "key").sortWithinPartitions("key")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+def _sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(id, items): the full sets of the texts with these ids, written once."""
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
             data, offsets = tb.buffers(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(data, offsets, words)], pa.binary())], ["id", "items"])
 
+    if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled to meet the ids
+        ids = F.broadcast(ids)
+    return materialize(docs.select("id", "text").join(ids, "id", "left_semi").mapInArrow(run, "id long, items binary"), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
+
     def judge(batches):
         for batch in batches:
             (da, oa), (db, ob) = tb.buffers(batch.column(2)), tb.buffers(batch.column(3))
@@ -208,11 +256,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 keep[k] = common and 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled to meet the ids
-        ids = F.broadcast(ids)
-    full = docs.select("id", "text").join(ids, "id", "left_semi").mapInArrow(sets, "id long, items binary")
-    full = materialize(full, "sets")
+    full = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), docs, words)
     side = lambda k: full.select(F.col("id").alias(k), F.col("items").alias(f"items_{k}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "items_a", "items_b").mapInArrow(judge, "a long, b long").distinct()
 
@@ -241,20 +285,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     edges = materialize(_verified(first, docs, words, percent), "links")
     groups = materialize(components(edges), "groups")
 
-    tried, best = first, 2
-    while True:
-        placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        open_ = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("bucket")
-        placed = placed.join(open_, "bucket", "left_semi")
-        past = tried.select("a", "b").union(tried.select("b", "a")).groupBy("a").agg(F.collect_list("b").alias("tried")).withColumnRenamed("a", "id")
-        rest = materialize(_across(placed.join(reps.select("id", "n", "sketch"), "id").join(past, "id", "left"), best, m, threshold), "pairs")
-        if rest.isEmpty():
-            break
-        more = materialize(_verified(rest, docs, words, percent), "links")
+    placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    open_ = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1")
+    placed = materialize(placed.join(open_.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")), "bucket"), "open")
+    if not placed.isEmpty():
+        mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
+        pairs = F.transform(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")), lambda x: F.xxhash64("bucket", F.least(x, mine), F.greatest(x, mine)))
+        more = materialize(_across(placed.select(F.explode(pairs).alias("key"), "id", "c"), docs, words, percent), "links")
         if not more.isEmpty():
             stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
             groups = materialize(components(stars.union(more)), "groups")
-        tried, best = materialize(tried.union(rest), "tried"), 4 * best
 
     named = reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", F.col("n").alias("n_"), F.coalesce("component", "id").alias("component"))
     out = all_sketches.select("id", "n", "f1", "f2").join(named.withColumnRenamed("n_", "n"), ["f1", "f2", "n"], "left")
