@@ -17,8 +17,11 @@ from decimal import Decimal
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 SPECIAL = r"(?i)^\s*[+-]?(?:nan|inf|infinity)\s*$"
+#: Letters of type suffixes, hexadecimal numbers and of the special values.
+LETTERS = "[dDfFxXpP]"
+#: The Unicode space separators (category Zs).
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def qcol(name: str) -> Column:
@@ -75,23 +78,22 @@ class Value:
 
 def strip_blanks(c: Column) -> Column:
     """Without Unicode space separators at either end; tabs and line ends stay."""
-    return F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def _ungrouped(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?<=\d)_(?=\d)", "")
+    return F.when(F.contains(c, F.lit("_")), F.regexp_replace(c, r"(?<=\d)_(?=\d)", "")).otherwise(c)
 
 
 def to_double(c: Column) -> Column:
     plain = _ungrouped(c)
-    return F.when(plain.rlike(NUMBER) | plain.rlike(SPECIAL), F.trim(plain).try_cast("double"))
+    return F.when(~plain.rlike(LETTERS) | plain.rlike(SPECIAL), F.trim(plain).try_cast("double"))
 
 
 def to_decimal(value: Value, precision: int, scale: int) -> Column:
     if value.kind != "text":
         return value.col.try_cast(f"decimal({precision},{scale})")
-    plain = _ungrouped(value.col)
-    return F.when(plain.rlike(NUMBER), F.trim(plain).try_cast(f"decimal({precision},{scale})"))
+    return F.trim(_ungrouped(value.col)).try_cast(f"decimal({precision},{scale})")
 
 
 def double_text(x: Column) -> Column:
@@ -176,8 +178,14 @@ def parse_date(c: Column, fmt: str) -> Column:
         names.append(x)
     pattern += r"\s*$"
 
+    # one pass of the pattern: a marked list of the parts, or the text as it was
+    mark = "\x01"
+    listed = F.regexp_replace(c, pattern, mark + mark.join(f"${k + 1}" for k in range(len(names))))
+    fits = F.startswith(listed, F.lit(mark)) & ~F.startswith(c, F.lit(mark))
+    parts = F.split(listed, mark)
+
     def part(x: str) -> Column | None:
-        return F.regexp_extract(c, pattern, len(names) - names[::-1].index(x)) if x in names else None
+        return F.try_element_at(parts, F.lit(len(names) + 1 - names[::-1].index(x))) if x in names else None
 
     def whole(x: str, default: int) -> Column:
         p = part(x)
@@ -208,7 +216,7 @@ def parse_date(c: Column, fmt: str) -> Column:
         day = whole("j", 1)
         made = made + F.make_interval(days=day - 1)
         valid = valid & (day >= 1) & (F.year(made) == year)
-    return F.when(c.rlike(pattern) & valid & (whole("S", 0) < 60), made)
+    return F.when(fits & valid & (whole("S", 0) < 60), made)
 
 
 def format_date(ts: Column, fmt: str) -> Column:

@@ -88,8 +88,11 @@ class Reconciliation:
             frame = frame.join(codes, dest[rule.target_field_keys[0]].text() == F.col(f"code_{k}"), "left")
             joined[rule.rule_id] = F.col(f"code_{k}").isNotNull()
         dest_by_name = {safe_name(k): v for k, v in dest.items()} | dest
-        every = [rules.judge(r, self.config, source, dest, joined) for r in self.config.rules]
-        every += [rules.judge(r, self.config, source, dest_by_name, joined) for r in self.config.cross_rules]
+        bind = rules.Binder()
+        every = [rules.judge(r, self.config, source, dest, joined, bind) for r in self.config.rules]
+        every += [rules.judge(r, self.config, source, dest_by_name, joined, bind) for r in self.config.cross_rules]
+        for level in bind.levels:
+            frame = frame.select("*", *(c.alias(name) for name, c in level.items()))
         paired = (F.col("n_s") == 1) & (F.col("n_d") == 1)
         frame = frame.select("record_key", "n_s", "n_d", F.when(paired, F.array(*every)).alias("results"))
         return frame.withColumn("category", self._category())
@@ -151,7 +154,7 @@ class Reconciliation:
 
     @cached_property
     def field_results(self) -> DataFrame:
-        return self.judged.where("results is not null").select("record_key", F.inline("results"))
+        return self.judged.where("n_s = 1 and n_d = 1").select("record_key", F.inline("results"))
 
     @cached_property
     def record_rollup(self) -> DataFrame:

@@ -21,13 +21,14 @@ INLINE_CODES = 1_000
 
 def _result(field_key: str, rule: Rule, expected: Column, actual: Column, cases: list[tuple[Column | None, str, Column | str]]) -> Column:
     """cases: (condition, category, verdict), the first that holds counts; the last has no condition."""
-    category = verdict = None
-    for when, c, v in reversed(cases):
-        v = F.lit(v) if isinstance(v, str) else v
-        category = F.lit(c) if when is None else F.when(when, c).otherwise(category)
-        verdict = v if when is None else F.when(when, v).otherwise(verdict)
-    columns = [F.lit(field_key), F.lit(rule.rule_id), F.lit(rule.severity), expected, actual, category, verdict]
-    return F.struct(*(c.cast("string").alias(n) for c, n in zip(columns, RESULT_FIELDS, strict=True)))
+    # one CASE that yields whole structs: every condition is evaluated once
+    out = None
+    for when, category, verdict in reversed(cases):
+        verdict = F.lit(verdict) if isinstance(verdict, str) else verdict
+        columns = [F.lit(field_key), F.lit(rule.rule_id), F.lit(rule.severity), expected, actual, F.lit(category), verdict]
+        row = F.struct(*(c.cast("string").alias(n) for c, n in zip(columns, RESULT_FIELDS, strict=True)))
+        out = row if when is None else F.when(when, row).otherwise(out)
+    return out
 
 
 def _equality(rule: Rule, s: Value, v: Value) -> list:
@@ -39,26 +40,40 @@ def _equality(rule: Rule, s: Value, v: Value) -> list:
     return [(equal, "MATCH", "equal"), (None, "MISMATCH", "not_equal")]
 
 
-def _difference(a: Value, b: Value, tolerance) -> list:
-    """Cases for two numbers that should agree within a tolerance."""
+class Binder:
+    """Names for intermediate values, so that each is computed once in a projection of its own.
+
+    Level 1 reads the canonical values, level 2 reads level 1."""
+
+    def __init__(self) -> None:
+        self.levels: tuple[dict[str, Column], dict[str, Column]] = ({}, {})
+
+    def __call__(self, c: Column, level: int = 1) -> Column:
+        name = f"v{level}_{len(self.levels[level - 1])}"
+        self.levels[level - 1][name] = c
+        return F.col(name)
+
+
+def _difference(a: Value, b: Value, tolerance, bind: Binder) -> list:
+    """Cases for two numbers, bound already, that should agree within a tolerance."""
     missing = a.col.isNull() | b.col.isNull()
     if "double" in (a.kind, b.kind):
-        gap = Value(F.abs(a.double() - b.double()), "double")
+        gap = Value(bind(F.abs(a.double() - b.double()), 2), "double")
         near = gap.col <= F.lit(float(tolerance))
     else:
-        gap = Value(F.abs(F.try_subtract(a.col, b.col)), "decimal")
+        gap = Value(bind(F.abs(F.try_subtract(a.col, b.col)), 2), "decimal")
         near = gap.col <= d.number_literal(tolerance)
     return [(missing, "EXCEPTION", "uncastable"), (gap.col.isNull(), "EXCEPTION", "uncastable"), (near, "MATCH", F.concat(F.lit("diff="), gap.text())), (None, "MISMATCH", F.concat(F.lit("diff="), gap.text()))]
 
 
-def _tolerance(rule: Rule, s: Value, v: Value) -> list:
+def _tolerance(rule: Rule, s: Value, v: Value, bind: Binder) -> list:
     scale = int(rule.params.get("scale", 6))
-    a, b = (Value(d.to_decimal(x, 38, scale), "decimal") for x in (s, v))
-    return _difference(a, b, d.number(rule.params["tolerance"]))
+    a, b = (Value(bind(d.to_decimal(x, 38, scale)), "decimal") for x in (s, v))
+    return _difference(a, b, d.number(rule.params["tolerance"]), bind)
 
 
-def _range(rule: Rule, v: Value) -> list:
-    x = v.double()
+def _range(rule: Rule, v: Value, bind: Binder) -> list:
+    x = bind(v.double())
     low, high = (float(d.number(rule.params[k])) for k in ("min", "max"))
     return [(x.isNull(), "EXCEPTION", "uncastable"), (x.between(low, high), "MATCH", "in_range"), (None, "MISMATCH", "out_of_range")]
 
@@ -76,20 +91,21 @@ def _lookup(rule: Rule, v: Value, found: Column) -> list:
     return [(v.col.isNull(), "MISMATCH", "empty"), (found, "MATCH", "found"), (None, "MISMATCH", "not_in_list")]
 
 
-def _date_valid(rule: Rule, v: Value, as_of: str) -> list:
-    day = d.parse_date(v.text(), rule.params.get("format", "%Y-%m-%d")).cast("date")
+def _date_valid(rule: Rule, v: Value, as_of: str, bind: Binder) -> list:
+    day = bind(d.parse_date(v.text(), rule.params.get("format", "%Y-%m-%d")).cast("date"))
     cases = [(day.isNull(), "MISMATCH", "unparseable")]
     if rule.params.get("not_future", False):
         cases.append((day > F.lit(as_of).cast("date"), "MISMATCH", "future_date"))
     return [*cases, (None, "MATCH", "valid")]
 
 
-def judge(rule: Rule, config: RunConfig, source: dict[str, Value], dest: dict[str, Value], joined: dict[str, Column]) -> Column:
+def judge(rule: Rule, config: RunConfig, source: dict[str, Value], dest: dict[str, Value], joined: dict[str, Column], bind: Binder) -> Column:
     """The result struct of one rule.  joined: for code lists too long to compare in place, whether the code was found, by rule id."""
     p = rule.params
     if rule.type == "CROSS_FIELD":
         left, right = (expressions.compile(p[k], dest) for k in ("lhs", "rhs"))
-        return _result(f"cross:{rule.rule_key}", rule, right.text(), left.text(), _difference(left, right, d.number(p["tolerance"])))
+        left, right = (Value(bind(x.col), x.kind) for x in (left, right))
+        return _result(f"cross:{rule.rule_key}", rule, right.text(), left.text(), _difference(left, right, d.number(p["tolerance"]), bind))
     key = rule.target_field_keys[0]
     v = dest[key]
     actual = v.text()
@@ -97,9 +113,9 @@ def judge(rule: Rule, config: RunConfig, source: dict[str, Value], dest: dict[st
         case "EQUALITY":
             return _result(key, rule, source[key].text(), actual, _equality(rule, source[key], v))
         case "TOLERANCE":
-            return _result(key, rule, source[key].text(), actual, _tolerance(rule, source[key], v))
+            return _result(key, rule, source[key].text(), actual, _tolerance(rule, source[key], v, bind))
         case "RANGE":
-            return _result(key, rule, F.lit(f"[{p['min']},{p['max']}]"), actual, _range(rule, v))
+            return _result(key, rule, F.lit(f"[{p['min']},{p['max']}]"), actual, _range(rule, v, bind))
         case "REGEX":
             return _result(key, rule, F.lit(p["pattern"]), actual, _regex(rule, v))
         case "NOT_NULL":
@@ -111,7 +127,7 @@ def judge(rule: Rule, config: RunConfig, source: dict[str, Value], dest: dict[st
                 found = actual.isin(codes) if codes else F.lit(False)
             return _result(key, rule, F.lit(f"in:{p['code_list']}"), actual, _lookup(rule, v, found))
         case "DATE_VALID":
-            return _result(key, rule, F.lit(f"valid_date({p.get('format', '%Y-%m-%d')})"), actual, _date_valid(rule, v, config.as_of_date))
+            return _result(key, rule, F.lit(f"valid_date({p.get('format', '%Y-%m-%d')})"), actual, _date_valid(rule, v, config.as_of_date, bind))
     raise ValueError(f"unsupported rule type {rule.type}")
 
 
