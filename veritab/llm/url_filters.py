@@ -50,8 +50,8 @@ def tokens(text: Column) -> Column:
 def literal_tokens(pattern: str) -> list[str]:
     """Tokens that every match of the pattern holds whole: runs of letters and digits outside groups and
     classes, with a literal separator or an anchor at either side."""
-    plain = re.sub(r"\((?:[^()\\]|\\.)*\)[*+?]?", "(", pattern)
-    plain = re.sub(r"\[[^\]]*\][*+?]?", "[", plain)
+    plain = re.sub(r"\(\^\|\[[./-]+\]\)", "(", pattern)  # a separator or the start
+    plain = re.sub(r"\((?:[^()\\]|\\.)+\)[*+?]?|\[[^\]]*\][*+?]?", "\0", plain)
     return [m[2].lower() for m in re.finditer(r"(^\^|[(]|\\[./-]|[-/])([A-Za-z0-9]+)(?=\\[./-]|[-/]|\$$)", plain)]
 
 
