@@ -37,7 +37,7 @@ MARGIN = 9.0
 #: So many ids may be broadcast to pick the texts whose full sets are needed; 8 bytes each.
 BROADCAST_IDS = 500_000
 #: Members of a bucket that are compared in one place; a larger bucket becomes pairs of such blocks.
-BLOCK = 512
+BLOCK = 1024
 
 
 def _multipliers(m: int) -> np.ndarray:
