@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from veritab.functions import dialect as d
 from veritab.functions import transforms
 from veritab.functions.dialect import Value
-from veritab.operators import profile, report
+from veritab.operators import profile, report, review, suggest
 from veritab.operators.reconcile import Reconciliation, reconcile
 from veritab.plans.config import resolve
-from veritab.sources import tables, tagged
+from veritab.sources import spec, tables, tagged
 
 AS_OF = "2026-06-04"
 TRIM = {"op": "trim"}
@@ -287,3 +287,39 @@ def _citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("citation_text", _citations, "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '—' WHEN 1 THEN CASE WHEN o_orderkey = 0 THEN 'a line' ELSE 'p.' || o_orderkey || ': a line' END ELSE 'a line' END AS ref FROM orders")
+
+
+# -- suggestion, review and specification texts: small tables made on the driver
+SPEC_TEXT = "SECTION: FIELDS\norder_no | STRING | key\nprice | DECIMAL | required\nstatus | ENUM(ORDER_STATUS) | required\nday | DATE |\nodd | BLOB |\nSECTION: RULES\nprice :: TOLERANCE tolerance=0.01 scale=4 :: ERROR\nday :: DATE_VALID format=%Y-%m-%d not_future=true\nprice,twice :: CROSS_FIELD lhs=f_price*2 rhs=f_twice tolerance=1 :: WARNING"
+
+
+def _draft() -> dict:
+    document = spec.Document.of_texts([SPEC_TEXT])
+    found = spec.SectionExtractor().extract(document)
+    return spec.draft_template(found, document, spec.extraction_run(found, document)["run_id"], "orders")
+
+
+def suggested_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suggested mapping of the two sides of the reconciliation, one row for each edge."""
+    columns = [profile.samples(side(spark, sf_dir)) for side in (source, dest)]
+    graph = suggest.suggest(TEMPLATE, *columns)
+    return spark.createDataFrame([(e.id, e.kind, e.from_node, e.to_node, e.is_key) for e in graph.edges], "id string, kind string, from_node string, to_node string, is_key boolean")
+
+
+_ALIKE = ("customer", "status", "price", "twice", "day", "priority")  # okey is too unlike order_no to be suggested
+_add("suggested_edges", suggested_edges, "SELECT * FROM (VALUES " + ", ".join(row for f in _ALIKE for row in (f"('e_{f}_src', 'PDF_TO_SOURCE', 'pdf_{f}', 'src_{f}', false)", f"('e_{f}_dst', 'SOURCE_TO_DEST', 'src_{f}', 'dst_{f.upper()}', false)")) + ") t(id, kind, from_node, to_node, is_key)")
+_add(
+    "review_pending",
+    lambda spark, sf_dir: spark.createDataFrame([(k, key) for k, keys in review.pending(_draft()).items() if isinstance(keys, list) for key in keys], "list string, key string"),
+    "SELECT * FROM (VALUES ('fields_pending', 'order_no'), ('fields_pending', 'price'), ('fields_pending', 'status'), ('fields_pending', 'day'), ('fields_pending', 'odd'), ('rules_pending', 'price_tolerance'), ('rules_pending', 'day_date_valid'), ('rules_pending', 'price_cross_field'), ('low_confidence', 'field:odd'), ('low_confidence', 'rule:price_cross_field')) t(list, key)",
+)
+_add(
+    "extracted_fields",
+    lambda spark, sf_dir: spark.createDataFrame([(f["field_key"], f["datatype"], f["required"], f["is_key"], f["enum_code_list"], f["confidence"], f["review_status"]) for f in _draft()["fields"]], "field_key string, datatype string, required boolean, is_key boolean, enum_code_list string, confidence double, review_status string"),
+    "SELECT * FROM (VALUES ('order_no', 'STRING', false, true, NULL, 0.95::DOUBLE, 'SUGGESTED'), ('price', 'DECIMAL', true, false, NULL, 0.95, 'SUGGESTED'), ('status', 'ENUM', true, false, 'ORDER_STATUS', 0.9, 'SUGGESTED'), ('day', 'DATE', false, false, NULL, 0.95, 'SUGGESTED'), ('odd', 'STRING', false, false, NULL, 0.6, 'SUGGESTED')) t(field_key, datatype, required, is_key, enum_code_list, confidence, review_status)",
+)
+_add(
+    "extracted_rules",
+    lambda spark, sf_dir: spark.createDataFrame([(r["rule_key"], r["type"], r["severity"], ",".join(r["target_field_keys"])) for r in _draft()["rules"]], "rule_key string, type string, severity string, targets string"),
+    "SELECT * FROM (VALUES ('price_tolerance', 'TOLERANCE', 'ERROR', 'price'), ('day_date_valid', 'DATE_VALID', 'ERROR', 'day'), ('price_cross_field', 'CROSS_FIELD', 'WARNING', 'price,twice')) t(rule_key, type, severity, targets)",
+)
