@@ -186,6 +186,14 @@ def op7_language_id(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is told with a score of at least least; columns unchanged."""
-    found = predict(docs, fit(docs.where(~held_out()))).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    """The rows of docs whose language is told with a score of at least least; columns unchanged, nothing shuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text", "lang").where(~held_out())))
+    text = docs.columns.index("text")
+
+    def run(batches):
+        m = model.value
+        for batch in batches:
+            kept = [bool(letters and m.languages) and m.predict(counts)[1] >= least for counts, letters in _texts(batch, text)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -196,6 +196,22 @@ def train(docs: DataFrame, posteriors: dict[int, float], total: int) -> np.ndarr
     return weights
 
 
+def _fitted(docs: DataFrame):
+    """(broadcast weights of fixed size, posteriors of the vote patterns), from all rows."""
+    patterns = vote_patterns(docs)
+    posteriors = expectation_maximisation(patterns)
+    return docs.sparkSession.sparkContext.broadcast(train(docs, posteriors, sum(patterns.values()))), posteriors
+
+
+def _scores(batch: pa.RecordBatch, column: int, weights: np.ndarray):
+    """(first row, rows, votes, scores) of each chunk of a batch."""
+    for f, to, votes, doc, words in _chunks(batch, column):
+        n = to - f
+        d, feature, value = _features(votes, doc, words, n)
+        score = 1 / (1 + np.exp(-np.clip(np.bincount(d, weights=weights[feature] * value, minlength=n) + weights[-1], -50, 50)))
+        yield f, n, votes, np.where(np.bincount(doc, minlength=n) > 0, score, 0.0)
+
+
 def classify(docs: DataFrame) -> DataFrame:
     """(doc_id, score, weak_posterior, kept) of every row of docs (doc_id long, text string).
 
@@ -203,18 +219,11 @@ def classify(docs: DataFrame) -> DataFrame:
     Null, empty and wordless texts have score 0 and are rejected.  Every row counts,
     rows with a null doc_id and repeated ones too.  Empty tables give no rows."""
     docs = docs.select("doc_id", "text")
-    patterns = vote_patterns(docs)
-    posteriors = expectation_maximisation(patterns)
-    weights = docs.sparkSession.sparkContext.broadcast(train(docs, posteriors, sum(patterns.values())))  # fixed size
+    weights, posteriors = _fitted(docs)
 
     def run(batches):
-        w = weights.value
         for batch in batches:
-            for f, to, votes, doc, words in _chunks(batch, 1):
-                n = to - f
-                d, feature, value = _features(votes, doc, words, n)
-                score = 1 / (1 + np.exp(-np.clip(np.bincount(d, weights=w[feature] * value, minlength=n) + w[-1], -50, 50)))
-                score = np.where(np.bincount(doc, minlength=n) > 0, score, 0.0)
+            for f, n, votes, score in _scores(batch, 1, weights.value):
                 weak = np.array([posteriors.get(c, 0.5) for c in _codes(votes).tolist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(f, n), pa.array(score), pa.array(weak), pa.array(score >= THRESHOLD)], ["doc_id", "score", "weak_posterior", "kept"])
 
@@ -222,9 +231,16 @@ def classify(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are not rejected; columns unchanged."""
-    kept = classify(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of docs that are not rejected; columns unchanged, nothing shuffled."""
+    weights, _ = _fitted(docs.select("doc_id", "text"))
+    text = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for f, n, _, score in _scores(batch, text, weights.value):
+                yield batch.slice(f, n).filter(pa.array(score >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_quality_classifier(docs: DataFrame) -> DataFrame:
