@@ -32,7 +32,8 @@ def test_top_k_is_exact(spark, block, monkeypatch):
     centres = rng.normal(size=(6, 8))
     rows = [(k, (centres[k % 6] + 0.1 * rng.normal(size=8)).tolist()) for k in range(400)]
     rows += [(k, [0.5] * 8) for k in range(400, 520)] + [(1000, None), (1050, []), (1100, [None] * 8), (1150, [math.nan] * 8), (1200, [math.inf] * 8), (None, [1.0] * 8)]
-    found = topk_join.op2_topk_search(vectors(spark, rows))
+    rows += rows[50:60] * 7 + rows[100:104]
+    found = topk_join.op2_topk_search(vectors(spark, rows).repartition(5))
     assert sorted(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()) == brute(rows)
 
 

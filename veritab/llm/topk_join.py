@@ -68,15 +68,18 @@ def _summaries(blocks: DataFrame, k: int) -> dict[int, tuple[int, float, np.ndar
     def run(batches):
         for batch in batches:
             least, most = [], []
-            for raw in batch.column(1).to_pylist():
-                d = np.frombuffer(raw, np.float64)
-                least.append(d[: k + 1])
+            for raw, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                d, ids = np.frombuffer(raw, np.float64), np.frombuffer(ids, np.int64)
+                _, first = np.unique(ids, return_index=True)  # a repeated vec_id bounds one score, not several
+                near = np.sort(first)[: k + 1]
+                least.append([{"d": float(d[i]), "id": int(ids[i])} for i in near.tolist()])
                 most.append(float(d[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(most), pa.array(least, pa.list_(pa.float64()))], ["part", "radius", "least"])
+            kind = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(most), pa.array(least, kind)], ["part", "radius", "least"])
 
-    each = blocks.select("part", "distances").mapInArrow(run, "part long, radius double, least array<double>")
-    heads = each.select("part", F.explode("least").alias("d"))
-    heads = heads.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("d"))).where(F.col("r") <= k + 1)
+    each = blocks.select("part", "distances", "ids").mapInArrow(run, "part long, radius double, least array<struct<d:double,id:bigint>>")
+    heads = each.select("part", F.inline("least")).groupBy("part", "id").agg(F.min("d").alias("d"))
+    heads = heads.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("d", "id"))).where(F.col("r") <= k + 1)
     heads = heads.groupBy("part").agg(F.sort_array(F.collect_list("d")).alias("least"))
     rows = each.groupBy("part").agg(F.count("*").alias("n"), F.max("radius").alias("radius")).join(heads, "part").collect()  # one row for each pivot
     return {r["part"]: (r["n"], r["radius"], np.array(r["least"])) for r in rows}
@@ -123,6 +126,10 @@ def _solved(pairs: DataFrame, k: int) -> DataFrame:
                     score = (q @ v.T).astype(np.int64)
                 else:
                     score = q.astype(np.int64) @ v.T.astype(np.int64)
+                if len(np.unique(ids)) < len(ids):
+                    order = np.argsort(ids, kind="stable")
+                    lead = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
+                    ids, score = ids[order][lead], np.maximum.reduceat(score[:, order], lead, axis=1)
                 usable = (score >= floor[:, None]) & (ids[None, :] != q_ids[:, None])
                 found = []
                 for i in np.flatnonzero(usable.any(axis=1)).tolist():
@@ -143,7 +150,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     vectors and queries: vec_id long, v array<double> of whole numbers (see quantised).
     A row is no candidate for a query of its own vec_id; repeated rows are candidates
-    once each.  Vectors of another length than the first pivot's take no part.  Empty tables give no rows."""
+    once.  Vectors of another length than the first pivot's take no part.  Empty tables give no rows."""
     spark = vectors.sparkSession
     first = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(PIVOTS).collect()
     if not first:
@@ -153,13 +160,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     whole = F.size("v") == width
     blocks = materialize(_blocks(vectors.where(whole), pivots, BLOCK), "blocks")
     summaries = _summaries(blocks, k)
-    routed = _routed(queries.where(whole), pivots, summaries, k)
+    routed = _routed(queries.where(whole).distinct(), pivots, summaries, k)
     # a group of many blocks is spread over as many tasks: its queries go to each
     spread = 8 * parallelism(spark)
     salts = F.create_map(*[F.lit(x) for p, (n, _, _) in sorted(summaries.items()) for x in (p, min(n, spread))])
     blocks = blocks.withColumn("salt", F.pmod(F.xxhash64("ids"), salts[F.col("part")]))
     routed = routed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts[F.col("part")] - 1).cast("long"))))
     found = _solved(blocks.join(routed, ["part", "salt"]).select("ids", "v", "q_ids", "q", "floor"), k)
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
