@@ -25,9 +25,10 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 7])
-def test_top_k_is_exact(spark, block, monkeypatch):
+@pytest.mark.parametrize("block, first", [(2048, 16), (7, 1)])
+def test_top_k_is_exact(spark, block, first, monkeypatch):
     monkeypatch.setattr(topk_join, "BLOCK", block)
+    monkeypatch.setattr(topk_join, "FIRST", first)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(6, 8))
     rows = [(k, (centres[k % 6] + 0.1 * rng.normal(size=8)).tolist()) for k in range(400)]
@@ -47,7 +48,7 @@ def test_few_vectors(spark):
 def test_groups_that_cannot_reach_are_left_out(spark):
     pivots = np.array([[100.0, 0.0], [-100.0, 0.0]])
     summaries = {0: (1, 5.0, np.zeros(6)), 1: (1, 5.0, np.zeros(6))}
-    queries = spark.createDataFrame([(0, [90.0, 0.0])], "vec_id long, v array<double>")
+    queries = spark.createDataFrame([(0, [90.0, 0.0], -math.inf)], "vec_id long, v array<double>, known double")
     assert [r.part for r in topk_join._routed(queries, pivots, summaries, 5).collect()] == [0]
 
 

@@ -4,8 +4,9 @@ Pivots are data vectors; every vector belongs to its nearest pivot.  A group's s
 radius and the distances of its k + 1 members nearest to the pivot c.  For a query
 q and a group, <q, x> <= <q, c> + |q| radius, and the i-th nearest member has at least
 <q, c> - |q| d_i.  The k-th best of all those lower bounds is a score that the answer
-certainly reaches, so q goes only to groups whose upper bound reaches it.  Groups
-are dealt out in packed blocks of bounded size, a large group in many; blocks and the
+certainly reaches; so is the k-th best score within the few groups that promise most,
+which are solved first.  q goes only to groups whose upper bound reaches the higher
+of the two.  Groups are dealt out in packed blocks of bounded size, a large group in many; blocks and the
 queries that need them meet in one join, are multiplied as matrices, and only scores
 that reach the bound leave.
 """
@@ -21,6 +22,8 @@ from .shared import clashing, materialize, parallelism
 
 #: Pivots at most; their vectors and summaries are what reaches the driver.
 PIVOTS = 256
+#: Groups, those of the largest upper bounds, that are solved first for each query.
+FIRST = 16
 #: Rows of a block of data and of queries.
 BLOCK, QUERIES = 2048, 256
 #: Sums of products below this are exact in doubles.
@@ -85,8 +88,10 @@ def _summaries(blocks: DataFrame, k: int) -> dict[int, tuple[int, float, np.ndar
     return {r["part"]: (r["n"], r["radius"], np.array(r["least"])) for r in rows}
 
 
-def _routed(queries: DataFrame, pivots: np.ndarray, summaries: dict, k: int) -> DataFrame:
-    """(part, ids, v, floor): blocks of queries for every group that they need, with the score each is sure to reach."""
+def _routed(queries: DataFrame, pivots: np.ndarray, summaries: dict, k: int, first: int = 0) -> DataFrame:
+    """(part, q_ids, q, floor): blocks of queries for every group that they need, with the score each is sure to reach.
+
+    queries: vec_id, v, known (a score that the answer reaches).  first: only so many groups, those that promise most."""
     parts = np.array(sorted(summaries), np.int64)
     radius = np.array([summaries[p][1] for p in parts.tolist()])
     nearest = [summaries[p][2] for p in parts.tolist()]
@@ -105,13 +110,17 @@ def _routed(queries: DataFrame, pivots: np.ndarray, summaries: dict, k: int) ->
                 low = middle[:, owner] - length * nearest[None, :] - slack[:, owner]
                 # the query itself may be among the k + 1 best, so the (k + 1)-th counts
                 floor = -np.partition(-low, k, axis=1)[:, k] if low.shape[1] > k else np.full(len(q), -np.inf)
-                need = middle + length * radius[None, :] + slack >= floor[:, None]
+                floor = np.maximum(floor, batch.column(2).to_numpy()[f : f + QUERIES])
+                high = middle + length * radius[None, :] + slack
+                need = high >= floor[:, None]
+                if 0 < first < high.shape[1]:
+                    need &= high >= -np.partition(-high, first - 1, axis=1)[:, first - 1, None]
                 for j in np.flatnonzero(need.any(axis=0)).tolist():
                     at = np.flatnonzero(need[:, j])
                     out.append((int(parts[j]), own[at].tobytes(), q[at].tobytes(), floor[at].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["part", "q_ids", "q", "floor"])
 
-    return queries.select("vec_id", "v").mapInArrow(run, "part long, q_ids binary, q binary, floor binary")
+    return queries.select("vec_id", "v", "known").mapInArrow(run, "part long, q_ids binary, q binary, floor binary")
 
 
 def _solved(pairs: DataFrame, k: int) -> DataFrame:
@@ -160,16 +169,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     whole = F.size("v") == width
     blocks = materialize(_blocks(vectors.where(whole), pivots, BLOCK), "blocks")
     summaries = _summaries(blocks, k)
-    routed = _routed(queries.where(whole).distinct(), pivots, summaries, k)
     # a group of many blocks is spread over as many tasks: its queries go to each
     spread = 8 * parallelism(spark)
     salts = F.create_map(*[F.lit(x) for p, (n, _, _) in sorted(summaries.items()) for x in (p, min(n, spread))])
     blocks = blocks.withColumn("salt", F.pmod(F.xxhash64("ids"), salts[F.col("part")]))
-    routed = routed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts[F.col("part")] - 1).cast("long"))))
-    found = _solved(blocks.join(routed, ["part", "salt"]).select("ids", "v", "q_ids", "q", "floor"), k)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def solved(queries: DataFrame, first: int = 0) -> DataFrame:
+        routed = _routed(queries, pivots, summaries, k, first)
+        routed = routed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts[F.col("part")] - 1).cast("long"))))
+        found = _solved(blocks.join(routed, ["part", "salt"]).select("ids", "v", "q_ids", "q", "floor"), k)
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    queries = queries.where(whole).distinct().withColumn("known", F.lit(float("-inf")))
+    sure = ranked(solved(queries, FIRST)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("sure"))
+    queries = queries.join(sure, "vec_id", "left").select("vec_id", "v", F.coalesce("sure", "known").alias("known"))
+    return ranked(solved(materialize(queries, "queries"))).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_topk_search(vectors: DataFrame) -> DataFrame:
