@@ -52,6 +52,17 @@ def test_classifier(spark, docs, empty):
     assert quality_classifier.keep_good(docs).columns == docs.columns
 
 
+def test_toxic_documents_of_every_language_go(spark):
+    """Stems learned from one half of the labels, judged on the other."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 0
+    found = quality_classifier.op6_quality_classifier(docs, labels.where(half)).select("doc_id", "kept").join(labels.where(~half), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    share = {(r.lang, r.toxic): r.k for r in found.where("quality = 1").groupBy("lang", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert len(share) == 8
+    for lang in ("de", "en", "es", "fr"):
+        assert share[lang, 1] <= 0.15 and share[lang, 0] >= 0.97, share
+
+
 def test_language(spark, docs, empty):
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     found = queries.QUERIES["op7_language_id"](spark, SF).join(truth, "doc_id")

@@ -25,7 +25,7 @@ QUERIES = {
     "op3_quality_rules": _over("documents", op3_quality_rules),
     "op4_suffix_dedup": _over("documents", op4_suffix_dedup),
     "op5_url_filters": _over("pages", op5_url_filters),
-    "op6_quality_classifier": _over("documents", op6_quality_classifier),
+    "op6_quality_classifier": lambda spark, sf_dir: op6_quality_classifier(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels")),
     "op7_language_id": _over("documents", op7_language_id),
     "op8_bpe": _over("documents", op8_bpe),
     "op9_packing": _over("documents", op9_packing),
