@@ -109,3 +109,19 @@ def test_paragraphs(docs, empty, texts):
             if not (len(brute.words(line)) >= paragraph_dedup.WORDS and n in gone):
                 lines.append(line)
         assert cut[k].rstrip("\n") == "\n".join(lines).rstrip("\n")
+
+
+def test_passages_in_long_lines_and_wrapped_text(spark):
+    """A passage of 60 words alone, inside a longer line, wrapped under 20 words a line, across lines, and with one edit."""
+    rng = random.Random(8)
+    passage, fill = prose(rng, 60, 10**6).split(), lambda n: prose(rng, n, 10**6).split()
+    edited = [*passage[:30], "edit", *passage[31:]]
+    wrapped = "\n".join(" ".join(passage[k : k + 12]) for k in range(0, 60, 12))
+    around = [fill(150) for _ in range(8)]
+    forms = [" ".join(passage), " ".join(around[0] + passage + around[1]), " ".join(around[2]) + "\n" + wrapped, " ".join(around[3] + passage[:30]) + "\n" + " ".join(passage[30:] + around[4]), " ".join(around[5] + edited + around[6]), " ".join(around[7])]
+    found = {r.doc_id: r for r in paragraph_dedup.op10_paragraph_dedup(frame(spark, forms).unionByName(frame(spark, forms).where("doc_id = 5"))).collect()}
+    assert [found[k].n_passages for k in range(6)] == [0, 1, 1, 1, 1, 0]
+    for k in range(1, 5):
+        start, end, source = found[k].passages[0]
+        cut = forms[k].encode()[start:end].decode().split()
+        assert source == 0 and len(cut) >= 30 and set(cut) <= {*passage, "edit"}
