@@ -125,3 +125,15 @@ def test_passages_in_long_lines_and_wrapped_text(spark):
         start, end, source = found[k].passages[0]
         cut = forms[k].encode()[start:end].decode().split()
         assert source == 0 and len(cut) >= 30 and set(cut) <= {*passage, "edit"}
+
+
+def test_repeated_rows_do_not_multiply(spark):
+    """Three rows of one doc_id: near-dedup keeps one of each text, the cutting stages give back as many rows as they got."""
+    text = prose(random.Random(9), 60, 10**6)
+    three = frame(spark, [text]).unionByName(frame(spark, [text])).unionByName(frame(spark, [text]))
+    cut = suffix_dedup.without_repeats(three)
+    assert cut.columns == three.columns and [(r.text, r.n_chars, r.lang, r.key) for r in cut.collect()] == [(text, len(text), "en", "y")] * 3
+    assert [(r.doc_id, r.text) for r in minhash.keep_one(three).collect()] == [(0, text)]
+    other = frame(spark, [prose(random.Random(10), 60, 10**6)])
+    assert minhash.keep_one(three.unionByName(other)).count() == 2
+    assert [r.text for r in paragraph_dedup.without_repeats(three).collect()] == [text] * 3

@@ -302,9 +302,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group; columns unchanged."""
+    """The rows of docs whose doc_id is the smallest of its group, each text of it once; columns unchanged.
+
+    Rows with a null doc_id are left out."""
     groups = near_duplicates(clashing(docs, ["doc_id", "text"]).withColumnRenamed("doc_id", "id"), words, percent)
-    return docs.join(groups.where("id = component").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    kept = docs.join(groups.where("id = component").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 def op1_minhash_dedup(docs: DataFrame) -> DataFrame:

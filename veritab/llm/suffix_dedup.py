@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textbytes as tb
 from .shared import clashing, materialize, parallelism
@@ -257,14 +258,15 @@ def _ordered(phrases: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc_id, text, first, last): every document with the lists of its repeated spans, unmerged.
+    """(doc_id, text, first, last, other columns): every row with the lists of its document's repeated spans, unmerged.
 
     docs: doc_id long and text string.  A byte is in a span if a string of length bytes
     that covers it also starts earlier, in a document of smaller doc_id or earlier in
     its own.  Null texts are empty; rows with a null doc_id are left out; identical
     repeated rows of one doc_id stand at one place and do not repeat each other."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    rows = docs.where("doc_id is not null")
+    docs = rows.select("doc_id", "text")
     hot = _frequent(docs, length).limit(MOST_HOT + 1).toPandas()["key"].to_numpy(np.int64).view(np.uint64)
     if len(hot) > MOST_HOT:  # the list stays bounded; strings left out of it are only dealt less evenly
         hot = hot[:MOST_HOT]
@@ -272,7 +274,9 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     open_ = settled.where("kind = 0").select("key", "doc_id", "first", "last", "at")
     spans = settled.where("kind = 1").select("doc_id", "first", "last").union(_ordered(_phrase_texts(docs, open_, length), length))
     spans = spans.groupBy("doc_id").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
-    return docs.join(spans, "doc_id", "left")
+    others = [c for c in rows.columns if c not in ("doc_id", "text")]
+    carried = rows.select("doc_id", "text", F.struct(*others).alias("others")) if others else docs
+    return carried.join(spans, "doc_id", "left").select("doc_id", "text", "first", "last", *(["others"] if others else []))
 
 
 def _cut(batch: pa.RecordBatch):
@@ -314,7 +318,10 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = [left.decode(errors="ignore") for _, _, left in _cut(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[4:]], names)
 
-    cut = repeated_spans(docs, length).mapInArrow(run, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
-    return cut.join(docs.drop("text", "n_chars"), "doc_id").select(*docs.columns)
+    spans = repeated_spans(docs, length)
+    names = ["doc_id", "text", *spans.columns[4:]]
+    cut = spans.mapInArrow(run, StructType([spans.schema[c] for c in names]))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return cut.select(*(new[c] if c in new else F.col("others")[c].alias(c) for c in docs.columns))
