@@ -104,20 +104,28 @@ def split(data: np.ndarray, offsets: np.ndarray, special: bytes = b"") -> tuple[
 
 
 def distinct(column, size: int = CHUNK, special: bytes = b""):
-    """For every chunk of a column of texts: (first, last text, bytes, start, end, text number of
-    each pre-token, hashes of the different ones in order, one place of each, number of each pre-token)."""
+    """For every chunk of a column of texts: (first, last text, bytes, start and end of the different pre-tokens
+    in the order of their hashes, those hashes, pre-tokens of each text, number of each pre-token).
+
+    Parts of a chunk are reduced to their different pre-tokens one by one, so that only four
+    bytes of each pre-token are held for a whole chunk."""
     everything, all_offsets = tb.buffers(column)
     for f, to in tb.chunks(all_offsets, size):
         data, offsets = everything[all_offsets[f] : all_offsets[to]], all_offsets[f : to + 1] - all_offsets[f]
-        found = []
+        found, which, counts = [], [], []
         for a, b in tb.chunks(offsets, PART):
             base = offsets[a]
             part = data[base : offsets[b]]
             start, end, doc = split(part, offsets[a : b + 1] - base, special)
-            hashes = tb.slice_hashes(tb.prefix_hashes(tb.byte_values(part)), start, end)
-            found.append((start + base, end + base, doc + a, hashes))
-        start, end, doc, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
-        yield f, to, data, start, end, doc, *np.unique(hashes, return_index=True, return_inverse=True)
+            hashes, one, number = np.unique(tb.slice_hashes(tb.prefix_hashes(tb.byte_values(part)), start, end), return_index=True, return_inverse=True)
+            found.append((hashes, start[one] + base, end[one] + base))
+            which.append(number.astype(np.int32))
+            counts.append(np.bincount(doc, minlength=b - a))
+        hashes, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        hashes, one, number = np.unique(hashes, return_index=True, return_inverse=True)
+        sizes = np.cumsum([0] + [len(x[0]) for x in found])
+        which = np.concatenate([number[m : m + len(x[0])].astype(np.int32)[w] for m, x, w in zip(sizes.tolist(), found, which, strict=False)])
+        yield f, to, data, start[one], end[one], hashes, np.concatenate(counts), which
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -140,3 +148,9 @@ def spread(flat: np.ndarray, at: np.ndarray, size: np.ndarray, which: np.ndarray
     ends = np.cumsum(n)
     index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[which] - (ends - n), n)
     return flat[index], ends
+
+
+@lru_cache(2)
+def id_type(path: str) -> type:
+    """The narrowest unsigned integer that holds every id of a vocabulary."""
+    return np.uint16 if max(read_ranks(path).values()) < 1 << 16 else np.uint32
