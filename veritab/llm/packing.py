@@ -70,36 +70,36 @@ def _special(json_path: str) -> tuple[bytes, int]:
 
 
 def tokenized(docs: DataFrame, json_path: str, ranks_path: str, pattern: str) -> DataFrame:
-    """(key, doc_id, n, ids): Hilbert key, number of ids with the closing 0, ids as unsigned 16-bit integers."""
+    """(key, doc_id, n, ids): Hilbert key, number of ids with the closing 0, ids as integers of pretokens.id_type."""
 
     def run(batches):
-        word_ids = pretokens.encoder(ranks_path, pattern)
+        word_ids, kind = pretokens.encoder(ranks_path, pattern), pretokens.id_type(ranks_path)
+        closing, width = bytes(np.dtype(kind).itemsize), np.dtype(kind).itemsize
         special, special_id = _special(json_path)
         known: dict[bytes, list[int]] = {}
         for batch in batches:
-            for f, to, data, start, end, doc, hashes, one, which in pretokens.distinct(batch.column(1), CHUNK, special):
+            for f, to, data, start, end, hashes, counts, which in pretokens.distinct(batch.column(1), CHUNK, special):
                 raw = data.tobytes()
                 if len(known) > KNOWN:
                     known.clear()
                 lists = []
-                for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True):
+                for a, b in zip(start.tolist(), end.tolist(), strict=True):
                     word = raw[a:b]
                     ids = known.get(word)
                     if ids is None:
                         ids = known[word] = [special_id] if word == special else word_ids(word.decode())
                     lists.append(ids)
                 size = np.fromiter(map(len, lists), np.int64, len(lists))
-                flat = np.fromiter((x for ids in lists for x in ids), np.uint16, int(size.sum()))
+                flat = np.fromiter((x for ids in lists for x in ids), kind, int(size.sum()))
                 ids, ends = pretokens.spread(flat, np.cumsum(size) - size, size, which)
                 n = to - f
-                words = np.cumsum(np.bincount(doc, minlength=n))
-                token_end = np.append(0, ends)[words]
+                token_end = np.append(0, ends)[np.cumsum(counts)]
                 token_start = np.append(0, token_end[:-1])
                 raw_ids = ids.tobytes()
-                closed = [raw_ids[2 * a : 2 * b] + b"\0\0" for a, b in zip(token_start.tolist(), token_end.tolist(), strict=True)]
-                place = np.clip((np.tanh(4 * _vectors(hashes, which, doc, n)) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
+                closed = [raw_ids[width * a : width * b] + closing for a, b in zip(token_start.tolist(), token_end.tolist(), strict=True)]
+                place = np.clip((np.tanh(4 * _vectors(hashes, which, np.repeat(np.arange(n, dtype=np.int32), counts), n)) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
                 doc_id = batch.column(0).slice(f, n)
-                fine = (tb.mix(doc_id.to_numpy().view(np.uint64)) >> np.uint64(33)).astype(np.int64)
+                fine = (tb.mix(doc_id.fill_null(-1).to_numpy().view(np.uint64)) >> np.uint64(33)).astype(np.int64)
                 key = (hilbert(place.astype(np.int64)) << 31) | fine
                 yield pa.RecordBatch.from_arrays([pa.array(key), doc_id, pa.array(token_end - token_start + 1), pa.array(closed, pa.binary())], ["key", "doc_id", "n", "ids"])
 
@@ -136,15 +136,17 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, length:
     """One row for each piece of each document.
 
     docs: doc_id long, text string.  Null texts are empty and still have their closing
-    id; rows with a null doc_id are left out; repeated rows each get a place of their own."""
-    tokens = tokenized(docs.select("doc_id", "text").where("doc_id is not null"), json_path, ranks_path, pattern)
+    id; rows with a null doc_id and repeated rows each get a place of their own.  Tokens and
+    places meet in a shuffled join at every size, since both grow with the input."""
+    tokens = tokenized(docs.select("doc_id", "text"), json_path, ranks_path, pattern)
     tokens = materialize(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
 
     def run(batches):
+        kind = pretokens.id_type(ranks_path)
         for batch in batches:
             data, offsets = tb.buffers(batch.column(1))
-            ids = data.view(np.uint16).astype("<u4")
-            offsets = offsets // 2
+            ids = data.view(kind).astype("<u4")
+            offsets = offsets // np.dtype(kind).itemsize
             n, begin = np.diff(offsets), batch.column(2).to_numpy()
             first, last = begin // length, (begin + n - 1) // length
             count = last - first + 1
@@ -155,14 +157,18 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, length:
             raw = ids.tobytes()
             at = (offsets[:-1] - begin)[row]
             crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip((a + at).tolist(), (b + at).tolist(), strict=True)]
-            columns = [pa.array(batch.column(0).to_numpy()[row]), pa.array(a - begin[row]), pa.array(b - a), pa.array(crc, pa.int64()), pa.array(n[row]), pa.array(sequence), pa.array(a - sequence * length)]
+            columns = [batch.column(0).take(pa.array(row)), pa.array(a - begin[row]), pa.array(b - a), pa.array(crc, pa.int64()), pa.array(n[row]), pa.array(sequence), pa.array(a - sequence * length)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    both = tokens.select("doc_id", "ids", "row").join(_placed(tokens), "row").select("doc_id", "ids", "start")
+    both = tokens.select("doc_id", "ids", "row").join(_placed(tokens).hint("merge"), "row").select("doc_id", "ids", "start")
     return both.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op9_packing(docs: DataFrame) -> DataFrame:
+    """The digest: sequences of 1024 ids of byte_bpe_50k, one row per piece.
+
+    Null texts are empty documents, rows with a null doc_id and repeated rows are packed
+    like any other, extra columns are ignored, an empty table gives no rows."""
     import public_tokenizers as public
 
     return pack(clashing(docs, ["doc_id", "text"]), public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
