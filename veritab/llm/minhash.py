@@ -5,14 +5,16 @@ K_i = clamp(floor(1 - log_b min_x e_i(x)), 0, q + 1) with e_i exponential hashes
 truncated minimum on an exponentially spaced scale.  Two sketches merge by max, and
 registers agree with a probability close to the Jaccard similarity.
 
-Steps: (1) sketch every text, collapse equal sets; (2) hash bands of registers, keep
-the buckets with two members or more; (3) pair each member with two of its buckets' centres;
-the joint likelihood of (K_u > K_v, K_u < K_v, K_u = K_v) with known set sizes drops
-pairs for which the threshold is out of reach; (4) the full sets decide; (5) connected
-components; (6) where a bucket still holds several components, the full sets of its members
-meet block by block, and a spanning forest of the links between components, not the
-links themselves, leaves the block.  Large buckets are cut into pairs of blocks, so
-a task holds a bounded number of sets.
+Steps: (1) sketch every text, collapse equal sets; (2) hash bands of registers and bring
+equal ones together in one sorted shuffle, through which buckets of any size stream; (3) the
+full sets of all members of shared buckets are written once; (4) each member is paired with
+two centres of its buckets; the joint likelihood of (K_u > K_v, K_u < K_v, K_u = K_v) with
+known set sizes drops pairs for which the threshold is out of reach, the full sets decide
+on the rest; (5) connected components; (6) where a bucket still holds several components, its
+members are compared among themselves.  A large one is banded again first: similar members
+share a second band as well, members that only met by chance do not.  Full sets
+meet block by block, and a spanning forest of the links between components leaves the
+block.  The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -34,9 +36,7 @@ RATE = 20.0
 LIMIT = 65534
 #: Log-likelihood by which the best similarity may beat the threshold before a pair is dropped unseen.
 MARGIN = 9.0
-#: So many ids may be broadcast to pick the texts whose full sets are needed; 8 bytes each.
-BROADCAST_IDS = 500_000
-#: Members of a bucket that are compared in one place; a larger bucket becomes pairs of such blocks.
+#: Members of a bucket that are compared in one place; a larger bucket is banded again, and what then is larger becomes pairs of such blocks.
 BLOCK = 1024
 
 
@@ -72,16 +72,26 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
                 yield np.zeros(0, np.uint64)
 
 
-def registers(items: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """The sketch of one set of 64-bit hashes, as uint16 registers."""
+def minima(items: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """The least of the items under each of the hash functions."""
     least = np.full(len(multipliers), ~np.uint64(0))
     with np.errstate(over="ignore"):
         for k in range(0, len(items), 256):
             np.minimum(least, (multipliers[:, None] * items[None, k : k + 256]).min(axis=1), out=least)
+    return least
+
+
+def scaled(least: np.ndarray) -> np.ndarray:
+    """Truncated minima on the exponential scale, as uint16 registers."""
     exponential = -np.log1p(-np.minimum(least.astype(np.float64) / 2.0**64, 1 - 2.0**-53)) / RATE
     return np.clip(np.floor(1 - np.log(np.maximum(exponential, 1e-300)) / math.log(BASE)) + LIMIT // 4, 0, LIMIT + 1).astype(np.uint16)
 
 
+def registers(items: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """The sketch of one set of 64-bit hashes, as uint16 registers."""
+    return scaled(minima(items, multipliers))
+
+
 def sketch(docs: DataFrame, words: int, m: int) -> DataFrame:
     """(id, n, f1, f2, sketch) of a table with columns id and text; f1 and f2 identify the set."""
 
@@ -89,32 +99,68 @@ def sketch(docs: DataFrame, words: int, m: int) -> DataFrame:
         scale = _multipliers(m)
         for batch in batches:
             data, offsets = tb.buffers(batch.column(1))
-            n, f1, f2, out = [], [], [], []
+            n, f1, f2, least = [], [], [], []
             for items in shingle_sets(data, offsets, words):
                 n.append(len(items))
                 with np.errstate(over="ignore"):
-                    f1.append(int(items.sum(dtype=np.uint64).astype(np.int64)))
-                    f2.append(int(np.bitwise_xor.reduce(tb.mix(items + np.uint64(99))).astype(np.int64)) if len(items) else 0)
-                out.append(registers(items, scale).tobytes() if len(items) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(out, pa.binary())], ["id", "n", "f1", "f2", "sketch"])
+                    f1.append(items.sum(dtype=np.uint64))
+                    f2.append(np.bitwise_xor.reduce(tb.mix(items + np.uint64(99))) if len(items) else np.uint64(0))
+                if len(items):
+                    least.append(minima(items, scale))
+            found = scaled(np.stack(least)).tobytes() if least else b""
+            at = np.cumsum([0] + [2 * m * (k > 0) for k in n]).tolist()
+            out = [found[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+            f1, f2 = (np.array(f, np.uint64).view(np.int64) for f in (f1, f2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), pa.array(out, pa.binary())], ["id", "n", "f1", "f2", "sketch"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, n long, f1 long, f2 long, sketch binary")
 
 
 def _bands(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(bucket, id, n): one row for each band of each sketch."""
+    """(bucket, id): one row for each band of each sketch."""
 
     def run(batches):
         scale = tb.powers(0xD6E8FEB86659FD93, rows)
         for batch in batches:
-            data, offsets = tb.buffers(batch.column(2))
+            data, _ = tb.buffers(batch.column(1))
             grid = data.view(np.uint16).reshape(-1, bands, rows).astype(np.uint64)
             with np.errstate(over="ignore"):
                 keys = tb.mix(((grid + np.uint64(1)) * scale).sum(axis=2, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407) + np.arange(bands, dtype=np.uint64))
-            spread = lambda c: pa.array(np.repeat(c.to_numpy(), bands))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), spread(batch.column(0)), spread(batch.column(1))], ["bucket", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], ["bucket", "id"])
+
+    return reps.select("id", "sketch").mapInArrow(run, "bucket long, id long")
+
 
-    return reps.select("id", "n", "sketch").mapInArrow(run, "bucket long, id long, n long")
+def _members(rows: DataFrame) -> DataFrame:
+    """(bucket, id, low, second) of the buckets with two members or more, low and second being their smallest ids.
+
+    Buckets stream through their task in the order of ids, so their size does not matter."""
+
+    def run(batches):
+        last = previous = None
+        low0 = second0 = seen = 0
+        for batch in batches:
+            bucket, ids = (batch.column(k).to_numpy() for k in range(2))
+            if not len(ids):
+                continue
+            same = np.append(bucket[0] == last, bucket[1:] == bucket[:-1])
+            once = ~(same & np.append(ids[0] == previous, ids[1:] == ids[:-1]))
+            last, previous = bucket[-1], ids[-1]
+            bucket, ids, same = bucket[once], ids[once], same[once]
+            if not len(ids):
+                continue
+            group = np.cumsum(~same)  # 0: goes on from the batch before
+            first = np.append(0, np.flatnonzero(~same))[group]
+            place = np.arange(len(ids)) - first + np.where(group == 0, seen, 0)
+            low = np.where(group == 0, low0, ids[first])
+            second = np.where(group == 0, second0 if seen > 1 else ids[0], ids[np.minimum(first + 1, len(ids) - 1)])
+            low0, second0, seen = low[-1], second[-1], place[-1] + 1
+            rest, begin = place > 0, place == 1
+            columns = [np.concatenate(x) for x in ((bucket[rest], bucket[begin]), (ids[rest], low[begin]), (low[rest], low[begin]), (second[rest], second[begin]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "id", "low", "second"])
+
+    dealt = rows.repartition(parallelism(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "id")
+    return dealt.mapInArrow(run, "bucket long, id long, low long, second long")
 
 
 def likely(na: np.ndarray, nb: np.ndarray, more: np.ndarray, less: np.ndarray, m: int, threshold: float) -> np.ndarray:
@@ -198,10 +244,10 @@ def _tree(linked: np.ndarray, c: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _across(placed: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _across(placed: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of one bucket in different components, enough of them to connect what any link connects.
 
-    placed: key (a bucket, or a pair of blocks of a large one), id, c."""
+    placed: key (a bucket, or a pair of blocks of a large one), id, c; full: id, items."""
 
     def run(batches):
         for rows in tb.whole_keys(batches, 0):
@@ -221,26 +267,26 @@ def _across(placed: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
             found = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    rows = placed.join(_sets(placed.select("id").distinct(), docs, words), "id").select("key", "id", "c", "items")
+    rows = placed.join(full, "id").select("key", "id", "c", "items")
     rows = rows.repartition(parallelism(placed.sparkSession), "key").sortWithinPartitions("key")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(id, items): the full sets of the texts with these ids, written once."""
+    """(id, items): the full sets of the texts with these ids, written once.
+
+    Texts are shuffled to the ids at every size: the ids grow with the input, so they are not broadcast."""
 
     def run(batches):
         for batch in batches:
             data, offsets = tb.buffers(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(data, offsets, words)], pa.binary())], ["id", "items"])
 
-    if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled to meet the ids
-        ids = F.broadcast(ids)
-    return materialize(docs.select("id", "text").join(ids, "id", "left_semi").mapInArrow(run, "id long, items binary"), "sets")
+    return materialize(docs.select("id", "text").join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(run, "id long, items binary"), "sets")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets (id, items) have 100 * intersection >= percent * union."""
 
     def judge(batches):
         for batch in batches:
@@ -256,63 +302,101 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 keep[k] = common and 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
 
-    full = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), docs, words)
     side = lambda k: full.select(F.col("id").alias(k), F.col("items").alias(f"items_{k}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "items_a", "items_b").mapInArrow(judge, "a long, b long").distinct()
 
 
+def _open(placed: DataFrame) -> DataFrame:
+    """placed (bucket, id, c) of the buckets that hold several components, with the number n of their members."""
+    several = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1")
+    return placed.join(several.select("bucket", "n"), "bucket")
+
+
+def _blocks(placed: DataFrame, reps: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(key, id, c): what is to be compared in one place, of the members of open buckets (bucket, id, c, n)."""
+    large = placed.where(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        second = _bands(reps, bands, rows).withColumnRenamed("bucket", "other")
+        again = large.select("bucket", "id", "c").join(second, "id").where("other <> bucket").select(F.xxhash64("bucket", "other").alias("bucket"), "id", "c")
+        placed = materialize(placed.where(F.col("n") <= BLOCK).unionByName(_open(again)), "open")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    mine = F.pmod(F.xxhash64("id"), blocks)
+    pairs = F.transform(F.sequence(F.lit(0), (blocks - 1).cast("int")), lambda x: F.xxhash64("bucket", F.least(x, mine), F.greatest(x, mine)))
+    return placed.select(F.explode(pairs).alias("key"), "id", "c")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """(id, n_shingles, component) for every row of docs (columns id long, text string).
 
     component: the smallest id reachable over links, its own included.  Links join
     texts whose sets of word shingles have a Jaccard similarity of percent / 100 or
     more.  Null, empty and wordless texts have no shingles and no links.  Rows with a
-    null id are left out; repeated rows of one id come back as often as they came.
+    null id have no links and a null component; repeated rows of one id come back as often as they came.
+    Sets hold 64-bit hashes of shingles; equal sets are told by size and 128 bits.
     A pair at 0.8 escapes all bands with probability (1 - 0.8**rows)**bands, 3e-6 here."""
     m, threshold = bands * rows, percent / 100
-    docs = docs.where("id is not null")
     all_sketches = materialize(sketch(docs, words, m), "sketch")
-    reps = all_sketches.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "sketch")).alias("x")).select("f1", "f2", "n", "x.id", "x.sketch")
+    reps = all_sketches.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "sketch")).alias("x")).select("f1", "f2", "n", "x.id", "x.sketch")
     reps = materialize(reps, "sets-once")
-    rows_of = _bands(reps, bands, rows)
-    shared = rows_of.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    members = materialize(rows_of.join(shared, "bucket"), "buckets")
+    members = materialize(_members(_bands(reps, bands, rows)), "buckets")
+    full = _sets(members.select("id").distinct(), docs, words)
 
-    first = members.select(F.col("id").alias("b"), F.explode(F.array("low", "high")).alias("a")).where("a <> b")
+    first = members.select(F.col("id").alias("b"), F.explode(F.array("low", "second")).alias("a")).where("a <> b")
     first = first.groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.max("a"))).alias("a")).select(F.explode("a").alias("a"), "b")
     first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = materialize(_estimated(first, reps, m, threshold), "pairs")
-    edges = materialize(_verified(first, docs, words, percent), "links")
+    edges = materialize(_verified(_estimated(first, reps, m, threshold), full, percent), "links")
     groups = materialize(components(edges), "groups")
 
     placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    open_ = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1")
-    placed = materialize(placed.join(open_.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")), "bucket"), "open")
+    placed = materialize(_open(placed), "open")
     if not placed.isEmpty():
-        mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
-        pairs = F.transform(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")), lambda x: F.xxhash64("bucket", F.least(x, mine), F.greatest(x, mine)))
-        more = materialize(_across(placed.select(F.explode(pairs).alias("key"), "id", "c"), docs, words, percent), "links")
+        more = materialize(_across(_blocks(placed, reps, bands, rows), full, percent), "links")
         if not more.isEmpty():
             stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
             groups = materialize(components(stars.union(more)), "groups")
 
     named = reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", F.col("n").alias("n_"), F.coalesce("component", "id").alias("component"))
     out = all_sketches.select("id", "n", "f1", "f2").join(named.withColumnRenamed("n_", "n"), ["f1", "f2", "n"], "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its group, each text of it once; columns unchanged.
 
-    Rows with a null doc_id are left out."""
+    Rows with a null doc_id are linked with nothing and stay."""
     groups = near_duplicates(clashing(docs, ["doc_id", "text"]).withColumnRenamed("doc_id", "id"), words, percent)
-    kept = docs.join(groups.where("id = component").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    kept = docs.join(groups.where("id = component").select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
 
 
 def op1_minhash_dedup(docs: DataFrame) -> DataFrame:
-    """The digest: two-word shingles, similarity 0.8; one row per document.
+    """The digest: two-word shingles, similarity 0.8; one row per row of documents.
 
-    Null doc_id: left out.  Extra columns, whatever their names, are ignored; an empty table gives no rows."""
+    Rows with a null doc_id have a null component_id and are kept.  Extra columns, whatever
+    their names, are ignored; an empty table gives no rows."""
     groups = near_duplicates(clashing(docs, ["doc_id", "text"]).withColumnRenamed("doc_id", "id"), words=2, percent=80)
-    return groups.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return groups.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+ORACLE = """
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), items AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS item FROM words
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM items GROUP BY 1
+), numbered AS MATERIALIZED (
+  SELECT doc_id, n, dense_rank() OVER (ORDER BY item) AS item FROM items JOIN sizes USING (doc_id)
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM numbered a JOIN numbered b ON a.item = b.item AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges AS MATERIALIZED (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(node, low) AS (
+  SELECT a, a FROM edges UNION SELECT e.b, r.low FROM reach r JOIN edges e ON e.a = r.node WHERE r.low < e.b
+), lowest AS (
+  SELECT node, min(low) AS low FROM reach GROUP BY 1
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(low, d.doc_id) AS component_id, coalesce(low, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON node = d.doc_id
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import shared, topk_join, url_filters
+from . import minhash, shared, suffix_dedup, topk_join, url_filters
 from .bpe import op8_bpe
 from .language_id import op7_language_id
 from .minhash import op1_minhash_dedup
@@ -32,4 +32,4 @@ QUERIES = {
     "op10_paragraph_dedup": _over("documents", op10_paragraph_dedup),
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_topk_search": topk_join.ORACLE, "op5_url_filters": url_filters.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": minhash.ORACLE, "op4_suffix_dedup": suffix_dedup.ORACLE, "op2_topk_search": topk_join.ORACLE, "op5_url_filters": url_filters.ORACLE}

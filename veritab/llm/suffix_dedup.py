@@ -17,9 +17,14 @@ text before it (the suffixes of the dictionary's phrases).  With the two arrays
 longest common prefixes, the windows that reach o bytes to the left of the trigger
 are equal where both orders agree on o and LENGTH - o bytes; the earliest stays.
 
-Trigger strings that are frequent within a batch could gather in one task.  A first
-pass finds them; their phrases are split into single windows, whose keys are as many
-as there are different windows and of which a batch sends each once.
+Frequent trigger strings would gather in one task.  A first pass finds them by a mergeable
+summary of counts (Misra and Gries), whatever batches they stand in; their phrases are
+split into single windows, whose keys are as many as there are different windows and
+of which a batch sends each once.
+
+What differs from the method as published: phrases overlap, so that windows never span several;
+the order of the whole corpus isn't written down, since its dictionary's suffixes would be
+a hundred times the input; orders are kept within a trigger string, which is where equal windows meet.
 """
 
 from __future__ import annotations
@@ -30,18 +35,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from . import textbytes as tb
 from .shared import clashing, materialize, parallelism
+from .spans import cut_texts, merged, union
 
 K = 32
-#: A trigger string with so many different phrases in one batch is counted over the corpus ...
-FREQUENT = 4
-#: ... and split into windows from so many reports on.
+#: A trigger string with so many different phrases, counted batch by batch, is split into windows.
 HOT = 2_000
-#: Splitting is decided on the executors from a broadcast list of at most so many trigger strings.
-MOST_HOT = 1_000_000
+#: Trigger strings that a summary tracks, and that are split at most: 8 MB.  One that escapes the summary or the
+#: list has at most a share of 1 / TRACKED of all phrases, beside one for each task.
+TRACKED = 1 << 20
 
 _MAPPED = "kind int, key long, phrase long, doc_id long, first long, last long, at long"
 
@@ -87,17 +91,6 @@ def _same_as_before(*columns: np.ndarray) -> np.ndarray:
     return same
 
 
-def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """Overlapping or touching spans of a document joined."""
-    if not len(doc):
-        return doc, start, end
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    far = np.maximum.accumulate(end + (np.cumsum(np.append(True, doc[1:] != doc[:-1])) << 42)) & ((1 << 42) - 1)
-    new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > far[:-1]))
-    return doc[new], start[new], np.maximum.reduceat(far, np.flatnonzero(new))
-
-
 def _batch(kind, key, phrase, doc, first, last, at) -> pa.RecordBatch:
     n = len(doc)
     columns = [np.full(n, kind, np.int32), key.view(np.int64), phrase.view(np.int64), doc, first, last, at]
@@ -112,13 +105,20 @@ def _parsed(batch: pa.RecordBatch, length: int):
         found = _phrases(data[offsets[f] : offsets[to]], offsets[f : to + 1] - offsets[f], length)
         if found:
             d, a, b, t, key, phrase, prefix, base = found
-            yield ids[f:to][d], a, b, t, key, phrase, prefix, base
+            part = data[offsets[f] : offsets[to]]
+            yield ids[f:to][d], a, b, t, key, phrase, prefix, base, lambda part=part: tb.prefix_hashes(tb.byte_values(part) >> np.uint64(7), 1)
+
+
+def _fewer(keys: np.ndarray, n: np.ndarray, less: int) -> tuple[np.ndarray, np.ndarray]:
+    keep = n > less
+    return keys[keep], n[keep] - less
 
 
-def _frequent(docs: DataFrame, length: int) -> DataFrame:
-    """(key) of the trigger strings that are to be split."""
+def _frequent(docs: DataFrame, length: int) -> np.ndarray:
+    """The sorted hashes of the trigger strings that are to be split."""
 
     def run(batches):
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             parts = [(p[4], p[5]) for p in _parsed(batch, length)]
             if parts:
@@ -126,28 +126,32 @@ def _frequent(docs: DataFrame, length: int) -> DataFrame:
                 order = np.lexsort((phrase, key))
                 key, phrase = key[order], phrase[order]
                 key = key[~_same_as_before(key, phrase)]
-                keys, n = np.unique(key, return_counts=True)
-                keep = n >= FREQUENT
-                yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(n[keep])], ["key", "n"])
+                keys, which = np.unique(np.concatenate([keys, key]), return_inverse=True)
+                n = np.bincount(which, weights=np.concatenate([n, np.ones(len(key))]), minlength=len(keys)).astype(np.int64)
+                if len(keys) > TRACKED:
+                    keys, n = _fewer(keys, n, int(-np.partition(-n, TRACKED)[TRACKED]))
+        keys, n = _fewer(keys, n, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
-    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).select("key")
+    rows = docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+    return np.sort(rows.orderBy(F.desc("n"), "key").limit(TRACKED).toPandas()["key"].to_numpy(np.int64).view(np.uint64))
 
 
-def _dictionary(docs: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
+def _dictionary(docs: DataFrame, split_at: np.ndarray, length: int) -> DataFrame:
     """Kind 0: one row for each different phrase of a batch.  Kind 1: spans known to repeat within the batch."""
 
     def run(batches):
-        split_at = np.sort(hot)
         for batch in batches:
             parts = []
-            for doc, a, b, t, key, phrase, prefix, base in _parsed(batch, length):
+            for doc, a, b, t, key, phrase, prefix, base, second in _parsed(batch, length):
                 if len(split_at):
                     split = split_at[np.minimum(np.searchsorted(split_at, key), len(split_at) - 1)] == key
                     n = (b - a + 1)[split]
                     ofs = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     j = np.repeat(a[split], n) + ofs
-                    whole = tb.slice_hashes(prefix, j + np.repeat(base[split], n), j + np.repeat(base[split], n) + length)
-                    parts.append([np.repeat(doc[split], n), j, j, j, tb.mix(whole + np.uint64(5)), whole])
+                    begin = j + np.repeat(base[split], n)
+                    whole, check = tb.slice_hashes(prefix, begin, begin + length), tb.slice_hashes(second(), begin, begin + length, 1)
+                    parts.append([np.repeat(doc[split], n), j, j, j, tb.mix(whole + np.uint64(5)), check])
                     doc, a, b, t, key, phrase = (x[~split] for x in (doc, a, b, t, key, phrase))
                 parts.append([doc, a, b, t, key, phrase])
             if not parts:
@@ -160,7 +164,7 @@ def _dictionary(docs: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
             again &= ~_same_as_before(key, phrase, doc, a)
             again_at = np.flatnonzero(again)
             yield _batch(0, *(x[~again] for x in (key, phrase, doc, a, b, t)))
-            d, s, e = _merged(doc[again_at], a[again_at], b[again_at] + length)
+            d, s, e = union(doc[again_at], a[again_at], b[again_at] + length)
             yield _batch(1, tb.mix(d.view(np.uint64) + np.uint64(3)), np.zeros(len(d), np.uint64), d, s, e, s)
 
     return docs.mapInArrow(run, _MAPPED)
@@ -180,7 +184,7 @@ def _settle(rows: DataFrame, length: int) -> DataFrame:
             lead = ~_same_as_before(key, phrase)
             own = np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))
             again = (doc != doc[own]) | (first != first[own])
-            d, s, e = _merged(doc[again], first[again], last[again] + length)
+            d, s, e = union(doc[again], first[again], last[again] + length)
             yield _batch(1, d, d, d, s, e, s)
             key, phrase, doc, first, last, at = (x[lead] for x in (key, phrase, doc, first, last, at))
             _, group, n = np.unique(key, return_inverse=True, return_counts=True)
@@ -251,7 +255,7 @@ def _ordered(phrases: DataFrame, length: int) -> DataFrame:
             before, after = part.column(5).take(pa.array(order)).to_pylist(), part.column(6).take(pa.array(order)).to_pylist()
             row, o = np.nonzero(_repeated_windows(key, doc, first, last, at, before, after, length))
             start = at[row] - o
-            d, s, e = _merged(doc[row], start, start + length)
+            d, s, e = union(doc[row], start, start + length)
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], ["doc_id", "first", "last"])
 
     return phrases.repartition(parallelism(phrases.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, first long, last long")
@@ -262,46 +266,31 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
     docs: doc_id long and text string.  A byte is in a span if a string of length bytes
     that covers it also starts earlier, in a document of smaller doc_id or earlier in
-    its own.  Null texts are empty; rows with a null doc_id are left out; identical
+    its own.  Null texts are empty; rows with a null doc_id have no place in that order, so
+    nothing repeats them and they repeat nothing; identical
     repeated rows of one doc_id stand at one place and do not repeat each other."""
-    spark = docs.sparkSession
-    rows = docs.where("doc_id is not null")
-    docs = rows.select("doc_id", "text")
-    hot = _frequent(docs, length).limit(MOST_HOT + 1).toPandas()["key"].to_numpy(np.int64).view(np.uint64)
-    if len(hot) > MOST_HOT:  # the list stays bounded; strings left out of it are only dealt less evenly
-        hot = hot[:MOST_HOT]
-    settled = materialize(_settle(_dictionary(docs, hot, length), length), "phrases")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    carried = docs.select("doc_id", "text", *([F.struct(*others).alias("others")] if others else []))
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    settled = materialize(_settle(_dictionary(docs, _frequent(docs, length), length), length), "phrases")
     open_ = settled.where("kind = 0").select("key", "doc_id", "first", "last", "at")
     spans = settled.where("kind = 1").select("doc_id", "first", "last").union(_ordered(_phrase_texts(docs, open_, length), length))
     spans = spans.groupBy("doc_id").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
-    others = [c for c in rows.columns if c not in ("doc_id", "text")]
-    carried = rows.select("doc_id", "text", F.struct(*others).alias("others")) if others else docs
-    return carried.join(spans, "doc_id", "left").select("doc_id", "text", "first", "last", *(["others"] if others else []))
-
-
-def _cut(batch: pa.RecordBatch):
-    """For each document: its bytes, the merged spans, and what is left."""
-    data, offsets = tb.buffers(batch.column(1))
-    raw = data.tobytes()
-    firsts, lasts = batch.column(2), batch.column(3)
-    for k in range(len(batch)):
-        own = raw[offsets[k] : offsets[k + 1]]
-        if not firsts[k].is_valid:
-            yield own, [], own
-            continue
-        s, e = np.array(firsts[k].as_py(), np.int64), np.array(lasts[k].as_py(), np.int64)
-        _, s, e = _merged(np.zeros(len(s), np.int64), s, e)
-        keep = [own[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(own)], strict=True)]
-        yield own, list(zip(s.tolist(), e.tolist(), strict=True)), b"".join(keep)
+    kept, none = [c for c in carried.columns if c == "others"], F.lit(None).cast("array<long>")
+    found = carried.where("doc_id is not null").join(spans, "doc_id", "left").select("doc_id", "text", "first", "last", *kept)
+    return found.unionByName(carried.where("doc_id is null").select("doc_id", "text", none.alias("first"), none.alias("last"), *kept))
 
 
 def op4_suffix_dedup(docs: DataFrame) -> DataFrame:
-    """The digest: strings of 100 bytes; one row per document."""
+    """The digest: strings of 100 bytes; one row per row of documents.
+
+    Null texts are empty; rows with a null doc_id lose nothing; repeated rows of one doc_id do not repeat each other.
+    Extra columns, whatever their names, are ignored; an empty table gives no rows."""
 
     def run(batches):
         for batch in batches:
             n, removed, count, digest = [], [], [], []
-            for own, spans, left in _cut(batch):
+            for own, spans, left in merged(batch):
                 n.append(len(own))
                 removed.append(len(own) - len(left))
                 count.append(len(spans))
@@ -314,14 +303,35 @@ def op4_suffix_dedup(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """docs with the repeated spans cut out of text and n_chars counted anew; bytes of characters cut in two go as well."""
-
-    def run(batches):
-        for batch in batches:
-            texts = [left.decode(errors="ignore") for _, _, left in _cut(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[4:]], names)
-
-    spans = repeated_spans(docs, length)
-    names = ["doc_id", "text", *spans.columns[4:]]
-    cut = spans.mapInArrow(run, StructType([spans.schema[c] for c in names]))
-    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
-    return cut.select(*(new[c] if c in new else F.col("others")[c].alias(c) for c in docs.columns))
+    return cut_texts(docs, repeated_spans(docs, length))
+
+
+ORACLE = """
+WITH raw AS MATERIALIZED (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+  SELECT doc_id, h, octet_length(b) AS n, unnest(range(0, octet_length(b) - 99, 500)) AS s FROM raw WHERE octet_length(b) >= 100
+), blocks AS MATERIALIZED (
+  SELECT doc_id, s, least(500, n - 99 - s) AS k, substr(h, 2 * s + 1, 1198) AS h FROM starts
+), windows AS (
+  SELECT doc_id, s, h, unnest(range(0, k)) AS p FROM blocks
+), hashed AS MATERIALIZED (
+  SELECT doc_id, s + p AS p, md5_number(substr(h, 2 * p + 1, 200)) AS w FROM windows
+), again AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS nth FROM hashed) WHERE nth > 1
+), runs AS (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS opens FROM again
+), spans AS MATERIALIZED (
+  SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM runs) GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, e AS s, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS e FROM spans
+  UNION ALL SELECT doc_id, 0, min(s) FROM spans GROUP BY 1
+), kept AS (
+  SELECT r.doc_id, string_agg(substr(r.h, 2 * g.s + 1, 2 * (coalesce(g.e, octet_length(r.b)) - g.s)), '' ORDER BY g.s) AS h FROM raw r JOIN gaps g ON g.doc_id = r.doc_id GROUP BY 1
+), cut AS (
+  SELECT doc_id, sum(e - s) AS n, count(*) AS k FROM spans GROUP BY 1
+)
+SELECT r.doc_id, CAST(octet_length(r.b) AS BIGINT) AS n_bytes, CAST(coalesce(c.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.k, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN c.k IS NULL THEN r.b ELSE unhex(kept.h) END) AS kept_sha256
+FROM raw r LEFT JOIN cut c ON c.doc_id = r.doc_id LEFT JOIN kept ON kept.doc_id = r.doc_id
+"""

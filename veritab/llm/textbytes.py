@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Odd bases of the polynomials and their inverses; the second serves where 64 bits do not suffice.
+_BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
+_INVERSES = [pow(b, -1, 1 << 64) for b in _BASES]
 _BYTE_VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _tables: dict[int, np.ndarray] = {}
 
@@ -45,18 +46,18 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def prefix_hashes(values: np.ndarray) -> np.ndarray:
-    """P with P[i] = sum of values[j] * base**j for j < i."""
+def prefix_hashes(values: np.ndarray, which: int = 0) -> np.ndarray:
+    """P with P[i] = sum of values[j] * base**j for j < i; which: the base."""
     out = np.zeros(len(values) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(values * powers(_BASE, len(values)), out=out[1:])
+        np.cumsum(values * powers(_BASES[which], len(values)), out=out[1:])
     return out
 
 
-def slice_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def slice_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """Hash of values[start:end] for each pair, independent of where it stands."""
     with np.errstate(over="ignore"):
-        return mix((prefix[end] - prefix[start]) * powers(_INVERSE, len(prefix))[start] + (end - start).astype(np.uint64))
+        return mix((prefix[end] - prefix[start]) * powers(_INVERSES[which], len(prefix))[start] + (end - start).astype(np.uint64))
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:
@@ -109,15 +110,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def whole_keys(batches, key: int):
     """Batches recut so that rows of one key, which follow each other, are never parted."""
-    rest = None
+    held: list[pa.Table] = []
     for batch in batches:
-        part = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        keys = part.column(key).to_numpy()
+        keys = batch.column(key).to_numpy()
         if not len(keys):
             continue
-        cut = int(np.searchsorted(-(keys != keys[-1]).astype(np.int8), 0)) if keys[0] != keys[-1] else 0
+        part = pa.Table.from_batches([batch])
+        other = np.flatnonzero(keys != keys[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
         if cut:
-            yield part.slice(0, cut)
-        rest = part.slice(cut)
-    if rest is not None and len(rest):
-        yield rest
+            yield pa.concat_tables([*held, part.slice(0, cut)])
+            held = []
+        elif held and held[-1].column(key)[-1].as_py() != keys[0]:
+            yield pa.concat_tables(held)
+            held = []
+        held.append(part.slice(cut))
+    if held:
+        yield pa.concat_tables(held)
