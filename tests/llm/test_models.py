@@ -2,6 +2,7 @@ import os
 import sys
 
 import brute
+import numpy as np
 import pytest
 from conftest_llm import SCHEMA, frame
 from pyspark.sql import functions as F
@@ -27,6 +28,39 @@ def test_rules_on_odd_tables(spark, docs, empty):
     assert [r.kept for r in quality_rules.op3_quality_rules(one).collect()] == [True, True]
 
 
+def plain_distances(rows):
+    """Squared distances to a plain minimum-covariance-determinant estimate of one group: rows of counts that passed, as float vectors in steps of 1/1024."""
+    w, c = np.maximum(rows[:, 0], 1), np.maximum(rows[:, 1], 1)
+    x = np.round(np.stack([np.log1p(rows[:, 0]), np.log(c / w), np.sqrt(rows[:, 2] / c), np.sqrt(rows[:, 3] / w), rows[:, 4] / w], axis=1) * 1024) / 1024
+    quarter = lambda q: np.sort(np.floor(x * 128), axis=0)[int(np.ceil(q * len(x))) - 1] / 128
+    mean, cov, was = quarter(0.5), np.diag(((quarter(0.75) - quarter(0.25)) / 1.349) ** 2), np.inf
+    floors = np.diag(np.square(quality_rules.FLOORS))
+    for _ in range(quality_rules.STEPS + 1):
+        away = x - mean
+        distance = np.einsum("ni,ij,nj->n", away, np.linalg.inv(cov + floors), away)
+        now = np.linalg.slogdet(cov + floors)[1]
+        if was - now <= quality_rules.SHRINKS:
+            return distance
+        was = now
+        bins = np.floor(16 * np.log2(distance + 1e-3))
+        order = np.sort(bins)
+        near = x[bins <= order[int(np.ceil(quality_rules.SHARE * len(x))) - 1]]
+        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * quality_rules.CONSISTENCY
+    return distance
+
+
+def test_verdicts_are_those_of_a_plain_estimate(spark):
+    """One group, so that its own convergence ends the steps."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"lang": F.lit("x"), "source": F.lit("y")})
+    rows = sorted(quality_rules.judge(docs).collect(), key=lambda r: r.doc_id)
+    passed = [r for r in rows if not r.base_failed]
+    distance = plain_distances(np.array([[r[c] for c in quality_rules.COUNTS] for r in passed], float))
+    assert np.allclose([r.distance for r in passed], distance, rtol=1e-6, atol=1e-9)
+    assert [r.kept for r in passed] == (distance <= quality_rules.CUTOFF).tolist()
+    again = sorted(quality_rules.judge(docs.repartition(7)).collect(), key=lambda r: r.doc_id)
+    assert [tuple(r) for r in again] == [tuple(r) for r in rows]
+
+
 def test_rules_leave_good_documents(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     found = queries.QUERIES["op3_quality_rules"](spark, SF).join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
@@ -44,7 +78,7 @@ def test_expectation_maximisation_finds_the_weak_labeller():
 def test_classifier(spark, docs, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     share = {(r.quality, r.toxic): r.k for r in queries.QUERIES["op6_quality_classifier"](spark, SF).join(labels, "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
-    assert share[1, 0] > 0.99 and share[1, 1] < 0.6
+    assert share[1, 0] > 0.97 and share[1, 1] < 0.2
     rows = {r.doc_id: r for r in quality_classifier.op6_quality_classifier(docs).collect()}
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows.values())
     assert all(rows[r.doc_id].score == 0 for r in docs.where("text is null or text = ''").collect())

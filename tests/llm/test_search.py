@@ -17,10 +17,10 @@ def brute(rows):
     ok = {}
     for k, v in rows:
         if k is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            ok[k] = [math.floor(256 * float(np.float32(x))) for x in v]
+            ok.setdefault(k, [math.floor(256 * float(np.float32(x))) for x in v])
     out = []
     for q in sorted(k for k in ok if k % 50 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(ok[q], ok[k], strict=True)), k) for k in ok if k != q)[:5]
+        scores = sorted((-sum(a * b for a, b in zip(ok[q], ok[k], strict=False)), k) for k in ok if k != q)[:5]
         out += [(q, r, k, -s) for r, (s, k) in enumerate(scores, 1)]
     return out
 
@@ -37,6 +37,17 @@ def test_top_k_is_exact(spark, block, monkeypatch):
     assert sorted(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()) == brute(rows)
 
 
+def test_vectors_of_any_length_and_size(spark):
+    """Shorter vectors count as filled with zeros; large components stay exact, and scores beyond 64 bits are refused."""
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=1 + k % 5).tolist()) for k in range(200)]
+    rows += [(k, (1e6 * rng.normal(size=3)).tolist()) for k in range(200, 230)] + [(k, [2.0**22, 3.0]) for k in range(250, 252)]
+    found = topk_join.op2_topk_search(vectors(spark, rows))
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows)
+    with pytest.raises(Exception, match="64 bits"):
+        topk_join.op2_topk_search(vectors(spark, [(0, [1e30, 1.0]), (1, [1e30, 2.0])])).collect()
+
+
 def test_few_vectors(spark):
     assert not topk_join.op2_topk_search(vectors(spark, [])).collect()
     assert not topk_join.op2_topk_search(vectors(spark, [(0, [1.0])])).collect()
@@ -64,17 +75,23 @@ URLS = [
     ("http://x.com/DE/1", "x.com", "/DE/1", None, "allow"),
     ("http://www.free-bets.com/fr/1", "www.free-bets.com", "/fr/1", "com/fr/", "allow"),
     ("http://www.free-bets.net/fr/1", "www.free-bets.net", "/fr/1", None, "block"),
+    ("http://casino-win.spam-farm.net/", "casino-win.spam-farm.net", "/", None, "block"),
     ("http://carefree-bets.net/", "carefree-bets.net", "/", None, "allow"),
     ("http://h?a://b/c", "h", "", None, "allow"),
     ("http://com/fr/", "com", "/fr/", "com/fr/", "allow"),
 ]
 
 
-def test_urls(spark):
+def test_urls(spark, monkeypatch):
     pages = spark.createDataFrame([(k, u, "<p>", "x", 1) for k, (u, *_) in enumerate(URLS)], "page_id long, url string, html string, host string, tokens int")
     found = {r.page_id: r for r in url_filters.op5_url_filters(pages.union(pages)).collect()}
     for k, (url, *want) in enumerate(URLS):
         assert [found[k].host, found[k].path, found[k].rule, found[k].verdict] == want, url
+    assert next(r.pattern for r in found.values() if r.host == "casino-win.spam-farm.net") == url_filters.PATTERN_RULES[-1]
+    monkeypatch.setattr(url_filters, "INLINE_RULES", 3)
+    joined = url_filters.op5_url_filters(pages.union(pages))
+    assert sorted(map(str, joined.collect())) == sorted(map(str, url_filters.op5_url_filters(pages.union(pages)).collect()))
+    assert {str(r) for r in joined.collect()} == {str(r) for r in found.values()}
     assert not url_filters.op5_url_filters(pages.limit(0)).collect()
     assert "Python" not in url_filters.op5_url_filters(pages)._jdf.queryExecution().executedPlan().toString().replace("PythonRDD", "")
 

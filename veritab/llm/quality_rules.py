@@ -3,7 +3,8 @@
 Statistics are whole-text counts.  Transformed, they are vectors of five numbers.  For
 each group of language and source the estimate starts from medians and quartiles and is
 improved by concentration steps: the 75 % of the group nearest in Mahalanobis distance
-give the next mean and covariance.  A step is one aggregation by (group, distance
+give the next mean and covariance, until no group's determinant shrinks any more.  Statistics are
+rounded to 1/1024 and summed as whole numbers, so that estimates do not depend on the order of rows.  A step is one aggregation by (group, distance
 bin) with sums of first and second powers, so no group is ever gathered in one task;
 what is left for each group is a few hundred bins.  The statistics table is small, is
 written once and serves all steps.
@@ -32,7 +33,9 @@ SHARE = 0.75
 CONSISTENCY = 1.41
 #: Squared distances above this are outliers: the chi-squared quantile for P = 5 at 1 - 2e-8.
 CUTOFF = 45.0
-STEPS = 3
+#: Concentration steps at most, and the decrease of a logarithm of the determinant that asks for another.
+STEPS, SHRINKS = 12, 0.01
+UNIT = 1024
 
 
 def count_batch(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -96,23 +99,27 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 def _vector() -> list:
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    return [F.log1p("n_words"), F.log(chars / words), F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_dup_lines") / words), F.col("n_repeat_words") / words]
+    every = [F.log1p("n_words"), F.log(chars / words), F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_dup_lines") / words), F.col("n_repeat_words") / words]
+    return [F.round(x * UNIT).cast("long") for x in every]
 
 
 X = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-_ESTIMATE = "g1 string, g2 string, " + ", ".join(f"m{i} double" for i in range(P)) + ", " + ", ".join(f"w{i}{j} double" for i, j in PAIRS)
+_ESTIMATE = "g1 string, g2 string, determinant double, " + ", ".join(f"m{i} double" for i in range(P)) + ", " + ", ".join(f"w{i}{j} double" for i, j in PAIRS)
 
 
 def _row(group: tuple, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
-    inverse = np.linalg.inv(cov + np.diag(np.square(FLOORS)))
-    return pd.DataFrame([[*group, *mean, *(inverse[i, j] * (1 if i == j else 2) for i, j in PAIRS)]], columns=["g1", "g2", *(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in PAIRS)])
+    """An estimate; determinant is its logarithm."""
+    cov = cov + np.diag(np.square(FLOORS))
+    inverse = np.linalg.inv(cov)
+    row = [*group, np.linalg.slogdet(cov)[1], *mean, *(inverse[i, j] * (1 if i == j else 2) for i, j in PAIRS)]
+    return pd.DataFrame([row], columns=["g1", "g2", "determinant", *(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in PAIRS)])
 
 
 def _start(bins: DataFrame) -> DataFrame:
     """Medians and quartiles from counts of (group, dimension, bin), bins 1/128 wide."""
 
-    def run(group, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         mean, spread = np.zeros(P), np.zeros(P)
         for d, part in rows.groupby("dim"):
             part = part.sort_values("bin")
@@ -127,22 +134,22 @@ def _start(bins: DataFrame) -> DataFrame:
 def _step(sums: DataFrame) -> DataFrame:
     """The next estimate from sums over distance bins: the nearest bins that hold SHARE of the group."""
 
-    def run(group, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bin")
         to = rows["n"].cumsum().to_numpy()
         near = rows.iloc[: int(np.searchsorted(to, SHARE * to[-1])) + 1]
         n = near["n"].sum()
-        mean = np.array([near[x].sum() / n for x in X])
+        mean = np.array([near[x].sum() / n / UNIT for x in X])
         cov = np.zeros((P, P))
         for i, j in PAIRS:
-            cov[i, j] = cov[j, i] = near[f"s{i}{j}"].sum() / n - mean[i] * mean[j]
+            cov[i, j] = cov[j, i] = near[f"s{i}{j}"].sum() / n / UNIT**2 - mean[i] * mean[j]
         return _row(group, mean, cov * CONSISTENCY)
 
     return sums.groupBy("g1", "g2").applyInPandas(run, _ESTIMATE)
 
 
 def _distance():
-    away = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(P)]
+    away = [F.col(f"x{i}") / UNIT - F.col(f"m{i}") for i in range(P)]
     return sum((away[i] * away[j] * F.col(f"w{i}{j}") for i, j in PAIRS), F.lit(0.0))
 
 
@@ -159,16 +166,22 @@ def judge(docs: DataFrame) -> DataFrame:
     vectors = stats.withColumns(dict(zip(X, _vector(), strict=True)))
     good = vectors.where("not base_failed").select("g1", "g2", *X)
 
-    cells = good.select("g1", "g2", F.posexplode(F.array(*[F.floor(F.col(x) * 128) for x in X])).alias("dim", "bin"))
+    cells = good.select("g1", "g2", F.posexplode(F.array(*[F.floor(F.col(x) / (UNIT // 128)) for x in X])).alias("dim", "bin"))
     estimate = materialize(_start(cells.groupBy("g1", "g2", "dim", "bin").agg(F.count("*").alias("n"))), "estimate")
     for _ in range(STEPS):
         near = good.join(estimate, ["g1", "g2"]).withColumn("bin", F.floor(16 * F.log2(_distance() + 1e-3)))
         sums = near.groupBy("g1", "g2", "bin").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in X), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS))
-        estimate = materialize(_step(sums), "estimate")
+        before, estimate = estimate, materialize(_step(sums), "estimate")
+        shrunk = before.select("g1", "g2", F.col("determinant").alias("was")).join(estimate, ["g1", "g2"]).agg(F.max(F.col("was") - F.col("determinant"))).first()[0]
+        if (shrunk or 0.0) <= SHRINKS:
+            break
     out = vectors.join(estimate, ["g1", "g2"], "left").withColumn("distance", _distance())
     return out.select("doc_id", *COUNTS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(False))).alias("kept"))
 
 
 def op3_quality_rules(docs: DataFrame) -> DataFrame:
-    """The digest: counts and verdict, one row per row of documents, null doc_id included."""
+    """The digest: counts and verdict, one row per row of documents, null doc_id and repeated rows included.
+
+    Null texts count as empty and fail; null lang or source is the group of the empty name; extra columns,
+    whatever their names, are ignored; an empty table gives no rows."""
     return judge(clashing(docs, ["doc_id", "text", "lang", "source"]))

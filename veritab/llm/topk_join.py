@@ -1,13 +1,14 @@
 """Exact top-k inner products by a Voronoi partition.
 
-Pivots are data vectors; every vector belongs to its nearest pivot.  A group's summary is its size,
+Pivots are data vectors, more of them in larger tables; every vector belongs to its nearest pivot.  A group's summary is its size,
 radius and the distances of its k + 1 members nearest to the pivot c.  For a query
 q and a group, <q, x> <= <q, c> + |q| radius, and the i-th nearest member has at least
 <q, c> - |q| d_i.  The k-th best of all those lower bounds is a score that the answer
 certainly reaches, so q goes only to groups whose upper bound reaches it.  Groups
 are dealt out in packed blocks of bounded size, a large group in many; blocks and the
 queries that need them meet in one join, are multiplied as matrices, and only scores
-that reach the bound leave.
+that reach the bound leave, the k best of each query in a batch of blocks.
+Vectors travel as the narrowest integers that hold them.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .shared import clashing, materialize, parallelism
 
-#: Pivots at most; their vectors and summaries are what reaches the driver.
-PIVOTS = 256
+#: Vectors for each pivot, and the bounds on the number of pivots; their vectors and summaries are what reaches the driver.
+EACH, PIVOTS = 512, (16, 4096)
 #: Rows of a block of data and of queries.
 BLOCK, QUERIES = 2048, 256
 #: Sums of products below this are exact in doubles.
@@ -28,15 +29,50 @@ EXACT = float(1 << 53)
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, v) with v = floor(scale * x) per component as doubles; without vectors that are null, empty or hold null, NaN or infinity."""
-    whole = F.col("embedding").cast("array<double>")
-    fit = F.forall(whole, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e300))
+    """(vec_id, v) with v = floor(scale * x) per component as doubles; without vectors that are null, empty or hold null, NaN or infinity
+    (or become infinite)."""
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * scale)
+    fit = F.forall(whole, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where((F.size("embedding") > 0) & fit)
-    return rows.select("vec_id", F.transform(whole, lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    # a double of 2**52 or more is whole, and may be too large for the long that floor gives
+    return rows.select("vec_id", F.transform(whole, lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)).alias("v"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of the given width; shorter ones are filled with zeros, which add nothing to a product."""
+    size, flat = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy()
+    if (size == width).all():
+        return flat.reshape(len(column), width)
+    out = np.zeros((len(column), width))
+    out[np.arange(width)[None, :] < size[:, None]] = flat
+    return out
+
+
+_KINDS = [np.dtype(np.int16), np.dtype(np.int32), np.dtype(np.float64)]
+
+
+def _packed(rows: np.ndarray) -> bytes:
+    most = np.abs(rows).max() if rows.size else 0
+    code = 0 if most < 1 << 15 else 1 if most < 1 << 31 else 2
+    return bytes([code]) + rows.astype(_KINDS[code]).tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw[1:], _KINDS[raw[0]]).astype(np.float64).reshape(n, -1)
+
+
+def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """All inner products as exact 64-bit integers."""
+    most = v.shape[1] * np.abs(v).max() * np.abs(q).max()
+    if most < EXACT:
+        return (q @ v.T).astype(np.int64)
+    if most < float(1 << 62):
+        return q.astype(np.int64) @ v.T.astype(np.int64)
+    left, right = ([[int(x) for x in row] for row in m] for m in (q, v))
+    exact = [[sum(a * b for a, b in zip(x, y, strict=True)) for y in right] for x in left]
+    if any(not -(1 << 63) <= s < 1 << 63 for row in exact for s in row):
+        raise OverflowError("a score does not fit in 64 bits")
+    return np.array(exact, np.int64)
 
 
 def _blocks(data: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
@@ -46,11 +82,11 @@ def _blocks(data: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
         order = np.lexsort((ids, distance))
         for k in range(0, len(order), size):
             at = order[k : k + size]
-            yield part, len(at), distance[at].tobytes(), ids[at].tobytes(), rows[at].astype(np.float64).tobytes()
+            yield part, len(at), distance[at].tobytes(), ids[at].tobytes(), _packed(rows[at])
 
     def run(batches):
         for batch in batches:
-            ids, rows = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            ids, rows = batch.column(0).to_numpy(), _matrix(batch.column(1), pivots.shape[1])
             if not len(ids):
                 continue
             near = (pivots**2).sum(axis=1)[None, :] - 2 * rows @ pivots.T
@@ -95,7 +131,7 @@ def _routed(queries: DataFrame, pivots: np.ndarray, summaries: dict, k: int) ->
 
     def run(batches):
         for batch in batches:
-            ids, rows = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            ids, rows = batch.column(0).to_numpy(), _matrix(batch.column(1), pivots.shape[1])
             out = []
             for f in range(0, len(ids), QUERIES):
                 q, own = rows[f : f + QUERIES], ids[f : f + QUERIES]
@@ -105,42 +141,48 @@ def _routed(queries: DataFrame, pivots: np.ndarray, summaries: dict, k: int) ->
                 low = middle[:, owner] - length * nearest[None, :] - slack[:, owner]
                 # the query itself may be among the k + 1 best, so the (k + 1)-th counts
                 floor = -np.partition(-low, k, axis=1)[:, k] if low.shape[1] > k else np.full(len(q), -np.inf)
-                need = middle + length * radius[None, :] + slack >= floor[:, None]
+                floor = np.where(np.isfinite(floor), floor, -np.inf)
+                need = ~(middle + length * radius[None, :] + slack < floor[:, None])  # what overflows is needed
                 for j in np.flatnonzero(need.any(axis=0)).tolist():
                     at = np.flatnonzero(need[:, j])
-                    out.append((int(parts[j]), own[at].tobytes(), q[at].tobytes(), floor[at].tobytes()))
+                    out.append((int(parts[j]), own[at].tobytes(), _packed(q[at]), floor[at].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["part", "q_ids", "q", "floor"])
 
     return queries.select("vec_id", "v").mapInArrow(run, "part long, q_ids binary, q binary, floor binary")
 
 
+def _best(columns: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """(query, id, score) reduced to the k best of each query; an id counts once, with its best score."""
+    order = np.lexsort((-columns[2], columns[1], columns[0]))
+    q, ids, score = (c[order] for c in columns)
+    once = np.append(True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1]))
+    q, ids, score = q[once], ids[once], score[once]
+    order = np.lexsort((ids, -score, q))
+    q, ids, score = q[order], ids[order], score[order]
+    new = np.append(True, q[1:] != q[:-1])
+    near = np.arange(len(q)) - np.maximum.accumulate(np.where(new, np.arange(len(q)), 0)) < k
+    return [q[near], ids[near], score[near]]
+
+
 def _solved(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best of each query within each block, of those that reach the query's floor."""
+    """The k best of each query within each batch of blocks, of those that reach the query's floor."""
 
     def run(batches):
         for batch in batches:
-            for ids, v, q_ids, q, floor in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = []
+            for row in zip(*batch.columns, strict=True):
+                ids, v, q_ids, q, floor = (x.as_py() for x in row)
                 ids, q_ids, floor = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64), np.frombuffer(floor, np.float64)
-                v, q = np.frombuffer(v, np.float64).reshape(len(ids), -1), np.frombuffer(q, np.float64).reshape(len(q_ids), -1)
-                if v.shape[1] * np.abs(v).max() * np.abs(q).max() < EXACT:
-                    score = (q @ v.T).astype(np.int64)
-                else:
-                    score = q.astype(np.int64) @ v.T.astype(np.int64)
-                if len(np.unique(ids)) < len(ids):
-                    order = np.argsort(ids, kind="stable")
-                    lead = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
-                    ids, score = ids[order][lead], np.maximum.reduceat(score[:, order], lead, axis=1)
+                v, q = _unpacked(v, len(ids)), _unpacked(q, len(q_ids))
+                score = _scores(q, v)
                 usable = (score >= floor[:, None]) & (ids[None, :] != q_ids[:, None])
-                found = []
-                for i in np.flatnonzero(usable.any(axis=1)).tolist():
-                    j = np.flatnonzero(usable[i])
-                    if len(j) > k:
-                        j = j[score[i, j] >= -np.partition(-score[i, j], k - 1)[k - 1]]
-                    j = j[np.lexsort((ids[j], -score[i, j]))][:k]
-                    found.append((np.full(len(j), q_ids[i]), ids[j], score[i, j]))
-                if found:
-                    columns = [np.concatenate(x) for x in zip(*found, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+                if len(ids) > 4 * k and len(np.unique(ids)) == len(ids):  # only what may be among the k best
+                    usable &= score >= -np.partition(-np.where(usable, score, np.iinfo(np.int64).min + 1), k - 1, axis=1)[:, k - 1 : k]
+                i, j = np.nonzero(usable)
+                found.append((q_ids[i], ids[j], score[i, j]))
+            if any(len(x[0]) for x in found):
+                columns = _best([np.concatenate(x) for x in zip(*found, strict=True)], k)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
     return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
 
@@ -150,17 +192,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     vectors and queries: vec_id long, v array<double> of whole numbers (see quantised).
     A row is no candidate for a query of its own vec_id; repeated rows are candidates
-    once.  Vectors of another length than the first pivot's take no part.  Empty tables give no rows."""
+    once.  Vectors may differ in length: what a shorter one lacks counts as zero.  Empty tables give no rows.
+    A score beyond 64 bits is refused."""
     spark = vectors.sparkSession
-    first = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(PIVOTS).collect()
-    if not first:
+    n, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width = len(first[0]["v"])
-    pivots = np.unique(np.array([r["v"] for r in first if len(r["v"]) == width]), axis=0)
-    whole = F.size("v") == width
-    blocks = materialize(_blocks(vectors.where(whole), pivots, BLOCK), "blocks")
+    first = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(min(PIVOTS[1], max(PIVOTS[0], n // EACH))).collect()
+    pivots = np.unique(np.array([r["v"] + [0.0] * (width - len(r["v"])) for r in first]), axis=0)
+    blocks = materialize(_blocks(vectors, pivots, BLOCK), "blocks")
     summaries = _summaries(blocks, k)
-    routed = _routed(queries.where(whole).distinct(), pivots, summaries, k)
+    routed = _routed(queries.repartition(parallelism(spark), "vec_id").distinct(), pivots, summaries, k)
     # a group of many blocks is spread over as many tasks: its queries go to each
     spread = 8 * parallelism(spark)
     salts = F.create_map(*[F.lit(x) for p, (n, _, _) in sorted(summaries.items()) for x in (p, min(n, spread))])
@@ -173,7 +215,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 
 def op2_topk_search(vectors: DataFrame) -> DataFrame:
-    """The digest: queries are the rows whose vec_id is divisible by 50."""
+    """The digest: queries are the rows whose vec_id is divisible by 50.
+
+    Null ids, vectors that are null, empty or not finite take no part; repeated rows count once; an empty table gives no rows."""
     data = quantised(clashing(vectors, ["vec_id", "embedding"]))
     return top_k(data, data.where("vec_id % 50 = 0"), 5)
 

@@ -3,8 +3,9 @@
 Every rule has literal tokens that a matching URL must hold.  The corpus is counted
 once for the tokens of the rules, and each rule is filed under the token that the
 fewest URLs hold.  A URL's tokens fetch the rules filed under them; only
-those run their regular expressions.  Rules are a parameter of bounded number, so the
-index is a literal map and no row of the table is shuffled to be judged.
+those run their regular expressions.  Up to INLINE_RULES rules the index is a literal
+map and no row of the table is shuffled to be judged; more rules are a table that the tokens of different
+hosts and paths are joined to.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .shared import clashing
 
-#: Rules that one index may hold.
-MOST_RULES = 2_000
+#: Rules that are looked up in a literal map; more are joined.
+INLINE_RULES = 2_000
 
 #: Fixed values: (verdict, prefix of host and path).
 PREFIX_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -80,31 +81,18 @@ def verdicts(pages: DataFrame, prefixes: list[tuple[str, str]] = PREFIX_RULES, p
     """(page_id, host, path, rule, verdict, pattern) of every row.
 
     rule: the longest prefix rule that fits, else null; its verdict stands.  Without one
-    a URL that a pattern matches is blocked and any other allowed; pattern is the
-    first that matched.  Null urls and urls without :// have empty host and path
+    a URL that a pattern matches is blocked and any other allowed; pattern is the one that
+    matched, of several the last in the alphabet.  Null urls and urls without :// have empty host and path
     and are allowed.  Repeated rows are judged alike; nothing is dropped."""
-    rules = [(p, prefix_pattern(p), v, prefix_tokens(p), len(p)) for v, p in prefixes] + [(p, p, "block", literal_tokens(p), 0) for p in patterns]
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules; split them over several indexes")
+    rules = [(len(p), p, v, prefix_pattern(p), prefix_tokens(p)) for v, p in prefixes] + [(0, p, "block", p, literal_tokens(p)) for p in patterns]
     for rule in rules:
-        if not rule[3]:
-            raise ValueError(f"no literal token in rule {rule[0]!r}")
+        if not rule[4]:
+            raise ValueError(f"no literal token in rule {rule[1]!r}")
     pages = parts(pages)
     filed: dict[str, list] = {}
-    for rule, token in zip(rules, rarest(pages, [r[3] for r in rules]), strict=True):
-        filed.setdefault(token, []).append(rule)
-
-    # the filed tokens a URL holds choose the rules whose expressions run: each is behind its token's test
-    have = F.array_intersect(F.col("tokens"), F.array(*[F.lit(t) for t in sorted(filed)]))
-    full = F.concat("host", "path")
-    hits = []
-    for token, under in sorted(filed.items()):
-        for name, pattern, verdict, _, length in under:
-            hit = F.struct(F.lit(length).alias("length"), F.lit(name).alias("name"), F.lit(verdict).alias("verdict"))
-            hits.append(F.when(F.array_contains("have", token) & full.rlike(pattern), hit))
-    judged = pages.withColumn("tokens", tokens(full)).withColumn("have", have)
-    best = F.when(F.size("have") > 0, F.array_max(F.array_compact(F.array(*hits))))
-    judged = judged.withColumn("best", best)
+    for rule, token in zip(rules, rarest(pages, [r[4] for r in rules]), strict=True):
+        filed.setdefault(token, []).append(rule[:4])
+    judged = _looked_up(pages, filed) if len(rules) <= INLINE_RULES else _joined(pages, filed)
     own = F.col("best.length") > 0
     return judged.select(
         "page_id", "host", "path",
@@ -114,8 +102,33 @@ def verdicts(pages: DataFrame, prefixes: list[tuple[str, str]] = PREFIX_RULES, p
     )
 
 
+_RULE = ["length", "name", "verdict", "regex"]
+
+
+def _looked_up(pages: DataFrame, filed: dict[str, list]) -> DataFrame:
+    """pages with best, the longest rule that matches: the filed tokens that a URL holds fetch their rules, which alone run."""
+    if not filed:
+        return pages.withColumn("best", F.lit(None).cast("struct<length:int,name:string,verdict:string>"))
+    full = F.concat("host", "path")
+    index = F.create_map(*[c for token, under in sorted(filed.items()) for c in (F.lit(token), F.array(*[F.struct(*(F.lit(x).alias(n) for x, n in zip(r, _RULE, strict=True))) for r in under]))])
+    have = F.array_intersect(tokens(full), F.array(*[F.lit(t) for t in sorted(filed)]))
+    hits = F.filter(F.flatten(F.transform(have, lambda t: index[t])), lambda r: F.rlike(F.concat("host", "path"), r["regex"]))
+    return pages.withColumn("best", F.array_max(hits))
+
+
+def _joined(pages: DataFrame, filed: dict[str, list]) -> DataFrame:
+    """The same through a join of the tokens of different hosts and paths with the table of rules."""
+    rows = [(token, *r) for token, under in sorted(filed.items()) for r in under]
+    rules = pages.sparkSession.createDataFrame(rows, "token string, length int, name string, verdict string, regex string")
+    urls = pages.select("host", "path").distinct()
+    met = urls.select("host", "path", F.explode(tokens(F.concat("host", "path"))).alias("token")).join(rules, "token")
+    met = met.where(F.rlike(F.concat("host", "path"), F.col("regex"))).groupBy("host", "path").agg(F.max(F.struct(*_RULE)).alias("best"))
+    return pages.join(met, ["host", "path"], "left")
+
+
 def op5_url_filters(pages: DataFrame) -> DataFrame:
-    """The digest: one row for each row of pages."""
+    """The digest: one row for each row of pages, null page_id and repeated rows included; extra columns, whatever their names,
+    are ignored; an empty table gives no rows."""
     return verdicts(clashing(pages, ["page_id", "url"]))
 
 
@@ -133,7 +146,9 @@ WITH cut AS (
          WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
          WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
          WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule,
-    regexp_extract(host || path, '(?:^|[.-])(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)[.]', 1) AS bad
+    CASE WHEN regexp_matches(host || path, '(^|[.-])spam-farm[.]') THEN 'spam-farm' WHEN regexp_matches(host || path, '(^|[.-])free-bets[.]') THEN 'free-bets'
+         WHEN regexp_matches(host || path, '(^|[.-])cheap-pills[.]') THEN 'cheap-pills' WHEN regexp_matches(host || path, '(^|[.-])casino-win[.]') THEN 'casino-win'
+         WHEN regexp_matches(host || path, '(^|[.-])adult-x[.]') THEN 'adult-x' WHEN regexp_matches(host || path, '(^|[.-])ads-track[.]') THEN 'ads-track' ELSE '' END AS bad
   FROM split
 )
 SELECT page_id, host, path, rule,
