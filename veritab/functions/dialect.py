@@ -10,6 +10,7 @@ Everything here is an expression that Catalyst sees; no Python runs on rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass
 from decimal import Decimal
@@ -64,10 +65,11 @@ def exact_decimals(spark: SparkSession):
 
 @dataclass(frozen=True)
 class Value:
-    """A column and its kind: text, double or decimal."""
+    """A column, its kind (text, double or decimal), and its value if it is a number that was written out."""
 
     col: Column
     kind: str = "text"
+    literal: Decimal | None = None
 
     def text(self) -> Column:
         return double_text(self.col) if self.kind == "double" else self.col.cast("string")
@@ -126,6 +128,11 @@ def ieee_divide(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(b == 0, over_zero).otherwise(F.try_divide(a, b))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 #: Constructs that a linear-time engine does not have.
 _FORBIDDEN = re.compile(r"\(\?(?:=|!|<=|<!|>)|\\[1-9]|\\k<|[*+?}]\+")
 
@@ -180,9 +187,13 @@ def parse_date(c: Column, fmt: str) -> Column:
 
     # one pass of the pattern: a marked list of the parts, or the text as it was
     mark = "\x01"
-    listed = F.regexp_replace(c, pattern, mark + mark.join(f"${k + 1}" for k in range(len(names))))
-    fits = F.startswith(listed, F.lit(mark)) & ~F.startswith(c, F.lit(mark))
-    parts = F.split(listed, mark)
+    parts = F.split(F.regexp_replace(c, pattern, mark + mark.join(f"${k + 1}" for k in range(len(names)))), mark)
+    return let(F.when(~F.startswith(c, F.lit(mark)), parts), lambda found: _dated(found, names))
+
+
+def _dated(parts: Column, names: list[str]) -> Column:
+    """The timestamp of the parts of a date, whose specifiers are names; parts has an empty text before them."""
+    fits = (F.size(parts) == max(1, len(names)) + 1) & (F.try_element_at(parts, F.lit(1)) == "")
 
     def part(x: str) -> Column | None:
         return F.try_element_at(parts, F.lit(len(names) + 1 - names[::-1].index(x))) if x in names else None
@@ -221,6 +232,10 @@ def parse_date(c: Column, fmt: str) -> Column:
 
 def format_date(ts: Column, fmt: str) -> Column:
     """ts in a %-format; the specifiers of parse_date."""
+    return let(ts, lambda found: _formatted(found, fmt))
+
+
+def _formatted(ts: Column, fmt: str) -> Column:
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     makers = {
         "Y": lambda: F.lpad(F.year(ts).cast("string"), 4, "0"), "y": lambda: two(F.year(ts) % 100), "m": lambda: two(F.month(ts)), "d": lambda: two(F.dayofmonth(ts)),

@@ -50,6 +50,17 @@ def _same(f) -> Callable:
     return make
 
 
+def _rounded(a: Value, digits: Value | None) -> Value:
+    """a to so many digits, a number written out; half away from zero."""
+    if digits is None:
+        n = 0
+    elif digits.literal is None or digits.literal != int(digits.literal):
+        raise ValueError("round needs a whole number of digits, written out")
+    else:
+        n = int(digits.literal)
+    return Value(d.round_away(a.col, n), "double") if a.kind == "double" else Value(F.round(a.col, n), "decimal")
+
+
 FUNCTIONS: dict[str, Callable[..., Value]] = {
     "abs": _same(F.abs),
     "floor": _same(F.floor),
@@ -59,7 +70,7 @@ FUNCTIONS: dict[str, Callable[..., Value]] = {
     "coalesce": _same(F.coalesce),
     "sqrt": lambda a: Value(F.when(a.double() >= 0, F.sqrt(a.double())), "double"),
     "power": lambda a, b: Value(F.pow(a.double(), b.double()), "double"),
-    "round": lambda a, *n: Value(F.round(a.col) if a.kind != "double" else d.round_away(a.col, 0), a.kind),
+    "round": lambda a, n=None: _rounded(a, n),
 }
 
 
@@ -93,10 +104,10 @@ def compile(text: str, fields: dict[str, Value]) -> Value:
     def factor() -> Value:
         digits, name, sign = take()
         if digits:
-            return Value(F.lit(Decimal(digits)), "decimal")
+            return Value(F.lit(Decimal(digits)), "decimal", Decimal(digits))
         if sign == "-":
             v = factor()
-            return Value(-v.col, v.kind)
+            return Value(-v.col, v.kind, None if v.literal is None else -v.literal)
         if sign == "+":
             return factor()
         if sign == "(":

@@ -14,8 +14,11 @@ rows collapses before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from copy import copy
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,7 +69,21 @@ class Reconciliation:
             self.source_keyed, self._source_kinds = canonical(self.source, self.config, "src")
             self.dest_keyed, self._dest_kinds = canonical(self.dest, self.config, "dst")
             self.key_frame = self._key_frame()
-            self.judged = self._judged()
+
+    def between(self, source_keyed: DataFrame, dest_keyed: DataFrame) -> Reconciliation:
+        """The same run over some of the canonical rows of each side."""
+        run = copy(self)
+        run.source_keyed, run.dest_keyed = source_keyed, dest_keyed
+        for name in ("judged", "key_counts", "field_results", "record_rollup", "run_summary"):
+            run.__dict__.pop(name, None)
+        run.key_frame = run._key_frame()
+        return run
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        """record_key, n_s, n_d, results (null unless matched) and category."""
+        with exact_decimals(self.source.sparkSession):
+            return self._judged()
 
     def _key_frame(self) -> DataFrame:
         def side(frame: DataFrame, mine: str, other: str) -> DataFrame:
@@ -94,19 +111,20 @@ class Reconciliation:
         for level in bind.levels:
             frame = frame.select("*", *(c.alias(name) for name, c in level.items()))
         paired = (F.col("n_s") == 1) & (F.col("n_d") == 1)
-        frame = frame.select("record_key", "n_s", "n_d", F.when(paired, F.array(*every)).alias("results"))
-        return frame.withColumn("category", self._category())
+        results, categories = zip(*every, strict=True)
+        severe = [c for r, c in zip([*self.config.rules, *self.config.cross_rules], categories, strict=True) if r.severity == "ERROR"]
+        return frame.select("record_key", "n_s", "n_d", F.when(paired, F.array(*results)).alias("results"), self._category(categories, severe).alias("category"))
 
     @staticmethod
-    def _category() -> Column:
+    def _category(categories: Sequence[Column], severe: Sequence[Column]) -> Column:
         """Missing before duplicate before exception before mismatch (of severity ERROR) before match."""
-        has = lambda test: F.exists("results", test)
+        some = lambda among, what: reduce(or_, (c == what for c in among), F.lit(False))
         return (
             F.when(F.col("n_d") == 0, "MISSING_IN_DEST")
             .when(F.col("n_s") == 0, "MISSING_IN_SOURCE")
             .when((F.col("n_s") > 1) | (F.col("n_d") > 1), "DUPLICATE")
-            .when(has(lambda r: r["category"] == "EXCEPTION"), "EXCEPTION")
-            .when(has(lambda r: (r["category"] == "MISMATCH") & (r["severity"] == "ERROR")), "MISMATCH")
+            .when(some(categories, "EXCEPTION"), "EXCEPTION")
+            .when(some(severe, "MISMATCH"), "MISMATCH")
             .otherwise("MATCH")
         )
 
@@ -148,7 +166,8 @@ class Reconciliation:
 
     def missing(self) -> DataFrame:
         """(record_key, category) of keys that one side lacks altogether."""
-        return self.judged.where(F.col("category").startswith("MISSING")).select("record_key", "category")
+        side = F.when(F.col("n_d") == 0, "MISSING_IN_DEST").otherwise("MISSING_IN_SOURCE").alias("category")
+        return self.key_counts.where("n_d = 0 or n_s = 0").select("record_key", side)
 
     # -- results ------------------------------------------------------------------------
 

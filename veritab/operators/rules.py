@@ -19,16 +19,29 @@ RESULT_FIELDS = ["field_key", "rule_id", "severity", "expected", "actual", "cate
 INLINE_CODES = 1_000
 
 
-def _result(field_key: str, rule: Rule, expected: Column, actual: Column, cases: list[tuple[Column | None, str, Column | str]]) -> Column:
-    """cases: (condition, category, verdict), the first that holds counts; the last has no condition."""
-    # one CASE that yields whole structs: every condition is evaluated once
+class Binder:
+    """Names for intermediate values, so that each is computed once in a projection of its own.
+
+    Level 1 reads the canonical values, each other level those before it."""
+
+    def __init__(self) -> None:
+        self.levels: tuple[dict[str, Column], ...] = ({}, {}, {})
+
+    def __call__(self, c: Column, level: int = 1) -> Column:
+        name = f"v{level}_{len(self.levels[level - 1])}"
+        self.levels[level - 1][name] = c
+        return F.col(name)
+
+
+def _result(field_key: str, rule: Rule, expected: Column, actual: Column, cases: list[tuple[Column | None, str, Column | str]], bind: Binder) -> tuple[Column, Column]:
+    """(the result, its category).  cases: (condition, category, verdict), the first that holds counts; the last has no condition."""
     out = None
     for when, category, verdict in reversed(cases):
-        verdict = F.lit(verdict) if isinstance(verdict, str) else verdict
-        columns = [F.lit(field_key), F.lit(rule.rule_id), F.lit(rule.severity), expected, actual, F.lit(category), verdict]
-        row = F.struct(*(c.cast("string").alias(n) for c, n in zip(columns, RESULT_FIELDS, strict=True)))
+        row = F.struct(F.lit(category).alias("category"), (F.lit(verdict) if isinstance(verdict, str) else verdict).alias("verdict"))
         out = row if when is None else F.when(when, row).otherwise(out)
-    return out
+    found = bind(out, 3)  # one CASE a rule, whose conditions are evaluated once
+    columns = [F.lit(field_key), F.lit(rule.rule_id), F.lit(rule.severity), expected, actual, found["category"], found["verdict"]]
+    return F.struct(*(c.alias(n) for c, n in zip(columns, RESULT_FIELDS, strict=True))), found["category"]
 
 
 def _equality(rule: Rule, s: Value, v: Value) -> list:
@@ -40,20 +53,6 @@ def _equality(rule: Rule, s: Value, v: Value) -> list:
     return [(equal, "MATCH", "equal"), (None, "MISMATCH", "not_equal")]
 
 
-class Binder:
-    """Names for intermediate values, so that each is computed once in a projection of its own.
-
-    Level 1 reads the canonical values, level 2 reads level 1."""
-
-    def __init__(self) -> None:
-        self.levels: tuple[dict[str, Column], dict[str, Column]] = ({}, {})
-
-    def __call__(self, c: Column, level: int = 1) -> Column:
-        name = f"v{level}_{len(self.levels[level - 1])}"
-        self.levels[level - 1][name] = c
-        return F.col(name)
-
-
 def _difference(a: Value, b: Value, tolerance, bind: Binder) -> list:
     """Cases for two numbers, bound already, that should agree within a tolerance."""
     missing = a.col.isNull() | b.col.isNull()
@@ -99,35 +98,35 @@ def _date_valid(rule: Rule, v: Value, as_of: str, bind: Binder) -> list:
     return [*cases, (None, "MATCH", "valid")]
 
 
-def judge(rule: Rule, config: RunConfig, source: dict[str, Value], dest: dict[str, Value], joined: dict[str, Column], bind: Binder) -> Column:
-    """The result struct of one rule.  joined: for code lists too long to compare in place, whether the code was found, by rule id."""
+def judge(rule: Rule, config: RunConfig, source: dict[str, Value], dest: dict[str, Value], joined: dict[str, Column], bind: Binder) -> tuple[Column, Column]:
+    """The result struct of one rule and its category.  joined: for code lists too long to compare in place, whether the code was found, by rule id."""
     p = rule.params
     if rule.type == "CROSS_FIELD":
         left, right = (expressions.compile(p[k], dest) for k in ("lhs", "rhs"))
         left, right = (Value(bind(x.col), x.kind) for x in (left, right))
-        return _result(f"cross:{rule.rule_key}", rule, right.text(), left.text(), _difference(left, right, d.number(p["tolerance"]), bind))
+        return _result(f"cross:{rule.rule_key}", rule, right.text(), left.text(), _difference(left, right, d.number(p["tolerance"]), bind), bind)
     key = rule.target_field_keys[0]
     v = dest[key]
     actual = v.text()
     match rule.type:
         case "EQUALITY":
-            return _result(key, rule, source[key].text(), actual, _equality(rule, source[key], v))
+            return _result(key, rule, source[key].text(), actual, _equality(rule, source[key], v), bind)
         case "TOLERANCE":
-            return _result(key, rule, source[key].text(), actual, _tolerance(rule, source[key], v, bind))
+            return _result(key, rule, source[key].text(), actual, _tolerance(rule, source[key], v, bind), bind)
         case "RANGE":
-            return _result(key, rule, F.lit(f"[{p['min']},{p['max']}]"), actual, _range(rule, v, bind))
+            return _result(key, rule, F.lit(f"[{p['min']},{p['max']}]"), actual, _range(rule, v, bind), bind)
         case "REGEX":
-            return _result(key, rule, F.lit(p["pattern"]), actual, _regex(rule, v))
+            return _result(key, rule, F.lit(p["pattern"]), actual, _regex(rule, v), bind)
         case "NOT_NULL":
-            return _result(key, rule, F.lit("NOT_NULL"), actual, _not_null(rule, v))
+            return _result(key, rule, F.lit("NOT_NULL"), actual, _not_null(rule, v), bind)
         case "LOOKUP":
             found = joined.get(rule.rule_id)
             if found is None:
                 codes = config.active_codes(p["code_list"])
                 found = actual.isin(codes) if codes else F.lit(False)
-            return _result(key, rule, F.lit(f"in:{p['code_list']}"), actual, _lookup(rule, v, found))
+            return _result(key, rule, F.lit(f"in:{p['code_list']}"), actual, _lookup(rule, v, found), bind)
         case "DATE_VALID":
-            return _result(key, rule, F.lit(f"valid_date({p.get('format', '%Y-%m-%d')})"), actual, _date_valid(rule, v, config.as_of_date, bind))
+            return _result(key, rule, F.lit(f"valid_date({p.get('format', '%Y-%m-%d')})"), actual, _date_valid(rule, v, config.as_of_date, bind), bind)
     raise ValueError(f"unsupported rule type {rule.type}")
 
 

@@ -32,7 +32,7 @@ def _id() -> str:
 class Service:
     def __init__(self, spark: SparkSession, store: Store | None = None, extractors: dict | None = None, ocr: spec.Ocr | None = None) -> None:
         self.spark, self.store, self.ocr = spark, store or MemoryStore(), ocr
-        self.extractors = extractors or {"default": spec.SectionExtractor(), "section": spec.SectionExtractor(), "table": spec.TableExtractor()}
+        self.extractors = extractors or {"default": spec.SectionExtractor(), "section": spec.SectionExtractor()}
         self.datasets: dict[str, dict] = {}
         self.documents: dict[str, spec.Document] = {}
         self.extraction_runs: dict[str, dict] = {}
@@ -101,10 +101,35 @@ class Service:
         return {"status": t.get("status"), "pending_review": review.pending(t), "fields": t.get("fields"), "rules": t.get("rules")}
 
     def approve_template(self, template_id: str, approver: str = "system") -> dict:
-        t = review.approve_all(self._find(self.kept["template"], template_id, "template"), approver)
+        t = self._find(self.kept["template"], template_id, "template")
+        self._require_unlocked(t)
+        t = review.approve_all(t, approver)
         self._keep("template", t, template_id)
         return {"status": t["status"], "pending_review": review.pending(t)}
 
+    def reject(self, template_id: str, key: str) -> dict:
+        """Rejects one field or rule of a draft."""
+        t = self._find(self.kept["template"], template_id, "template")
+        self._require_unlocked(t)
+        try:
+            review.reject(t, key)
+        except ValueError as e:
+            raise ServiceError(404, str(e)) from e
+        self._keep("template", t, template_id)
+        return {"status": t.get("status"), "pending_review": review.pending(t)}
+
+    def update_template(self, template_id: str, body: dict) -> dict:
+        """A new text of a template; an approved one is locked, a changed one needs a version of its own."""
+        self._require_unlocked(self._find(self.kept["template"], template_id, "template"))
+        return {"id": self._keep("template", body, template_id), "version": body.get("version")}
+
+    @staticmethod
+    def _require_unlocked(template: dict) -> None:
+        try:
+            review.require_unlocked(template)
+        except ValueError as e:
+            raise ServiceError(409, str(e)) from e
+
     # -- mapping suggestion
     def suggest_mapping(self, template_id: str, source_dataset_id: str, dest_dataset_id: str) -> dict:
         template = self._find(self.kept["template"], template_id, "template")
@@ -142,8 +167,11 @@ class Service:
             try:
                 config = resolve(template, mapping, codes, as_of_date, engine_version)
                 with self._lock:  # planning sets a session option
-                    planned = reconcile(config, *(tables.read_csv(self.spark, d["path"]) for d in (source, dest)))
-                self.store.save_results(run.run_id, planned.field_results, planned.record_rollup)
+                    planned = reconcile(config, *(tables.read_csv(self.spark, d["path"]) for d in (source, dest))).persist()
+                try:
+                    self.store.save_results(run.run_id, planned.field_results, planned.record_rollup)
+                finally:
+                    planned.unpersist()
                 self.store.mark_completed(run.run_id)
             except Exception as e:  # noqa: BLE001  whatever it is, the run has failed and says why
                 self.store.mark_failed(run.run_id, str(e))

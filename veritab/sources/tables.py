@@ -27,17 +27,25 @@ def sniff(lines: list[str]) -> str:
     return best
 
 
+def _breaks_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field runs over a line's end: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
     """A CSV with a header, every column as text; empty fields are null.
 
-    The delimiter is found from the first lines.  Repeated header names raise ValueError."""
+    The delimiter is found from the first lines.  Repeated header names raise ValueError.
+    Quoted line breaks are found by a pass that counts quotes: only a file with a line of an odd number of
+    them is read as a whole by one task, all others in parallel parts."""
     lines = head(spark, path)
     delimiter = delimiter or sniff(lines)
     names = next(csv.reader(lines[:1], delimiter=delimiter), [])
     if len(set(names)) != len(names):
         raise ValueError(f"repeated column names in {path}: {names}")
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    reader = spark.read.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", False)
+    reader = spark.read.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", _breaks_lines(spark, path))
     return reader.schema(schema).csv(path) if names else spark.createDataFrame([], "empty string").drop("empty")
 
 

@@ -1,7 +1 @@
-"""Runs are batches; a stream of changes is reconciled micro-batch by micro-batch with
-Structured Streaming's foreachBatch:
-
-    changes.writeStream.foreachBatch(lambda rows, n: store.save_results(...))
-
-Nothing here keeps state between batches.
-"""
+"""Reconciliation of a destination that arrives bit by bit."""
