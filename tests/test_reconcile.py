@@ -29,10 +29,10 @@ def test_golden_summary_and_rollup(run):
 def test_golden_field_rows(run):
     rows = run.collect()["field_results"]
     assert len(rows) == 32
-    odd = {(r["record_key"][:4], r["field_key"], r["category"]): r for r in rows if r["category"] != "MATCH"}
-    assert set(odd) == {("A002", "status", "MISMATCH"), ("A003", "rate", "MISMATCH"), ("A007", "outstanding_balance", "EXCEPTION")}
-    assert odd["A002", "status", "MISMATCH"]["actual"] == "99"
-    assert next(r for r in rows if r["record_key"].startswith("A001") and r["rule_id"] == "r_bal_tol")["verdict"] == "diff=0.0100"
+    odd = {(r["record_key"][:2], r["field_key"], r["category"]): r for r in rows if r["category"] != "MATCH"}
+    assert set(odd) == {("P2", "class", "MISMATCH"), ("P3", "discount", "MISMATCH"), ("P7", "weight", "EXCEPTION")}
+    assert odd["P2", "class", "MISMATCH"]["actual"] == "Q"
+    assert next(r for r in rows if r["record_key"].startswith("P1") and r["rule_id"] == "weight_near")["verdict"] == "diff=0.0100"
     assert {r[0]: r[1] for r in report.by_severity(run.field_results).collect()} == {"ERROR": 2, "WARNING": 1}
 
 
@@ -50,7 +50,7 @@ def test_one_shuffle_and_no_python(run):
 
 
 def test_missing_wins_over_duplicate_and_null_key_parts_vanish(spark):
-    columns = "ACCNO string, IDCARD string, " + ", ".join(f"{c} string" for c in golden.COLUMNS[2:])
+    columns = "PARCEL string, DEPOT string, " + ", ".join(f"{c} string" for c in golden.COLUMNS[2:])
     row = ["x"] * 7
     source = spark.createDataFrame([["B", "1", *row], ["B", "1", *row], ["A", None, *row], [None, None, *row]], columns)
     dest = spark.createDataFrame([[None, "A", *row], [None, None, *row]], columns)
@@ -73,17 +73,17 @@ def test_long_code_lists_are_joined(spark, run, monkeypatch):
 
 
 def test_warning_mismatch_does_not_demote(run):
-    results = run.judged.where(F.col("record_key").startswith("A003")).first()
+    results = run.judged.where(F.col("record_key").startswith("P3")).first()
     assert results["category"] == "MATCH" and any(r["category"] == "MISMATCH" for r in results["results"])
 
 
 @pytest.mark.parametrize(
     "change, message",
     [
-        ({"rules": [{"rule_id": "r", "type": "NOPE", "target_field_keys": ["status"]}]}, "unknown single-field type"),
+        ({"rules": [{"rule_id": "r", "type": "NOPE", "target_field_keys": ["class"]}]}, "unknown single-field type"),
         ({"rules": [{"rule_id": "r", "type": "REGEX"}]}, "missing target_field_keys"),
         ({"rules": [{"rule_id": "r", "type": "REGEX", "target_field_keys": ["nope"]}]}, "no destination binding"),
-        ({"rules": [{"rule_id": "r", "type": "LOOKUP", "target_field_keys": ["status"], "params": {"code_list": "?"}}]}, "not provided"),
+        ({"rules": [{"rule_id": "r", "type": "LOOKUP", "target_field_keys": ["class"], "params": {"code_list": "?"}}]}, "not provided"),
         ({"rules": [{"rule_id": "r", "type": "CROSS_FIELD", "params": {"lhs": "1"}}]}, "missing param"),
     ],
 )
@@ -108,6 +108,16 @@ def test_pages(run):
         report.page(run.field_results, 1, 1001)
 
 
+def test_missing_needs_no_rules(run):
+    assert {tuple(r) for r in run.missing().collect()} == {("P5|WE-0003", "MISSING_IN_DEST"), ("P6|EA-9000", "MISSING_IN_SOURCE")}
+
+
+def test_rollup_reads_no_results(run):
+    """Neither expected nor actual values are carried to the rollup."""
+    plan = run.record_rollup._jdf.queryExecution().optimizedPlan().toString()
+    assert "expected" not in plan and "actual" not in plan
+
+
 def test_write(run, spark, tmp_path):
     run.write(str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "field_results.parquet")).count() == 32

@@ -28,11 +28,11 @@ def test_run_and_reopen(spark, paths, tmp_path, kind):
     template, mapping = service.create_template(golden.TEMPLATE)["id"], service.create_mapping(golden.MAPPING)["id"]
     run = service.start_run(template, mapping, source, dest, codes, golden.AS_OF)
     assert run["status"] == "COMPLETED" and run["summary"] == golden.SUMMARY
-    assert run["by_field"] == {"status": 1, "rate": 1, "outstanding_balance": 1} and run["by_severity"] == {"ERROR": 2, "WARNING": 1}
+    assert run["by_field"] == {"class": 1, "discount": 1, "weight": 1} and run["by_severity"] == {"ERROR": 2, "WARNING": 1}
     again = Service(spark, ParquetStore(spark, str(tmp_path / "store"))) if kind == "parquet" else service
     assert again.run(run["run_id"])["summary"] == golden.SUMMARY
     page = again.results(run["run_id"], category="MISMATCH")
-    assert page["total"] == 2 and {r["field_key"] for r in page["items"]} == {"status", "rate"}
+    assert page["total"] == 2 and {r["field_key"] for r in page["items"]} == {"class", "discount"}
     assert [r["run_id"] for r in again.runs()] == [run["run_id"]]
     assert again.kept["template"][template]["version"] == "1.0.0"
     assert {k.split("|")[0]: c for k, c in again.store.rollup(run["run_id"]).collect()} == golden.ROLLUP
@@ -61,10 +61,10 @@ def test_specification_to_report(spark, paths):
     assert scanned["is_scanned"]
     draft = service.extract(scanned["id"])
     assert draft["status"] == "DRAFT" and draft["pending_review"]["total_pending"] == 17
-    assert draft["pending_review"]["low_confidence"] == ["rule:term_cross_field"]
+    assert draft["pending_review"]["low_confidence"] == ["rule:boxes_cross_field"]
     suggestion = service.suggest_mapping(draft["template_id"], source, dest)
     keys = {e["to_node"] for e in suggestion["graph"]["edges"] if e["is_key"]}
-    assert {"src_ACCNO", "src_IDCARD"} <= keys
+    assert {"src_PARCEL", "src_DEPOT"} <= keys
     approved = service.approve_suggestion(suggestion["suggestion_id"])
     assert len(approved["mapping"]["key_pairs"]) == 2 and len(approved["mapping"]["field_bindings"]) == 9
     args = (draft["template_id"], approved["mapping_id"], source, dest, codes, golden.AS_OF)
@@ -91,32 +91,64 @@ def test_section_extraction():
     found = spec.SectionExtractor().extract(spec.Document.of_texts([golden.SPEC, "odd | BLOB | \n a :: MAGIC x=1.5 y=true z=-3 w=t"]))
     assert len(found.fields) == 9 and len(found.rules) == 9
     status = found.fields[3]
-    assert (status.datatype, status.enum_code_list, status.required, status.confidence) == ("ENUM", "STATUS", True, 0.9)
+    assert (status.datatype, status.enum_code_list, status.required, status.confidence) == ("ENUM", "CLASSES", True, 0.9)
     odd = found.rules[-1]
     assert (odd.type, odd.params, odd.severity, odd.confidence) == ("EQUALITY", {"x": 1.5, "y": True, "z": -3, "w": "t"}, "ERROR", 0.5)
 
 
-TABLE = """Account Segment (TL)
-TL Segment Tag Required A/N F 4 Must be T001.
-01 Account Number Required AN V 25
-continues here
-09 Date Opened When Available N F 8 YYYYMMDD format
-12 Credit Limit Optional N V 9 In baht.
-Confidential
-Trailer Segment (TRLR)
-1 Segment Tag A 4 Must contain the value.
-5 Reserved A/N 10 Fill with blanks.
+#: A family of specifications made up for this test.
+ROW = r"(?P<name>.+?) (?:(?P<need>Must|May) )?(?P<char>A/N|AN|A|N) (?:(?P<lentype>[FV]) )?(?P<length>\d+) (?P<text>.*)"
+FORMAT = spec.TableFormat(
+    segments={"Parcel part": ("pc", "tagged"), "Closing part": ("cl", "fixed")},
+    kinds={"tagged": rf"(?P<tag>[A-Z]{{2}}|\d\d) {ROW}", "fixed": r"(?P<position>\d+) (?P<name>.+?) (?P<char>A/N|AN|A|N) (?P<length>\d+) (?P<text>.*)"},
+    begins={"tagged": r"([A-Z]{2}|\d\d) [A-Za-z]", "fixed": r"\d+ [A-Za-z]"},
+    furniture=["^sheet ", "for depots only"],
+    mandatory=("must",),
+    optional=("blanks",),
+    amounts=("fee",),
+    dates={"yyyymmdd": "%Y%m%d"},
+)
+TABLE = """Preface
+01 Not a row Must AN V 5 before any title
+Parcel  Part
+PC Opening Must A/N F 4 Holds P001.
+01 Parcel number Must AN V 25
+as printed on the label
+Sheet 7
+09 Sent on May N F 8 As YYYYMMDD.
+12 Handling fee May N V 9 In cents.
+13 X May N V 9 Too short a name.
+12 Handling fee May N V 9 Again.
+Closing part
+1 Opening A 4 Holds the word.
+For depots only
+5 Spare A/N 10 Fill with blanks.
+999 Far away A 1 Beyond the last position.
 """
 
 
 def test_table_extraction():
-    document = spec.Document.of_texts([TABLE])
-    found = spec.TableExtractor().extract(document)
-    assert [f.field_key for f in found.fields] == ["tl.segment_tag", "tl.account_number", "tl.date_opened", "tl.credit_limit", "trlr.segment_tag", "trlr.reserved"]
+    document = spec.Document.of_texts(TABLE.split("Sheet 7\n"))
+    found = spec.TableExtractor(FORMAT).extract(document)
+    assert [f.field_key for f in found.fields] == ["pc.opening", "pc.parcel_number", "pc.sent_on", "pc.handling_fee", "cl.opening", "cl.spare"]
     assert [f.datatype for f in found.fields] == ["STRING", "STRING", "DATE", "DECIMAL", "STRING", "STRING"]
-    assert {r.rule_key for r in found.rules} == {"tl.segment_tag__not_null", "tl.account_number__not_null", "tl.date_opened__date_valid", "trlr.segment_tag__not_null"}
-    layout = spec.layout_of(document)
-    assert layout["tl"]["fmt"] == "tagged" and layout["trlr"]["fields"][1]["position"] == 5
+    assert [f.citation.page for f in found.fields] == [1, 1, 2, 2, 2, 2] and found.fields[1].citation.source_text.endswith("as printed on the label")
+    assert {r.rule_key for r in found.rules} == {"pc.opening__not_null", "pc.parcel_number__not_null", "pc.sent_on__date_valid", "cl.opening__not_null"}
+    layout = spec.layout_of(document, FORMAT)
+    assert layout["pc"]["fmt"] == "tagged" and layout["cl"]["fields"][1]["position"] == 5 and layout["pc"]["fields"][1] == {"field_key": "pc.parcel_number", "tag": "01", "position": None, "char": "A/N", "length": 25, "lentype": "V"}
+
+
+def test_locked_templates_stay(spark, paths):
+    service, *_ = ready(spark, paths)
+    key = service.extract(service.create_document(spec.Document.of_texts([golden.SPEC]))["id"])["template_id"]
+    assert service.reject(key, "weight_tolerance")["pending_review"]["total_pending"] == 16
+    service.update_template(key, service.kept["template"][key] | {"note": "still a draft"})
+    service.approve_template(key)
+    for change in (lambda: service.update_template(key, {}), lambda: service.reject(key, "weight_tolerance"), lambda: service.approve_template(key)):
+        with pytest.raises(ServiceError, match="published") as refused:
+            change()
+        assert refused.value.status == 409
+    assert service.kept["template"][key]["note"] == "still a draft"
 
 
 def test_review():
@@ -144,6 +176,8 @@ def test_csv(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(None, "NULL"), ("x;y", 'say "hi"')]
     write_csv(read_csv(spark, str(path)), str(tmp_path / "out"), ["c", "nope", "a.b"])
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == ["c", "nope", "a.b"]
+    path.write_text('k,t\n1,"x\ny"\n2,"say ""z"""\n')
+    assert [tuple(r) for r in read_csv(spark, str(path)).collect()] == [("1", "x\ny"), ("2", 'say "z"')]
     path.write_text("a,a\n1,2\n")
     with pytest.raises(ValueError, match="repeated"):
         read_csv(spark, str(path))

@@ -6,6 +6,9 @@ twice, and holds wrong amounts, codes and dates, all by rules on the key.
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +20,7 @@ from veritab.functions.dialect import Value
 from veritab.operators import profile, report, review, suggest
 from veritab.operators.reconcile import Reconciliation, reconcile
 from veritab.plans.config import resolve
-from veritab.sources import spec, tables, tagged
+from veritab.sources import spec, store, tables, tagged
 
 AS_OF = "2026-06-04"
 TRIM = {"op": "trim"}
@@ -78,7 +81,7 @@ def run(spark: SparkSession, sf_dir: str) -> Reconciliation:
 
 
 _BASE = """
-WITH o AS (
+WITH o AS MATERIALIZED (
   SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS okey, CAST(o_custkey AS VARCHAR) AS customer, o_orderstatus AS status,
          CAST(o_totalprice AS DECIMAL(18,2)) AS amount, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS priority
   FROM orders
@@ -99,18 +102,18 @@ WITH o AS (
     CASE WHEN k % 59 = 0 THEN '2021-13-40' WHEN k % 71 = 0 THEN '2099-01-01' WHEN k % 17 = 0 THEN ' ' || day ELSE day END AS "DAY",
     CASE WHEN k % 47 = 0 THEN lower(priority) ELSE priority END AS "PRIORITY"
   FROM numbered
-), sk AS (
+), sk AS MATERIALIZED (
   SELECT concat_ws('|', trim(okey)) AS record_key, trim(okey) AS f_order_no, customer AS f_customer, status AS f_status, price AS f_price, twice AS f_twice, day AS f_day, priority AS f_priority FROM source
-), dk AS (
+), dk AS MATERIALIZED (
   SELECT concat_ws('|', trim("OKEY")) AS record_key, trim("OKEY") AS f_order_no, trim("CUSTOMER") AS f_customer, trim("STATUS") AS f_status, "PRICE" AS f_price, "TWICE" AS f_twice, trim("DAY") AS f_day, "PRIORITY" AS f_priority FROM dest
-), counts AS (
+), counts AS MATERIALIZED (
   SELECT coalesce(s.record_key, t.record_key) AS record_key, coalesce(n_s, 0) AS n_s, coalesce(n_d, 0) AS n_d
   FROM (SELECT record_key, count(*) AS n_s FROM sk GROUP BY 1) s FULL JOIN (SELECT record_key, count(*) AS n_d FROM dk GROUP BY 1) t ON s.record_key = t.record_key
 ), pairs AS (
   SELECT c.record_key, s.f_order_no AS s_order_no, s.f_customer AS s_customer, s.f_status AS s_status, s.f_price AS s_price, s.f_twice AS s_twice, s.f_day AS s_day, s.f_priority AS s_priority,
          t.f_order_no AS d_order_no, t.f_customer AS d_customer, t.f_status AS d_status, t.f_price AS d_price, t.f_twice AS d_twice, t.f_day AS d_day, t.f_priority AS d_priority
   FROM counts c JOIN sk s ON s.record_key = c.record_key JOIN dk t ON t.record_key = c.record_key WHERE n_s = 1 AND n_d = 1
-), num AS (
+), num AS MATERIALIZED (
   SELECT *, TRY_CAST(s_price AS DECIMAL(38,4)) AS a, TRY_CAST(d_price AS DECIMAL(38,4)) AS b, TRY_CAST(d_price AS DOUBLE) AS x, try_strptime(d_day, '%Y-%m-%d') AS ts,
          TRY_CAST(d_price AS DECIMAL(18,4)) * 2 AS l, TRY_CAST(d_twice AS DECIMAL(18,4)) AS r
   FROM pairs
@@ -150,13 +153,25 @@ def _add(name: str, query: Query, sql: str | None = None) -> None:
         ORACLE_SQL[name] = sql
 
 
+def _base(sql: str) -> str:
+    """The common tables that sql reads, directly or through others, before it."""
+    parts = re.split(r"(?m)^(?:WITH |\), )(\w+) AS ", _BASE.strip().removesuffix(")"))[1:]
+    tables, wanted = dict(zip(parts[::2], parts[1::2], strict=True)), sql
+    for name in reversed(list(tables)):
+        if re.search(rf"\b{name}\b", wanted):
+            wanted += tables[name]
+        else:
+            del tables[name]
+    return "WITH " + ", ".join(f"{name} AS {body.rstrip()}\n)" for name, body in tables.items()) + "\n" + sql
+
+
 def _of_run(name: str, pick: Callable[[Reconciliation], DataFrame], sql: str) -> None:
-    _add(name, lambda spark, sf_dir: pick(run(spark, sf_dir)), _BASE + sql)
+    _add(name, lambda spark, sf_dir: pick(run(spark, sf_dir)), _base(sql))
 
 
 # -- stages and results of a run
-_add("stage_source", source, _BASE + "SELECT * FROM source")
-_add("stage_dest", dest, _BASE + "SELECT * FROM dest")
+_add("stage_source", source, _base("SELECT * FROM source"))
+_add("stage_dest", dest, _base("SELECT * FROM dest"))
 _of_run("canonical_source", lambda r: r.source_keyed, "SELECT * FROM sk")
 _of_run("canonical_dest", lambda r: r.dest_keyed, "SELECT * FROM dk")
 _of_run("key_universe", lambda r: r.key_counts, "SELECT * FROM counts")
@@ -165,7 +180,7 @@ _of_run("unique_source", lambda r: r.unique_side("s"), "SELECT sk.* FROM sk JOIN
 _of_run("unique_dest", lambda r: r.unique_side("d"), "SELECT dk.* FROM dk JOIN counts USING (record_key) WHERE n_d = 1")
 _of_run("matched", lambda r: r.matched(), "SELECT * FROM pairs")
 _of_run("matched_wide", lambda r: r.matched_wide(), "SELECT dk.* FROM dk JOIN pairs USING (record_key)")
-_of_run("missing_records", lambda r: r.missing(), "SELECT * FROM rollup_ WHERE category LIKE 'MISSING%'")
+_of_run("missing_records", lambda r: r.missing(), "SELECT record_key, CASE WHEN n_d = 0 THEN 'MISSING_IN_DEST' ELSE 'MISSING_IN_SOURCE' END AS category FROM counts WHERE n_d = 0 OR n_s = 0")
 _of_run("field_results", lambda r: r.field_results, "SELECT * FROM fr")
 for _rule in TEMPLATE["rules"]:
     _of_run(f"rule_{_rule['type'].lower()}", lambda r, i=_rule["rule_id"]: r.field_results.where(F.col("rule_id") == i), f"SELECT * FROM fr WHERE rule_id = '{_rule['rule_id']}'")
@@ -242,21 +257,21 @@ _add(
 _add(
     "profile_columns",
     lambda spark, sf_dir: profile.statistics(dest(spark, sf_dir)).select("column_name", F.col("ordinal").cast("long").alias("ordinal"), "null_count", "distinct_count", F.col("min_length").cast("long").alias("min_length"), F.col("max_length").cast("long").alias("max_length")),
-    _BASE + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({k} AS BIGINT) AS ordinal, count(*) - count(\"{c}\") AS null_count, count(DISTINCT \"{c}\") AS distinct_count, CAST(min(length(\"{c}\")) AS BIGINT) AS min_length, CAST(max(length(\"{c}\")) AS BIGINT) AS max_length FROM dest" for k, c in enumerate(("OKEY", "CUSTOMER", "STATUS", "PRICE", "TWICE", "DAY", "PRIORITY"))),
+    _base(" UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({k} AS BIGINT) AS ordinal, count(*) - count(\"{c}\") AS null_count, count(DISTINCT \"{c}\") AS distinct_count, CAST(min(length(\"{c}\")) AS BIGINT) AS min_length, CAST(max(length(\"{c}\")) AS BIGINT) AS max_length FROM dest" for k, c in enumerate(("OKEY", "CUSTOMER", "STATUS", "PRICE", "TWICE", "DAY", "PRIORITY")))),
 )
 _add("code_list_table", lambda spark, sf_dir: tables.code_list(spark, CODES["ORDER_STATUS"]), "SELECT * FROM (VALUES ('F', true), ('O', true), ('P', false)) t(item_code, active)")
 
 # -- tag-length records of customers
 LAYOUT = {
-    "header": {"fmt": "fixed", "total": 8, "fields": [{"field_key": "header.segment_tag", "position": 1, "length": 4, "char": "A"}, {"field_key": "header.version", "position": 5, "length": 4, "char": "N"}]},
-    "pn": {"fmt": "tagged", "fields": [{"field_key": "pn.segment_tag", "tag": "PN", "length": 3, "lentype": "F", "char": "A/N"}, {"field_key": "pn.name", "tag": "01", "length": 50, "lentype": "V", "char": "A"}]},
-    "tl": {"fmt": "tagged", "fields": [{"field_key": "tl.segment_tag", "tag": "TL", "length": 4, "lentype": "F", "char": "A/N"}, {"field_key": "tl.account_no", "tag": "01", "length": 10, "lentype": "F", "char": "N"}, {"field_key": "tl.segment", "tag": "02", "length": 6, "lentype": "F", "char": "A"}]},
+    "header": {"fmt": "fixed", "total": 8, "fields": [{"field_key": "header.kind", "position": 1, "length": 4, "char": "A"}, {"field_key": "header.revision", "position": 5, "length": 4, "char": "N"}]},
+    "nm": {"fmt": "tagged", "fields": [{"field_key": "nm.opening", "tag": "NM", "length": 3, "lentype": "F", "char": "A/N"}, {"field_key": "nm.name", "tag": "01", "length": 50, "lentype": "V", "char": "A"}]},
+    "ac": {"fmt": "tagged", "fields": [{"field_key": "ac.opening", "tag": "AC", "length": 4, "lentype": "F", "char": "A/N"}, {"field_key": "ac.number", "tag": "01", "length": 10, "lentype": "F", "char": "N"}, {"field_key": "ac.market", "tag": "02", "length": 6, "lentype": "F", "char": "A"}]},
 }
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return c.select("c_custkey", F.lit("N01").alias("pn.segment_tag"), F.col("c_name").alias("pn.name"), F.lit("T001").alias("tl.segment_tag"), F.col("c_custkey").cast("string").alias("tl.account_no"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("tl.segment"))
+    return c.select("c_custkey", F.lit("N01").alias("nm.opening"), F.col("c_name").alias("nm.name"), F.lit("C001").alias("ac.opening"), F.col("c_custkey").cast("string").alias("ac.number"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("ac.market"), F.col("c_mktsegment").alias("market"))
 
 
 def tagged_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,12 +285,12 @@ def tagged_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.decode_texts(files, LAYOUT).select(F.col("path").cast("long").alias("c_custkey"), *(d.qcol(k).alias(k.replace(".", "_")) for k in tagged.field_keys(LAYOUT)))
 
 
-_add("tagged_encode", tagged_encode, """SELECT c_custkey, 'PN03N01' || '01' || lpad(CAST(length(c_name) AS VARCHAR), 2, '0') || c_name || 'TL04T001' || '0110' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') || CASE WHEN c_custkey % 4 <> 0 THEN '0206' || rpad(c_mktsegment, 6, ' ') ELSE '' END || 'ES00' AS encoded FROM customer""")
-_add("tagged_round_trip", tagged_round_trip, """SELECT c_custkey, 'N01' AS pn_segment_tag, c_name AS pn_name, 'T001' AS tl_segment_tag, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS tl_account_no, CASE WHEN c_custkey % 4 <> 0 THEN trim(substr(c_mktsegment, 1, 6)) END AS tl_segment FROM customer""")
+_add("tagged_encode", tagged_encode, """SELECT c_custkey, 'NM03N01' || '01' || lpad(CAST(length(c_name) AS VARCHAR), 2, '0') || c_name || 'AC04C001' || '0110' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') || CASE WHEN c_custkey % 4 <> 0 THEN '0206' || rpad(c_mktsegment, 6, ' ') ELSE '' END || 'ES00' AS encoded FROM customer""")
+_add("tagged_round_trip", tagged_round_trip, """SELECT c_custkey, 'N01' AS nm_opening, c_name AS nm_name, 'C001' AS ac_opening, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS ac_number, CASE WHEN c_custkey % 4 <> 0 THEN trim(substr(c_mktsegment, 1, 6)) END AS ac_market FROM customer""")
 _add(
     "fixed_decode",
-    lambda spark, sf_dir: tagged.decode_fixed(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.concat(F.lit("TUDF"), F.lpad(F.col("c_custkey").cast("string"), 4, " ")).alias("v")), F.col("v"), LAYOUT["header"]).select("c_custkey", d.qcol("header.segment_tag").alias("tag"), d.qcol("header.version").alias("version")),
-    "SELECT c_custkey, 'TUDF' AS tag, trim(lpad(CAST(c_custkey AS VARCHAR), 4, ' ')) AS version FROM customer",
+    lambda spark, sf_dir: tagged.decode_fixed(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.concat(F.lit("HEAD"), F.lpad(F.col("c_custkey").cast("string"), 4, " ")).alias("v")), F.col("v"), LAYOUT["header"]).select("c_custkey", d.qcol("header.kind").alias("tag"), d.qcol("header.revision").alias("version")),
+    "SELECT c_custkey, 'HEAD' AS tag, trim(lpad(CAST(c_custkey AS VARCHAR), 4, ' ')) AS version FROM customer",
 )
 
 
@@ -289,6 +304,71 @@ def _citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("citation_text", _citations, "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '—' WHEN 1 THEN CASE WHEN o_orderkey = 0 THEN 'a line' ELSE 'p.' || o_orderkey || ': a line' END ELSE 'a line' END AS ref FROM orders")
 
 
+# -- files and stores: written to the session's shared folder and read again
+def _folder(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir; on a single machine, where that is unset, a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{where or tempfile.mkdtemp(prefix='veritab-')}/veritab-{uuid.uuid4().hex}"
+
+
+def csv_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reconciliation of both sides from CSV files, whose summary says the same as that of the tables."""
+    sides, folder = {"source": source, "dest": dest}, _folder(spark)
+    for name, side in sides.items():
+        tables.write_csv(side(spark, sf_dir), f"{folder}/{name}")
+    return reconcile(resolve(TEMPLATE, MAPPING, CODES, AS_OF), *(tables.read_csv(spark, f"{folder}/{name}") for name in sides)).run_summary
+
+
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text with separators, quotes and line breaks, through a CSV file."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    odd = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit('a "b", '), "o_orderpriority", F.lit("\nc"))).otherwise(F.col("o_orderpriority"))
+    path = _folder(spark)
+    o.select(F.col("o_orderkey").cast("string").alias("key"), odd.alias("odd, text")).write.option("header", True).option("escape", '"').csv(path)
+    return tables.read_csv(spark, path).select(F.col("key").cast("long").alias("key"), d.qcol("odd, text").alias("text"))
+
+
+def parquet_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup as the Parquet sink leaves it."""
+    folder = _folder(spark)
+    run(spark, sf_dir).write(folder)
+    return spark.read.parquet(f"{folder}/record_rollup.parquet")
+
+
+def stored_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one category from a run that was saved in a store and read from it again."""
+    folder, done = _folder(spark), run(spark, sf_dir)
+    record = store.Run("t", "m", "s", "d", "1", AS_OF)
+    first = store.ParquetStore(spark, folder)
+    first.create_run(record)
+    first.save_results(record.run_id, done.field_results, done.record_rollup)
+    first.mark_completed(record.run_id)
+    again = store.ParquetStore(spark, folder)
+    return again.rows(record.run_id).where("category = 'EXCEPTION' and field_key is not null").select(*[F.col(c) for c in ("record_key", "field_key", "rule_id", "verdict")])
+
+
+def tagged_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers against their tag-length records, of which some lack a market."""
+    decoded = tagged_round_trip(spark, sf_dir)
+    left = _customers(spark, sf_dir).select(F.lpad(d.qcol("ac.number"), 10, "0").alias("number"), F.substring(F.trim(F.substring("market", 1, 6)), 1, 6).alias("market"))
+    fields = [{"field_key": n, "src_col": n, "dst_col": f"ac_{n}"} for n in ("number", "market")]
+    template = {"rules": [{"rule_id": "same", "type": "EQUALITY", "severity": "ERROR", "target_field_keys": ["market"]}]}
+    return reconcile(resolve(template, {"key_pairs": fields[:1], "field_bindings": fields}), left, decoded).run_summary
+
+
+_add("csv_run", csv_run, _base(_SUMMARY_SQL))
+_add("csv_scan", csv_scan, "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'a \"b\", ' || o_orderpriority || chr(10) || 'c' ELSE o_orderpriority END AS text FROM orders")
+_add("parquet_sink", parquet_sink, _base("SELECT * FROM rollup_"))
+_add("stored_run", stored_run, _base("SELECT record_key, field_key, rule_id, verdict FROM fr WHERE category = 'EXCEPTION'"))
+_add(
+    "tagged_reconcile",
+    tagged_reconcile,
+    "SELECT count(*) AS total_records, count(*) FILTER (WHERE c_custkey % 4 <> 0) AS match_count, count(*) FILTER (WHERE c_custkey % 4 = 0) AS mismatch_count, 0::BIGINT AS missing_src, 0::BIGINT AS missing_dst, 0::BIGINT AS duplicate_count, 0::BIGINT AS exception_count FROM customer",
+)
+
+
 # -- suggestion, review and specification texts: small tables made on the driver
 SPEC_TEXT = "SECTION: FIELDS\norder_no | STRING | key\nprice | DECIMAL | required\nstatus | ENUM(ORDER_STATUS) | required\nday | DATE |\nodd | BLOB |\nSECTION: RULES\nprice :: TOLERANCE tolerance=0.01 scale=4 :: ERROR\nday :: DATE_VALID format=%Y-%m-%d not_future=true\nprice,twice :: CROSS_FIELD lhs=f_price*2 rhs=f_twice tolerance=1 :: WARNING"
 
@@ -300,7 +380,7 @@ def _draft() -> dict:
 
 
 def suggested_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The suggested mapping of the two sides of the reconciliation, one row for each edge."""
+    """The suggested mapping of the two sides of the reconciliation, one row for each edge; it goes by names and a few sample values of each column."""
     columns = [profile.samples(side(spark, sf_dir)) for side in (source, dest)]
     graph = suggest.suggest(TEMPLATE, *columns)
     return spark.createDataFrame([(e.id, e.kind, e.from_node, e.to_node, e.is_key) for e in graph.edges], "id string, kind string, from_node string, to_node string, is_key boolean")
