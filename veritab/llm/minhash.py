@@ -8,7 +8,7 @@ registers agree with a probability close to the Jaccard similarity.
 Steps: (1) sketch every text, collapse equal sets; (2) hash bands of registers and bring
 equal ones together in one sorted shuffle, through which buckets of any size stream; (3) the
 full sets of all members of shared buckets are written once; (4) each member is paired with
-two centres of its buckets; the joint likelihood of (K_u > K_v, K_u < K_v, K_u = K_v) with
+a centre and two predecessors of its buckets; the joint likelihood of (K_u > K_v, K_u < K_v, K_u = K_v) with
 known set sizes drops pairs for which the threshold is out of reach, the full sets decide
 on the rest; (5) connected components; (6) where a bucket still holds several components, its
 members are compared among themselves.  A large one is banded again first: similar members
@@ -132,20 +132,19 @@ def _bands(reps: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """(bucket, id, low, second) of the buckets with two members or more, low and second being their smallest ids.
+    """(bucket, id, low, before) of the buckets with two members or more: the smallest id of the bucket and the one before this.
 
-    Buckets stream through their task in the order of ids, so their size does not matter."""
+    Buckets stream through their task in the order of ids, so their size does not matter.  The smallest is its own predecessor."""
 
     def run(batches):
-        last = previous = None
-        low0 = second0 = seen = 0
+        last = before0 = None
+        low0 = seen = 0
         for batch in batches:
             bucket, ids = (batch.column(k).to_numpy() for k in range(2))
             if not len(ids):
                 continue
             same = np.append(bucket[0] == last, bucket[1:] == bucket[:-1])
-            once = ~(same & np.append(ids[0] == previous, ids[1:] == ids[:-1]))
-            last, previous = bucket[-1], ids[-1]
+            once = ~(same & np.append(ids[0] == before0, ids[1:] == ids[:-1]))
             bucket, ids, same = bucket[once], ids[once], same[once]
             if not len(ids):
                 continue
@@ -153,14 +152,14 @@ def _members(rows: DataFrame) -> DataFrame:
             first = np.append(0, np.flatnonzero(~same))[group]
             place = np.arange(len(ids)) - first + np.where(group == 0, seen, 0)
             low = np.where(group == 0, low0, ids[first])
-            second = np.where(group == 0, second0 if seen > 1 else ids[0], ids[np.minimum(first + 1, len(ids) - 1)])
-            low0, second0, seen = low[-1], second[-1], place[-1] + 1
+            before = np.append(before0 if seen else 0, ids[:-1])
+            last, before0, low0, seen = bucket[-1], ids[-1], low[-1], place[-1] + 1
             rest, begin = place > 0, place == 1
-            columns = [np.concatenate(x) for x in ((bucket[rest], bucket[begin]), (ids[rest], low[begin]), (low[rest], low[begin]), (second[rest], second[begin]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "id", "low", "second"])
+            columns = [np.concatenate(x) for x in ((bucket[rest], bucket[begin]), (ids[rest], low[begin]), (low[rest], low[begin]), (before[rest], low[begin]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "id", "low", "before"])
 
     dealt = rows.repartition(parallelism(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "id")
-    return dealt.mapInArrow(run, "bucket long, id long, low long, second long")
+    return dealt.mapInArrow(run, "bucket long, id long, low long, before long")
 
 
 def likely(na: np.ndarray, nb: np.ndarray, more: np.ndarray, less: np.ndarray, m: int, threshold: float) -> np.ndarray:
@@ -307,22 +306,33 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(placed: DataFrame) -> DataFrame:
-    """placed (bucket, id, c) of the buckets that hold several components, with the number n of their members."""
-    several = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1")
-    return placed.join(several.select("bucket", "n"), "bucket")
+    """placed (bucket, id, c) of the buckets that hold several components, with the bucket's largest component, main, its size, most, and the number of all members, n."""
+    sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+    several = sizes.groupBy("bucket").agg(F.count("*").alias("components"), F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("c", F.struct("k", "c")).alias("main")).where("components > 1")
+    return placed.join(several.drop("components"), "bucket")
 
 
 def _blocks(placed: DataFrame, reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, id, c): what is to be compared in one place, of the members of open buckets (bucket, id, c, n)."""
-    large = placed.where(F.col("n") > BLOCK)
-    if not large.isEmpty():
+    """(key, id, c): what is to be compared in one place, of the members of open buckets as _open gives them.
+
+    Where all but the largest component fit in one block, they go to each block of that component,
+    whose members go to one place each.  Buckets with more of the others are banded again."""
+    others = F.col("n") - F.col("most")
+    crowded = (F.col("n") > BLOCK) & (others > BLOCK)
+    if not placed.where(crowded).isEmpty():
         second = _bands(reps, bands, rows).withColumnRenamed("bucket", "other")
-        again = large.select("bucket", "id", "c").join(second, "id").where("other <> bucket").select(F.xxhash64("bucket", "other").alias("bucket"), "id", "c")
-        placed = materialize(placed.where(F.col("n") <= BLOCK).unionByName(_open(again)), "open")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    mine = F.pmod(F.xxhash64("id"), blocks)
-    pairs = F.transform(F.sequence(F.lit(0), (blocks - 1).cast("int")), lambda x: F.xxhash64("bucket", F.least(x, mine), F.greatest(x, mine)))
-    return placed.select(F.explode(pairs).alias("key"), "id", "c")
+        again = placed.where(crowded).select("bucket", "id", "c").join(second, "id").where("other <> bucket").select(F.xxhash64("bucket", "other").alias("bucket"), "id", "c")
+        placed = materialize(placed.where(~crowded).unionByName(_open(again)), "open")
+    upto = lambda count: F.sequence(F.lit(0).cast("long"), count - 1)
+    all_blocks, main_blocks = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("most") / BLOCK)
+    mine = F.pmod(F.xxhash64("id"), all_blocks)
+    keys = (
+        F.when(F.col("n") <= BLOCK, F.array(F.xxhash64("bucket")))
+        .when(crowded, F.transform(upto(all_blocks), lambda x: F.xxhash64("bucket", F.least(x, mine), F.greatest(x, mine))))
+        .when(F.col("c") == F.col("main"), F.array(F.xxhash64("bucket", F.pmod(F.xxhash64("id"), main_blocks))))
+        .otherwise(F.transform(upto(main_blocks), lambda x: F.xxhash64("bucket", x)))
+    )
+    return placed.select(F.explode(keys).alias("key"), "id", "c")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
@@ -341,9 +351,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     members = materialize(_members(_bands(reps, bands, rows)), "buckets")
     full = _sets(members.select("id").distinct(), docs, words)
 
-    first = members.select(F.col("id").alias("b"), F.explode(F.array("low", "second")).alias("a")).where("a <> b")
-    first = first.groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.max("a"))).alias("a")).select(F.explode("a").alias("a"), "b")
-    first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # one centre, and predecessors, which differ from bucket to bucket: an odd centre leaves no group unlinked
+    chosen = F.array_distinct(F.array(F.min("low"), F.min("before"), F.max("before")))
+    first = members.where("id <> low").groupBy("id").agg(chosen.alias("a")).select(F.explode("a").alias("a"), F.col("id").alias("b"))
     edges = materialize(_verified(_estimated(first, reps, m, threshold), full, percent), "links")
     groups = materialize(components(edges), "groups")
 

@@ -257,7 +257,9 @@ def _features(votes: np.ndarray, doc: np.ndarray, words: np.ndarray, n: int):
 
 
 def train(docs: DataFrame, posteriors: dict[int, float], total: int, stems: np.ndarray) -> np.ndarray:
-    """Weights of the linear model, the last one the constant; deterministic."""
+    """Weights of the linear model, the last one the constant; deterministic.
+
+    Rows are chosen by a hash of id and text.  Copies hash alike, so where they are many the sample is cut at twice its size."""
 
     def run(batches):
         for batch in batches:
@@ -270,8 +272,9 @@ def train(docs: DataFrame, posteriors: dict[int, float], total: int, stems: np.n
                 pieces = [[c[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for c in (feature, value)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(f, n), pa.array(_codes(votes)), *(pa.array(p, pa.binary()) for p in pieces)], ["doc_id", "code", "feature", "value"])
 
-    chosen = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < _limit(total, TRAINING_DOCUMENTS))
-    rows = sorted(chosen.mapInArrow(run, "doc_id long, code long, feature binary, value binary").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["code"], r["feature"]))
+    chosen = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < _limit(total, TRAINING_DOCUMENTS))
+    found = chosen.mapInArrow(run, "doc_id long, code long, feature binary, value binary").orderBy("doc_id", "code", "feature").limit(2 * TRAINING_DOCUMENTS)
+    rows = sorted(found.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["code"], r["feature"]))
     weights, squares = np.zeros(WIDTH + 3 * len(LABELLERS) + 1), np.full(WIDTH + 3 * len(LABELLERS) + 1, 1e-2)
     order, rng = np.arange(len(rows)), np.random.default_rng(5)
     for _ in range(4):
@@ -339,4 +342,7 @@ def keep_good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def op6_quality_classifier(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score, weak_posterior, kept), one row per row of documents, null doc_id and repeated rows included.
+
+    Null, empty and wordless texts have score 0 and are rejected; extra columns, whatever their names, are ignored; an empty table gives no rows."""
     return classify(clashing(docs, ["doc_id", "text"]), labels)
