@@ -3,7 +3,7 @@
 Statistics are whole-text counts.  Transformed, they are vectors of five numbers.  For
 each group of language and source the estimate starts from medians and quartiles and is
 improved by concentration steps: the 75 % of the group nearest in Mahalanobis distance
-give the next mean and covariance, until no group's determinant shrinks any more.  Statistics are
+give the next mean and covariance, until the group's determinant shrinks no more; groups that are done take no part in later steps.  Statistics are
 rounded to 1/1024 and summed as whole numbers, so that estimates do not depend on the order of rows.  A step is one aggregation by (group, distance
 bin) with sums of first and second powers, so no group is ever gathered in one task;
 what is left for each group is a few hundred bins.  The statistics table is small, is
@@ -12,6 +12,8 @@ written once and serves all steps.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -105,15 +107,17 @@ def _vector() -> list:
 
 X = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-_ESTIMATE = "g1 string, g2 string, determinant double, " + ", ".join(f"m{i} double" for i in range(P)) + ", " + ", ".join(f"w{i}{j} double" for i, j in PAIRS)
+SUMS = ["n", *X, *(f"s{i}{j}" for i, j in PAIRS)]
+_ESTIMATE = "g1 string, g2 string, determinant double, shrunk double, " + ", ".join(f"m{i} double" for i in range(P)) + ", " + ", ".join(f"w{i}{j} double" for i, j in PAIRS)
 
 
-def _row(group: tuple, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
-    """An estimate; determinant is its logarithm."""
+def _row(group: tuple, mean: np.ndarray, cov: np.ndarray, was: float = np.inf) -> pd.DataFrame:
+    """An estimate; determinant is its logarithm, shrunk how much less that is than was."""
     cov = cov + np.diag(np.square(FLOORS))
     inverse = np.linalg.inv(cov)
-    row = [*group, np.linalg.slogdet(cov)[1], *mean, *(inverse[i, j] * (1 if i == j else 2) for i, j in PAIRS)]
-    return pd.DataFrame([row], columns=["g1", "g2", "determinant", *(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in PAIRS)])
+    now = np.linalg.slogdet(cov)[1]
+    row = [*group, now, was - now, *mean, *(inverse[i, j] * (1 if i == j else 2) for i, j in PAIRS)]
+    return pd.DataFrame([row], columns=["g1", "g2", "determinant", "shrunk", *(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in PAIRS)])
 
 
 def _start(bins: DataFrame) -> DataFrame:
@@ -135,15 +139,14 @@ def _step(sums: DataFrame) -> DataFrame:
     """The next estimate from sums over distance bins: the nearest bins that hold SHARE of the group."""
 
     def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bin")
-        to = rows["n"].cumsum().to_numpy()
-        near = rows.iloc[: int(np.searchsorted(to, SHARE * to[-1])) + 1]
-        n = near["n"].sum()
-        mean = np.array([near[x].sum() / n / UNIT for x in X])
+        part = rows[SUMS].to_numpy()[np.argsort(rows["bin"].to_numpy())]
+        to = np.cumsum(part[:, 0])
+        total = part[: int(np.searchsorted(to, SHARE * to[-1])) + 1].sum(axis=0)
+        mean, power = total[1 : P + 1] / total[0] / UNIT, total[P + 1 :] / total[0] / UNIT**2
         cov = np.zeros((P, P))
-        for i, j in PAIRS:
-            cov[i, j] = cov[j, i] = near[f"s{i}{j}"].sum() / n / UNIT**2 - mean[i] * mean[j]
-        return _row(group, mean, cov * CONSISTENCY)
+        for (i, j), x in zip(PAIRS, power, strict=True):
+            cov[i, j] = cov[j, i] = x - mean[i] * mean[j]
+        return _row(group, mean, cov * CONSISTENCY, rows["determinant"].iloc[0])
 
     return sums.groupBy("g1", "g2").applyInPandas(run, _ESTIMATE)
 
@@ -168,13 +171,16 @@ def judge(docs: DataFrame) -> DataFrame:
 
     cells = good.select("g1", "g2", F.posexplode(F.array(*[F.floor(F.col(x) / (UNIT // 128)) for x in X])).alias("dim", "bin"))
     estimate = materialize(_start(cells.groupBy("g1", "g2", "dim", "bin").agg(F.count("*").alias("n"))), "estimate")
+    done: list[DataFrame] = []
     for _ in range(STEPS):
         near = good.join(estimate, ["g1", "g2"]).withColumn("bin", F.floor(16 * F.log2(_distance() + 1e-3)))
-        sums = near.groupBy("g1", "g2", "bin").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in X), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS))
-        before, estimate = estimate, materialize(_step(sums), "estimate")
-        shrunk = before.select("g1", "g2", F.col("determinant").alias("was")).join(estimate, ["g1", "g2"]).agg(F.max(F.col("was") - F.col("determinant"))).first()[0]
-        if (shrunk or 0.0) <= SHRINKS:
+        sums = near.groupBy("g1", "g2", "determinant", "bin").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in X), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS))
+        step = materialize(_step(sums), "estimate")
+        done.append(step.where(F.col("shrunk") <= SHRINKS))
+        estimate = step.where(F.col("shrunk") > SHRINKS)
+        if estimate.isEmpty():
             break
+    estimate = reduce(DataFrame.unionByName, [*done, estimate])
     out = vectors.join(estimate, ["g1", "g2"], "left").withColumn("distance", _distance())
     return out.select("doc_id", *COUNTS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(False))).alias("kept"))
 
