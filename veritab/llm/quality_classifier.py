@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .minhash import shingle_sets
 from .quality_rules import count_batch
 from .shared import clashing, materialize
 
@@ -27,6 +28,8 @@ from .shared import clashing, materialize
 TRAINING_DOCUMENTS = 8_000
 #: Labelled documents of each class, toxic and clean, from which toxic stems are learned, about.  Bounds that are not over all data: these two.
 LABELLED_DOCUMENTS = 6_000
+#: Labelled texts that share one of so many minima of hashed shingles count as one.
+MINIMA = 4
 #: Lengths in bytes of the beginnings of words; whole words count as well.
 STEM_BYTES = range(4, 9)
 #: A stem stands in so many toxic documents at least, in so many times the share of the clean ones, with such a likelihood ratio statistic.
@@ -126,6 +129,25 @@ def _codes(votes: np.ndarray) -> np.ndarray:
     return (votes * 3 ** np.arange(len(votes))[:, None]).sum(axis=0)
 
 
+def _apart(texts: DataFrame) -> DataFrame:
+    """texts (text, toxic) with one text of those of a class that share a minimum of their hashed shingles of five words.
+
+    Near copies share each of the MINIMA with a probability of their similarity."""
+    names = [f"k{k}" for k in range(MINIMA)]
+
+    def run(batches):
+        for batch in batches:
+            sets = list(shingle_sets(*tb.buffers(batch.column(0)), 5))
+            with np.errstate(over="ignore"):
+                lows = [[int(tb.mix(s + np.uint64(k + 1)).min().view(np.int64)) if len(s) else 0 for s in sets] for k in range(MINIMA)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in lows)], ["text", "toxic", *names])
+
+    rows = texts.select("text", F.col("toxic").cast("int")).mapInArrow(run, "text string, toxic int, " + ", ".join(f"{k} long" for k in names))
+    for k in names:
+        rows = rows.groupBy("toxic", k).agg(F.min(F.struct("text", *(c for c in names if c != k))).alias("x")).select("toxic", k, "x.*")
+    return rows.select("text", "toxic")
+
+
 def toxic_stems(docs: DataFrame, labels: DataFrame | None) -> np.ndarray:
     """Sorted hashes of the beginnings of words that mark toxic documents; labels: doc_id, toxic.
 
@@ -141,7 +163,7 @@ def toxic_stems(docs: DataFrame, labels: DataFrame | None) -> np.ndarray:
     limit = F.when(F.col("toxic") == 1, _limit(size[1], LABELLED_DOCUMENTS)).otherwise(_limit(size[0], LABELLED_DOCUMENTS))
     sample = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < limit).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
-    texts = materialize(texts.where("text is not null"), "labelled")
+    texts = materialize(_apart(texts.where("text is not null")), "labelled")
     size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(size) < 2:
         return none
