@@ -48,3 +48,19 @@ def parallelism(spark: SparkSession) -> int:
 def clashing(df: DataFrame, columns: list[str]) -> DataFrame:
     """The named columns only; everything else, whatever its name, is dropped."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+#: A table up to this many bytes and rows is copied to every executor.
+COPIED = 8 << 20, 200_000
+
+
+def attach(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """rows joined with the one row of small that has its key (null meets null); small is a written table.
+
+    small is measured: copied to every executor if it stays under COPIED, else both sides are shuffled, where
+    adaptive execution splits a key that holds much of rows."""
+    other = small.withColumnRenamed(key, f"{key}_")
+    text = F.length(F.col(f"{key}_").cast("string"))
+    size, n = other.agg(F.coalesce(F.sum(F.coalesce(text, F.lit(0)) * 4 + 64), F.lit(0)), F.count("*")).first()
+    met = F.broadcast(other) if size <= COPIED[0] and n <= COPIED[1] else other.hint("merge")
+    return rows.join(met, rows[key].eqNullSafe(other[f"{key}_"])).drop(f"{key}_")
