@@ -219,7 +219,7 @@ def op13_vector_codes(vectors: DataFrame) -> DataFrame:
     data = materialize(quantised(vectors), "vectors")
     books = trained(data)
     rows = materialize(encoded(data, books), "codes")
-    total = F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(LONGEST).cast("decimal(38,0)")).cast("long")
+    total = F.when(F.count("error") > 0, F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(LONGEST).cast("decimal(38,0)")).cast("long"))
     labels = materialize(rows.groupBy("label").agg(total.alias("label_error")), "labels")
     return attach(rows, labels, "label").select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
 
