@@ -349,15 +349,24 @@ def stored_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.rows(record.run_id).where("category = 'EXCEPTION' and field_key is not null").select(*[F.col(c) for c in ("record_key", "field_key", "rule_id", "verdict")])
 
 
+def tagged_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers of one file that many tasks have written and many read by byte ranges."""
+    path, head = f"{_folder(spark)}.tag", spark.createDataFrame([("CUST", "7")], "`header.kind` string, `header.revision` string")
+    size = tagged.write_file(head, _customers(spark, sf_dir), LAYOUT, path, "c_custkey")
+    found = tagged.read_subjects(spark, path, LAYOUT, min(tagged.RANGE, max(4096, size // 32)))  # several ranges even of a small file
+    return found.select("subject", *(d.qcol(k).alias(k.replace(".", "_")) for k in tagged.field_keys(LAYOUT)))
+
+
 def tagged_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers against their tag-length records, of which some lack a market."""
-    decoded = tagged_round_trip(spark, sf_dir)
+    decoded = tagged_file(spark, sf_dir)
     left = _customers(spark, sf_dir).select(F.lpad(d.qcol("ac.number"), 10, "0").alias("number"), F.substring(F.trim(F.substring("market", 1, 6)), 1, 6).alias("market"))
     fields = [{"field_key": n, "src_col": n, "dst_col": f"ac_{n}"} for n in ("number", "market")]
     template = {"rules": [{"rule_id": "same", "type": "EQUALITY", "severity": "ERROR", "target_field_keys": ["market"]}]}
     return reconcile(resolve(template, {"key_pairs": fields[:1], "field_bindings": fields}), left, decoded).run_summary
 
 
+_add("tagged_file", tagged_file, """SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS subject, 'N01' AS nm_opening, c_name AS nm_name, 'C001' AS ac_opening, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS ac_number, CASE WHEN c_custkey % 4 <> 0 THEN trim(substr(c_mktsegment, 1, 6)) END AS ac_market FROM customer""")
 _add("csv_run", csv_run, _base(_SUMMARY_SQL))
 _add("csv_scan", csv_scan, "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'a \"b\", ' || o_orderpriority || chr(10) || 'c' ELSE o_orderpriority END AS text FROM orders")
 _add("parquet_sink", parquet_sink, _base("SELECT * FROM rollup_"))
