@@ -7,12 +7,14 @@ import csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import records
+
 DELIMITERS = ",;\t|"
 
 
 def head(spark: SparkSession, path: str, lines: int = 20) -> list[str]:
     """The first lines of a text file or folder, read by Spark."""
-    return [r.value for r in spark.read.text(path).limit(lines).collect()]
+    return [r.value.removesuffix("\r") for r in spark.read.option("lineSep", "\n").text(path).limit(lines).collect()]
 
 
 def sniff(lines: list[str]) -> str:
@@ -37,16 +39,19 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> Da
     """A CSV with a header, every column as text; empty fields are null.
 
     The delimiter is found from the first lines.  Repeated header names raise ValueError.
-    Quoted line breaks are found by a pass that counts quotes: only a file with a line of an odd number of
-    them is read as a whole by one task, all others in parallel parts."""
+    A pass over the lines looks for odd numbers of quotes; where there is one, lines are put together to records (see records), in
+    parallel as well."""
     lines = head(spark, path)
     delimiter = delimiter or sniff(lines)
-    names = next(csv.reader(lines[:1], delimiter=delimiter), [])
+    names = next(csv.reader((line + "\n" for line in lines), delimiter=delimiter), [])
     if len(set(names)) != len(names):
         raise ValueError(f"repeated column names in {path}: {names}")
+    if not names:
+        return spark.createDataFrame([], "empty string").drop("empty")
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    reader = spark.read.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", _breaks_lines(spark, path))
-    return reader.schema(schema).csv(path) if names else spark.createDataFrame([], "empty string").drop("empty")
+    if _breaks_lines(spark, path):
+        return records.read_table(spark, path, schema, delimiter)
+    return spark.read.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"').schema(schema).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
