@@ -45,10 +45,14 @@ def drilldown(field_results: DataFrame, category: str | None = None, field_key:
     return rows
 
 
-def page(field_results: DataFrame, number: int = 1, size: int = 50, **filters) -> DataFrame:
-    """One page in a total order."""
+def check_page(number: int, size: int) -> None:
     if number < 1 or not 1 <= size <= MAX_PAGE:
         raise ValueError(f"pages count from 1 and have 1 to {MAX_PAGE} rows")
+
+
+def page(field_results: DataFrame, number: int = 1, size: int = 50, **filters) -> DataFrame:
+    """One page in a total order, of results that are not stored; a store finds its pages from an index."""
+    check_page(number, size)
     return drilldown(field_results, **filters).orderBy(*ORDER).offset((number - 1) * size).limit(size)
 
 

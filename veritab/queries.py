@@ -337,16 +337,44 @@ def parquet_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/record_rollup.parquet")
 
 
+def _saved(spark: SparkSession, sf_dir: str, into: store.Store, of: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> str:
+    """The run of the tables, its field rows or what is wanted of them, saved in a store; returns its id."""
+    done, record = run(spark, sf_dir).persist(), store.Run("t", "m", "s", "d", "1", AS_OF)
+    into.create_run(record)
+    into.save_results(record.run_id, of(done.field_results), done.record_rollup)
+    into.mark_completed(record.run_id)
+    done.unpersist()
+    return record.run_id
+
+
 def stored_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one category from a run that was saved in a store and read from it again."""
-    folder, done = _folder(spark), run(spark, sf_dir)
-    record = store.Run("t", "m", "s", "d", "1", AS_OF)
-    first = store.ParquetStore(spark, folder)
-    first.create_run(record)
-    first.save_results(record.run_id, done.field_results, done.record_rollup)
-    first.mark_completed(record.run_id)
-    again = store.ParquetStore(spark, folder)
-    return again.rows(record.run_id).where("category = 'EXCEPTION' and field_key is not null").select(*[F.col(c) for c in ("record_key", "field_key", "rule_id", "verdict")])
+    folder = _folder(spark)
+    saved = _saved(spark, sf_dir, store.ParquetStore(spark, folder))
+    return store.ParquetStore(spark, folder).rows(saved).where("category = 'EXCEPTION' and field_key is not null").select("record_key", "field_key", "rule_id", "verdict")
+
+
+def stored_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a saved run, found from the index of its files."""
+    kept = store.ParquetStore(spark, _folder(spark))
+    return kept.page(_saved(spark, sf_dir, kept), category="MISMATCH", page=3, size=50)[1].drop("detail")
+
+
+def stored_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The issues by field of a run whose issues were saved in a database, twice.
+
+    spark.veritab.jdbc.url names the database; on a single machine an embedded one serves."""
+    folder = _folder(spark)
+    url, options = spark.conf.get("spark.veritab.jdbc.url", None), {}
+    if not url:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.veritab.jdbc.url must name a database that all executors reach")
+        url, options = f"jdbc:derby:{re.sub('^file:/*', '/', folder)}.db;create=true", {"properties": {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}, "sent": "CLOB"}
+    kept = store.JdbcStore(spark, url, folder, **options)
+    saved = _saved(spark, sf_dir, kept, report.issues)
+    rows = kept.rows(saved)
+    kept.save_results(saved, rows.where("field_key is not null"), rows.where("field_key is null"))
+    return report.by_field(kept.rows(saved).where("field_key is not null"))
 
 
 def tagged_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,6 +398,8 @@ _add("tagged_file", tagged_file, """SELECT row_number() OVER (ORDER BY c_custkey
 _add("csv_run", csv_run, _base(_SUMMARY_SQL))
 _add("csv_scan", csv_scan, "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'a \"b\", ' || o_orderpriority || chr(10) || 'c' ELSE o_orderpriority END AS text FROM orders")
 _add("parquet_sink", parquet_sink, _base("SELECT * FROM rollup_"))
+_add("stored_page", stored_page, _base("SELECT * FROM fr WHERE category = 'MISMATCH' ORDER BY record_key, field_key, rule_id OFFSET 100 LIMIT 50"))
+_add("stored_summary", stored_summary, _base(f"SELECT field_key, count(*) AS issues FROM fr WHERE {_ISSUES} GROUP BY 1"))
 _add("stored_run", stored_run, _base("SELECT record_key, field_key, rule_id, verdict FROM fr WHERE category = 'EXCEPTION'"))
 _add(
     "tagged_reconcile",
