@@ -10,6 +10,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # else every column expression looks up its line of code
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )

@@ -1,21 +1,21 @@
-"""Two small tables of parcels that meet every category, with the verdicts expected of them."""
-
-COLUMNS = ["PARCEL", "DEPOT", "WEIGHT", "CLASS", "DISCOUNT", "SENT", "BOXES", "EACH", "SUM"]
-SOURCE = """P1,NO-0417,81.50,S,5,2024-02-29,3,2.5,7.5
-P2,NO-0417,12,M,15,2022-11-05,10,1,10
-P3,SU-1200,0,L,0,2025-07-14,1,4,4
-P4,SU-1200,640.25,S,40,2023-03-31,8,2,16
-P5,WE-0003,7,M,20,2020-10-10,2,2,4
-P7,WE-0003,33,S,25,2024-12-24,5,6,30"""
-DEST = """P1,NO-0417,81.51,S,5,2024-02-29,3,2.5,7.5
-P2,NO-0417,12,Q,15,2022-11-05,10,1,10
-P3,SU-1200,0,L,77,2025-07-14,1,4,4
-P4,SU-1200,inf,S,40,2023-02-30,8,2,99
-P6,EA-9000,3,M,10,2025-05-01,1,1,1
-P4,SU-1200,1,S,40,2023-03-31,8,2,16
-P7,WE-0003,heavy,S,25,2024-12-24,5,6,30"""
-
-FIELDS = [("parcel", "STRING", True), ("depot", "STRING", True), ("weight", "DECIMAL", False), ("class", "ENUM", False), ("discount", "DECIMAL", False), ("sent", "DATE", False), ("boxes", "INTEGER", False), ("each", "DECIMAL", False), ("sum", "DECIMAL", False)]
+"""Two small tables of ferry tickets, made by rule, and the verdicts expected of them."""
+
+COLUMNS = ["TICKET", "CABIN", "LOAD", "SAILED", "SEATS", "FARE", "PAID"]
+FIELDS = [("ticket", "STRING", True), ("cabin", "ENUM", False), ("load", "DECIMAL", False), ("sailed", "DATE", False), ("seats", "INTEGER", False), ("fare", "DECIMAL", False), ("paid", "DECIMAL", False)]
+
+
+def _ticket(k):
+    return {"TICKET": f"T{k:02}", "CABIN": ("inner", "outer", "deck")[k % 3], "LOAD": f"{k}.{k % 4}", "SAILED": f"{1 + k % 28:02}.{1 + k % 12:02}.2024", "SEATS": str(1 + k % 7), "FARE": "12.5", "PAID": str(12.5 * (1 + k % 7))}
+
+
+#: What the destination says otherwise, by ticket.
+CHANGES = {5: {"CABIN": "outer"}, 12: {"LOAD": "13"}, 2: {"SEATS": "99", "PAID": "1237.5"}, 9: {"PAID": "1"}, 14: {"LOAD": "n/a"}, 18: {"PAID": "??"}, 6: {"CABIN": " inner "}, 7: {"LOAD": "7.5"}}
+SOURCE = [_ticket(k) for k in (*range(1, 21), 17)]
+DEST = [_ticket(k) | CHANGES.get(k, {}) for k in (*range(20, 0, -1), 8, 15, 15, 31, 32, 33) if k not in (3, 11)]
+
+TRIM = {"op": "trim"}
+CODES = {"CABINS": [{"item_code": "inner"}, {"item_code": "outer", "active": True}, {"item_code": "deck"}, {"item_code": "hold", "active": False}]}
+AS_OF = "2025-03-31"
 
 
 def _rule(rule_id, kind, target, severity="ERROR", **params):
@@ -23,67 +23,62 @@ def _rule(rule_id, kind, target, severity="ERROR", **params):
 
 
 TEMPLATE = {
-    "template_id": "parcels",
+    "template_id": "tickets",
     "version": "1.0.0",
     "fields": [{"field_key": k, "datatype": t, "is_key": key} for k, t, key in FIELDS],
     "rules": [
-        _rule("class_known", "LOOKUP", "class", code_list="CLASSES"),
-        _rule("class_there", "NOT_NULL", "class"),
-        _rule("depot_form", "REGEX", "depot", pattern="^[A-Z]{2}-[0-9]{4}$"),
-        _rule("depot_same", "EQUALITY", "depot"),
-        _rule("discount_range", "RANGE", "discount", "WARNING", min=0, max=50),
-        _rule("sent_date", "DATE_VALID", "sent", format="%Y-%m-%d", not_future=True),
-        _rule("sum_adds_up", "CROSS_FIELD", None, "WARNING", lhs="f_boxes * f_each", rhs="f_sum", tolerance=0.5),
-        _rule("weight_near", "TOLERANCE", "weight", tolerance=0.01, scale=4),
+        _rule("cabin_listed", "LOOKUP", "cabin", code_list="CABINS"),
+        _rule("cabin_same", "EQUALITY", "cabin"),
+        _rule("load_near", "TOLERANCE", "load", tolerance=0.5, scale=2),
+        _rule("paid_adds_up", "CROSS_FIELD", None, "WARNING", lhs="f_seats * f_fare", rhs="f_paid", tolerance=0),
+        _rule("sailed_day", "DATE_VALID", "sailed", format="%d.%m.%Y", not_future=True),
+        _rule("seats_range", "RANGE", "seats", "WARNING", min=1, max=60),
+        _rule("ticket_form", "REGEX", "ticket", pattern="T[0-9]+"),
     ],
 }
-TRIM = {"op": "trim"}
-_BOUND = dict(zip([k for k, _, _ in FIELDS], COLUMNS, strict=True))
-
-
-def _binding(key, trim):
-    return {"field_key": key, "src_col": _BOUND[key], "dst_col": _BOUND[key], "src_transform": TRIM if trim else None, "dst_transform": TRIM if trim else None}
-
+_BOUND = [{"field_key": k, "src_col": c, "dst_col": c, "dst_transform": TRIM if k == "cabin" else None} for (k, _, _), c in zip(FIELDS, COLUMNS, strict=True)]
+MAPPING = {"expected_side": "SOURCE", "key_pairs": _BOUND[:1], "field_bindings": _BOUND}
 
-MAPPING = {
-    "expected_side": "SOURCE",
-    "key_pairs": [_binding(k, True) for k in ("parcel", "depot")],
-    "field_bindings": [_binding(k, k in ("depot", "class", "sent")) for k, _, _ in FIELDS if k != "parcel"],
+MISSING = {"T03": "MISSING_IN_DEST", "T11": "MISSING_IN_DEST", "T31": "MISSING_IN_SOURCE", "T32": "MISSING_IN_SOURCE", "T33": "MISSING_IN_SOURCE"}
+#: Findings on matched records: (ticket, field, category) -> severity.
+ODD = {
+    ("T02", "seats", "MISMATCH"): "WARNING",
+    ("T05", "cabin", "MISMATCH"): "ERROR",
+    ("T09", "cross:paid_adds_up", "MISMATCH"): "WARNING",
+    ("T12", "load", "MISMATCH"): "ERROR",
+    ("T14", "load", "EXCEPTION"): "ERROR",
+    ("T18", "cross:paid_adds_up", "EXCEPTION"): "WARNING",
 }
-CODES = {"CLASSES": [{"item_code": "S"}, {"item_code": "M"}, {"item_code": "L", "active": True}, {"item_code": "Q", "active": False}]}
-AS_OF = "2026-01-31"
-SUMMARY = {"total_records": 7, "match_count": 2, "mismatch_count": 1, "missing_src": 1, "missing_dst": 1, "duplicate_count": 1, "exception_count": 1}
-ROLLUP = {"P1": "MATCH", "P2": "MISMATCH", "P3": "MATCH", "P4": "DUPLICATE", "P5": "MISSING_IN_DEST", "P6": "MISSING_IN_SOURCE", "P7": "EXCEPTION"}
+ROLLUP = dict.fromkeys((f"T{k:02}" for k in range(1, 21)), "MATCH") | MISSING | dict.fromkeys(("T08", "T15", "T17"), "DUPLICATE") | {"T05": "MISMATCH", "T12": "MISMATCH", "T14": "EXCEPTION", "T18": "EXCEPTION"}
+SUMMARY = {"total_records": 23, "match_count": 11, "mismatch_count": 2, "missing_src": 3, "missing_dst": 2, "duplicate_count": 3, "exception_count": 2}
+RESULTS = 15 * 7
 
-SPEC = """How depots report parcels
+SPEC = """What harbours report of tickets
 
 SECTION: FIELDS
-parcel | STRING | key
-depot | STRING | key required
-weight | DECIMAL | required
-class | ENUM(CLASSES) | required
-discount | DECIMAL |
-sent | DATE |
-boxes | INTEGER |
-each | DECIMAL |
-sum | DECIMAL |
+ticket | STRING | key required
+cabin | ENUM(CABINS) | required
+load | DECIMAL |
+sailed | DATE |
+seats | INTEGER |
+fare | DECIMAL |
+paid | DECIMAL | required
 
 SECTION: RULES
-class :: LOOKUP code_list=CLASSES :: ERROR
-class :: NOT_NULL :: ERROR
-depot :: REGEX pattern=^[A-Z]{2}-[0-9]{4}$ :: ERROR
-depot :: EQUALITY :: ERROR
-discount :: RANGE min=0 max=50 :: WARNING
-sent :: DATE_VALID format=%Y-%m-%d not_future=true :: ERROR
-boxes,each,sum :: CROSS_FIELD lhs=f_boxes*f_each rhs=f_sum tolerance=0.5 :: WARNING
-weight :: TOLERANCE tolerance=0.01 scale=4 :: ERROR
+ticket :: REGEX pattern=T[0-9]+ :: ERROR
+cabin :: LOOKUP code_list=CABINS :: ERROR
+cabin :: EQUALITY :: ERROR
+load :: TOLERANCE tolerance=0.5 scale=2 :: ERROR
+seats :: RANGE min=1 max=60 :: WARNING
+sailed :: DATE_VALID format=%d.%m.%Y not_future=true :: ERROR
+seats,fare,paid :: CROSS_FIELD lhs=f_seats*f_fare rhs=f_paid tolerance=0 :: WARNING
 """
 
 
 def write(folder):
     paths = []
-    for name, body in (("source", SOURCE), ("dest", DEST)):
+    for name, rows in (("source", SOURCE), ("dest", DEST)):
         path = folder / f"{name}.csv"
-        path.write_text(",".join(COLUMNS) + "\n" + body + "\n")
+        path.write_text("\n".join(",".join(r[c] for c in COLUMNS) for r in [dict(zip(COLUMNS, COLUMNS, strict=True)), *rows]) + "\n")
         paths.append(str(path))
     return paths

@@ -22,18 +22,20 @@ def run(spark, tmp_path_factory):
 def test_golden_summary_and_rollup(run):
     found = run.collect()
     assert found["summary"] == golden.SUMMARY
-    assert {k.split("|")[0]: c for k, c in found["record_rollup"]} == golden.ROLLUP
+    assert dict(found["record_rollup"]) == golden.ROLLUP
     assert [k for k, _ in found["record_rollup"]] == sorted(k for k, _ in found["record_rollup"])
 
 
 def test_golden_field_rows(run):
     rows = run.collect()["field_results"]
-    assert len(rows) == 32
-    odd = {(r["record_key"][:2], r["field_key"], r["category"]): r for r in rows if r["category"] != "MATCH"}
-    assert set(odd) == {("P2", "class", "MISMATCH"), ("P3", "discount", "MISMATCH"), ("P7", "weight", "EXCEPTION")}
-    assert odd["P2", "class", "MISMATCH"]["actual"] == "Q"
-    assert next(r for r in rows if r["record_key"].startswith("P1") and r["rule_id"] == "weight_near")["verdict"] == "diff=0.0100"
-    assert {r[0]: r[1] for r in report.by_severity(run.field_results).collect()} == {"ERROR": 2, "WARNING": 1}
+    assert len(rows) == golden.RESULTS
+    odd = {(r["record_key"], r["field_key"], r["category"]): r for r in rows if r["category"] != "MATCH"}
+    assert {k: r["severity"] for k, r in odd.items()} == golden.ODD
+    assert odd["T12", "load", "MISMATCH"]["verdict"] == "diff=1.00" and odd["T05", "cabin", "MISMATCH"]["actual"] == "outer"
+    assert next(r for r in rows if (r["record_key"], r["rule_id"]) == ("T07", "load_near"))["verdict"] == "diff=0.20"
+    for by, table in (("severity", report.by_severity), ("field_key", report.by_field)):
+        assert sorted(map(tuple, run.issues(by).collect())) == sorted(map(tuple, table(run.field_results).collect()))
+    assert dict(map(tuple, run.issues("severity").collect())) == {"ERROR": 3, "WARNING": 3}
 
 
 def test_order_and_partitions_do_not_matter(spark, run):
@@ -50,12 +52,12 @@ def test_one_shuffle_and_no_python(run):
 
 
 def test_missing_wins_over_duplicate_and_null_key_parts_vanish(spark):
-    columns = "PARCEL string, DEPOT string, " + ", ".join(f"{c} string" for c in golden.COLUMNS[2:])
-    row = ["x"] * 7
-    source = spark.createDataFrame([["B", "1", *row], ["B", "1", *row], ["A", None, *row], [None, None, *row]], columns)
-    dest = spark.createDataFrame([[None, "A", *row], [None, None, *row]], columns)
-    found = dict(reconcile(config(), source, dest).collect()["record_rollup"])
-    assert found == {"B|1": "MISSING_IN_DEST", "A": "EXCEPTION", "": "EXCEPTION"}
+    pair = [{"field_key": k, "src_col": c, "dst_col": c} for k, c in (("ticket", "TICKET"), ("fare", "FARE"))]
+    two = resolve(golden.TEMPLATE, golden.MAPPING | {"key_pairs": pair}, golden.CODES, golden.AS_OF)
+    columns = ", ".join(f"{c} string" for c in golden.COLUMNS)
+    rows = lambda *keys: spark.createDataFrame([[a, "x", "x", "x", "x", b, "x"] for a, b in keys], columns)
+    found = reconcile(two, rows(("B", "1"), ("B", "1"), ("A", None), (None, None)), rows((None, "A"), (None, None))).collect()["record_rollup"]
+    assert dict(found) == {"B|1": "MISSING_IN_DEST", "A": "EXCEPTION", "": "EXCEPTION"}
 
 
 def test_empty_tables(spark):
@@ -73,17 +75,17 @@ def test_long_code_lists_are_joined(spark, run, monkeypatch):
 
 
 def test_warning_mismatch_does_not_demote(run):
-    results = run.judged.where(F.col("record_key").startswith("P3")).first()
+    results = run.judged.where(F.col("record_key") == "T02").first()
     assert results["category"] == "MATCH" and any(r["category"] == "MISMATCH" for r in results["results"])
 
 
 @pytest.mark.parametrize(
     "change, message",
     [
-        ({"rules": [{"rule_id": "r", "type": "NOPE", "target_field_keys": ["class"]}]}, "unknown single-field type"),
+        ({"rules": [{"rule_id": "r", "type": "NOPE", "target_field_keys": ["cabin"]}]}, "unknown single-field type"),
         ({"rules": [{"rule_id": "r", "type": "REGEX"}]}, "missing target_field_keys"),
         ({"rules": [{"rule_id": "r", "type": "REGEX", "target_field_keys": ["nope"]}]}, "no destination binding"),
-        ({"rules": [{"rule_id": "r", "type": "LOOKUP", "target_field_keys": ["class"], "params": {"code_list": "?"}}]}, "not provided"),
+        ({"rules": [{"rule_id": "r", "type": "LOOKUP", "target_field_keys": ["cabin"], "params": {"code_list": "?"}}]}, "not provided"),
         ({"rules": [{"rule_id": "r", "type": "CROSS_FIELD", "params": {"lhs": "1"}}]}, "missing param"),
     ],
 )
@@ -109,7 +111,7 @@ def test_pages(run):
 
 
 def test_missing_needs_no_rules(run):
-    assert {tuple(r) for r in run.missing().collect()} == {("P5|WE-0003", "MISSING_IN_DEST"), ("P6|EA-9000", "MISSING_IN_SOURCE")}
+    assert {tuple(r) for r in run.missing().collect()} == set(golden.MISSING.items())
 
 
 def test_rollup_reads_no_results(run):
@@ -120,5 +122,5 @@ def test_rollup_reads_no_results(run):
 
 def test_write(run, spark, tmp_path):
     run.write(str(tmp_path))
-    assert spark.read.parquet(str(tmp_path / "field_results.parquet")).count() == 32
+    assert spark.read.parquet(str(tmp_path / "field_results.parquet")).count() == golden.RESULTS
     assert report.write_csv({"run_id": "x"}, run.field_results, str(tmp_path / "report"))

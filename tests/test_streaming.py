@@ -13,7 +13,7 @@ def test_arrivals(spark, tmp_path):
     source, dest = (read_csv(spark, p) for p in golden.write(tmp_path))
     arrived, out = str(tmp_path / "arrived"), str(tmp_path / "out")
     stream = lambda: spark.readStream.schema(dest.schema).parquet(arrived)
-    for part in ("PARCEL <= 'P4'", "PARCEL > 'P4'"):
+    for part in ("TICKET <= 'T10'", "TICKET > 'T10'"):
         dest.where(part).coalesce(1).write.mode("append").parquet(arrived)
         query = judge_arrivals(config, source, stream(), out, str(tmp_path / "checkpoint"), once=True)
         assert query.awaitTermination(120)

@@ -40,6 +40,7 @@ CATEGORIES = {
     "exception_count": "EXCEPTION",
 }
 SUMMARY = ["total_records", *CATEGORIES]
+PAIRED = "n_s = 1 and n_d = 1"
 
 
 def canonical(df: DataFrame, config: RunConfig, side: str) -> tuple[DataFrame, dict[str, str]]:
@@ -97,8 +98,8 @@ class Reconciliation:
         kinds = self._source_kinds if side == "s" else self._dest_kinds
         return {k: Value(F.col(f"{side}.f_{safe_name(k)}"), kind) for k, kind in kinds.items()}
 
-    def _judged(self) -> DataFrame:
-        """key_frame with results (null unless matched) and category."""
+    def _bound(self) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+        """key_frame with the values that rules need bound to columns, and each rule's (result, category)."""
         source, dest, frame, joined = self._values("s"), self._values("d"), self.key_frame, {}
         for k, rule in enumerate(rules.joined_lists(self.config)):
             codes = frame.sparkSession.createDataFrame([(c,) for c in self.config.active_codes(rule.params["code_list"])], f"code_{k} string")
@@ -110,10 +111,14 @@ class Reconciliation:
         every += [rules.judge(r, self.config, source, dest_by_name, joined, bind) for r in self.config.cross_rules]
         for level in bind.levels:
             frame = frame.select("*", *(c.alias(name) for name, c in level.items()))
-        paired = (F.col("n_s") == 1) & (F.col("n_d") == 1)
+        return frame, every
+
+    def _judged(self) -> DataFrame:
+        """key_frame with results (null unless matched) and category."""
+        frame, every = self._bound()
         results, categories = zip(*every, strict=True)
         severe = [c for r, c in zip([*self.config.rules, *self.config.cross_rules], categories, strict=True) if r.severity == "ERROR"]
-        return frame.select("record_key", "n_s", "n_d", F.when(paired, F.array(*results)).alias("results"), self._category(categories, severe).alias("category"))
+        return frame.select("record_key", "n_s", "n_d", F.when(F.expr(PAIRED), F.array(*results)).alias("results"), self._category(categories, severe).alias("category"))
 
     @staticmethod
     def _category(categories: Sequence[Column], severe: Sequence[Column]) -> Column:
@@ -140,6 +145,17 @@ class Reconciliation:
 
     # -- steps, each a table of its own ------------------------------------------------
 
+    def issues(self, by: str = "field_key") -> DataFrame:
+        """(by, issues) for by field_key or severity: report.by_field or by_severity of field_results.
+
+        Rules are counted as they are judged, one counter each, so that no result row is made; a rule without a severity has none."""
+        with exact_decimals(self.source.sparkSession):
+            frame, every = self._bound()
+            counts = [F.count_if(F.expr(PAIRED) & c.isin("MISMATCH", "EXCEPTION")).alias(f"n{k}") for k, (_, c) in enumerate(every)]
+            named = [rules.field_of(r) if by == "field_key" else r.severity for r in (*self.config.rules, *self.config.cross_rules)]
+            pairs = F.array(*[F.struct(F.lit(name).alias(by), F.col(f"n{k}").alias("n")) for k, name in enumerate(named) if name] or [F.struct(F.lit("").alias(by), F.lit(0).alias("n"))])
+            return frame.agg(*counts).select(F.inline(pairs)).where("n > 0").groupBy(by).agg(F.sum("n").alias("issues"))
+
     @cached_property
     def key_counts(self) -> DataFrame:
         """record_key with the row counts of both sides."""
@@ -156,13 +172,13 @@ class Reconciliation:
 
     def matched(self) -> DataFrame:
         """record_key with s_<field> and d_<field> of the keys that stand once on each side."""
-        both = self.key_frame.where("n_s = 1 and n_d = 1")
+        both = self.key_frame.where(PAIRED)
         named = [F.col(f"{x}.f_{safe_name(k)}").alias(f"{x}_{safe_name(k)}") for x, kinds in (("s", self._source_kinds), ("d", self._dest_kinds)) for k in kinds]
         return both.select("record_key", *named)
 
     def matched_wide(self) -> DataFrame:
         """record_key with the destination's values as f_<field>, which cross-field rules see."""
-        return self.key_frame.where("n_s = 1 and n_d = 1").select("record_key", "d.*")
+        return self.key_frame.where(PAIRED).select("record_key", "d.*")
 
     def missing(self) -> DataFrame:
         """(record_key, category) of keys that one side lacks altogether."""
@@ -173,7 +189,7 @@ class Reconciliation:
 
     @cached_property
     def field_results(self) -> DataFrame:
-        return self.judged.where("n_s = 1 and n_d = 1").select("record_key", F.inline("results"))
+        return self.judged.where(PAIRED).select("record_key", F.inline("results"))
 
     @cached_property
     def record_rollup(self) -> DataFrame:

@@ -98,14 +98,19 @@ def _date_valid(rule: Rule, v: Value, as_of: str, bind: Binder) -> list:
     return [*cases, (None, "MATCH", "valid")]
 
 
+def field_of(rule: Rule) -> str:
+    """The field_key of a rule's results."""
+    return f"cross:{rule.rule_key}" if rule.type == "CROSS_FIELD" else rule.target_field_keys[0]
+
+
 def judge(rule: Rule, config: RunConfig, source: dict[str, Value], dest: dict[str, Value], joined: dict[str, Column], bind: Binder) -> tuple[Column, Column]:
     """The result struct of one rule and its category.  joined: for code lists too long to compare in place, whether the code was found, by rule id."""
     p = rule.params
     if rule.type == "CROSS_FIELD":
         left, right = (expressions.compile(p[k], dest) for k in ("lhs", "rhs"))
         left, right = (Value(bind(x.col), x.kind) for x in (left, right))
-        return _result(f"cross:{rule.rule_key}", rule, right.text(), left.text(), _difference(left, right, d.number(p["tolerance"]), bind), bind)
-    key = rule.target_field_keys[0]
+        return _result(field_of(rule), rule, right.text(), left.text(), _difference(left, right, d.number(p["tolerance"]), bind), bind)
+    key = field_of(rule)
     v = dest[key]
     actual = v.text()
     match rule.type:

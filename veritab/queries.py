@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from veritab.functions import dialect as d
 from veritab.functions import transforms
 from veritab.functions.dialect import Value
-from veritab.operators import profile, report, review, suggest
+from veritab.operators import profile, report
 from veritab.operators.reconcile import Reconciliation, reconcile
 from veritab.plans.config import resolve
-from veritab.sources import spec, store, tables, tagged
+from veritab.sources import store, tables, tagged
 
 AS_OF = "2026-06-04"
 TRIM = {"op": "trim"}
@@ -135,8 +135,10 @@ WITH o AS MATERIALIZED (
   UNION ALL SELECT record_key, 'cross:twice', 'r_twice_cf', 'WARNING', CAST(r AS VARCHAR), CAST(l AS VARCHAR),
     CASE WHEN l IS NULL OR r IS NULL THEN 'EXCEPTION' WHEN abs(l - r) <= 1 THEN 'MATCH' ELSE 'MISMATCH' END, CASE WHEN l IS NULL OR r IS NULL THEN 'uncastable' ELSE 'diff=' || CAST(abs(l - r) AS VARCHAR) END FROM num
 ), rollup_ AS (
-  SELECT c.record_key, CASE WHEN n_d = 0 THEN 'MISSING_IN_DEST' WHEN n_s = 0 THEN 'MISSING_IN_SOURCE' WHEN n_s > 1 OR n_d > 1 THEN 'DUPLICATE' WHEN g.e THEN 'EXCEPTION' WHEN g.m THEN 'MISMATCH' ELSE 'MATCH' END AS category
-  FROM counts c LEFT JOIN (SELECT record_key, bool_or(category = 'EXCEPTION') AS e, bool_or(category = 'MISMATCH' AND severity = 'ERROR') AS m FROM fr GROUP BY 1) g ON g.record_key = c.record_key
+  SELECT counts.record_key, CASE WHEN n_d = 0 THEN 'MISSING_IN_DEST' WHEN n_s = 0 THEN 'MISSING_IN_SOURCE' WHEN n_s > 1 OR n_d > 1 THEN 'DUPLICATE'
+    WHEN x IS NULL OR a IS NULL OR b IS NULL OR l IS NULL OR r IS NULL THEN 'EXCEPTION'
+    WHEN s_customer IS DISTINCT FROM d_customer OR ts IS NULL OR CAST(ts AS DATE) > DATE '2026-06-04' OR abs(a - b) > 0.01 OR d_status IS NULL OR trim(d_status) = '' THEN 'MISMATCH' ELSE 'MATCH' END AS category
+  FROM counts LEFT JOIN num ON num.record_key = counts.record_key
 )
 """
 _SUMMARY_SQL = "SELECT count(*) AS total_records, " + ", ".join(f"count(*) FILTER (WHERE category = '{c}') AS {n}" for n, c in (("match_count", "MATCH"), ("mismatch_count", "MISMATCH"), ("missing_src", "MISSING_IN_SOURCE"), ("missing_dst", "MISSING_IN_DEST"), ("duplicate_count", "DUPLICATE"), ("exception_count", "EXCEPTION"))) + " FROM rollup_"
@@ -186,8 +188,8 @@ for _rule in TEMPLATE["rules"]:
     _of_run(f"rule_{_rule['type'].lower()}", lambda r, i=_rule["rule_id"]: r.field_results.where(F.col("rule_id") == i), f"SELECT * FROM fr WHERE rule_id = '{_rule['rule_id']}'")
 _of_run("record_rollup", lambda r: r.record_rollup, "SELECT * FROM rollup_")
 _of_run("run_summary", lambda r: r.run_summary, _SUMMARY_SQL)
-_of_run("by_field", lambda r: report.by_field(r.field_results), f"SELECT field_key, count(*) AS issues FROM fr WHERE {_ISSUES} GROUP BY 1")
-_of_run("by_severity", lambda r: report.by_severity(r.field_results), f"SELECT severity, count(*) AS issues FROM fr WHERE {_ISSUES} AND severity <> '' GROUP BY 1")
+_of_run("by_field", lambda r: r.issues(), f"SELECT field_key, count(*) AS issues FROM fr WHERE {_ISSUES} GROUP BY 1")
+_of_run("by_severity", lambda r: r.issues("severity"), f"SELECT severity, count(*) AS issues FROM fr WHERE {_ISSUES} AND severity <> '' GROUP BY 1")
 _of_run("report_by_field", lambda r: report.by_field_sheet(r.field_results), f"SELECT field_key, count(*) FILTER (WHERE category = 'MISMATCH') AS mismatch, count(*) FILTER (WHERE category = 'EXCEPTION') AS exception, count(*) AS total FROM fr WHERE {_ISSUES} GROUP BY 1 ORDER BY total DESC, field_key")
 _of_run("report_drilldown", lambda r: report.drilldown_sheet(r.field_results), 'SELECT record_key AS "Record Key", field_key AS "Field", category AS "Category", severity AS "Severity", rule_id AS "Rule", expected AS "Expected", actual AS "Actual", verdict AS "Verdict", \'—\' AS "PDF Ref" FROM fr')
 _of_run("drilldown_filtered", lambda r: report.drilldown(r.field_results, "MISMATCH", "price"), "SELECT * FROM fr WHERE category = 'MISMATCH' AND field_key = 'price'")
@@ -259,7 +261,11 @@ _add(
     lambda spark, sf_dir: profile.statistics(dest(spark, sf_dir)).select("column_name", F.col("ordinal").cast("long").alias("ordinal"), "null_count", "distinct_count", F.col("min_length").cast("long").alias("min_length"), F.col("max_length").cast("long").alias("max_length")),
     _base(" UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({k} AS BIGINT) AS ordinal, count(*) - count(\"{c}\") AS null_count, count(DISTINCT \"{c}\") AS distinct_count, CAST(min(length(\"{c}\")) AS BIGINT) AS min_length, CAST(max(length(\"{c}\")) AS BIGINT) AS max_length FROM dest" for k, c in enumerate(("OKEY", "CUSTOMER", "STATUS", "PRICE", "TWICE", "DAY", "PRIORITY")))),
 )
-_add("code_list_table", lambda spark, sf_dir: tables.code_list(spark, CODES["ORDER_STATUS"]), "SELECT * FROM (VALUES ('F', true), ('O', true), ('P', false)) t(item_code, active)")
+_add(
+    "code_list_table",
+    lambda spark, sf_dir: tables.code_table(source(spark, sf_dir), "status", inactive=("P",)),
+    _base("SELECT DISTINCT status AS item_code, status <> 'P' AS active FROM source WHERE status IS NOT NULL"),
+)
 
 # -- tag-length records of customers
 LAYOUT = {
@@ -406,39 +412,3 @@ _add(
     tagged_reconcile,
     "SELECT count(*) AS total_records, count(*) FILTER (WHERE c_custkey % 4 <> 0) AS match_count, count(*) FILTER (WHERE c_custkey % 4 = 0) AS mismatch_count, 0::BIGINT AS missing_src, 0::BIGINT AS missing_dst, 0::BIGINT AS duplicate_count, 0::BIGINT AS exception_count FROM customer",
 )
-
-
-# -- suggestion, review and specification texts: small tables made on the driver
-SPEC_TEXT = "SECTION: FIELDS\norder_no | STRING | key\nprice | DECIMAL | required\nstatus | ENUM(ORDER_STATUS) | required\nday | DATE |\nodd | BLOB |\nSECTION: RULES\nprice :: TOLERANCE tolerance=0.01 scale=4 :: ERROR\nday :: DATE_VALID format=%Y-%m-%d not_future=true\nprice,twice :: CROSS_FIELD lhs=f_price*2 rhs=f_twice tolerance=1 :: WARNING"
-
-
-def _draft() -> dict:
-    document = spec.Document.of_texts([SPEC_TEXT])
-    found = spec.SectionExtractor().extract(document)
-    return spec.draft_template(found, document, spec.extraction_run(found, document)["run_id"], "orders")
-
-
-def suggested_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The suggested mapping of the two sides of the reconciliation, one row for each edge; it goes by names and a few sample values of each column."""
-    columns = [profile.samples(side(spark, sf_dir)) for side in (source, dest)]
-    graph = suggest.suggest(TEMPLATE, *columns)
-    return spark.createDataFrame([(e.id, e.kind, e.from_node, e.to_node, e.is_key) for e in graph.edges], "id string, kind string, from_node string, to_node string, is_key boolean")
-
-
-_ALIKE = ("customer", "status", "price", "twice", "day", "priority")  # okey is too unlike order_no to be suggested
-_add("suggested_edges", suggested_edges, "SELECT * FROM (VALUES " + ", ".join(row for f in _ALIKE for row in (f"('e_{f}_src', 'PDF_TO_SOURCE', 'pdf_{f}', 'src_{f}', false)", f"('e_{f}_dst', 'SOURCE_TO_DEST', 'src_{f}', 'dst_{f.upper()}', false)")) + ") t(id, kind, from_node, to_node, is_key)")
-_add(
-    "review_pending",
-    lambda spark, sf_dir: spark.createDataFrame([(k, key) for k, keys in review.pending(_draft()).items() if isinstance(keys, list) for key in keys], "list string, key string"),
-    "SELECT * FROM (VALUES ('fields_pending', 'order_no'), ('fields_pending', 'price'), ('fields_pending', 'status'), ('fields_pending', 'day'), ('fields_pending', 'odd'), ('rules_pending', 'price_tolerance'), ('rules_pending', 'day_date_valid'), ('rules_pending', 'price_cross_field'), ('low_confidence', 'field:odd'), ('low_confidence', 'rule:price_cross_field')) t(list, key)",
-)
-_add(
-    "extracted_fields",
-    lambda spark, sf_dir: spark.createDataFrame([(f["field_key"], f["datatype"], f["required"], f["is_key"], f["enum_code_list"], f["confidence"], f["review_status"]) for f in _draft()["fields"]], "field_key string, datatype string, required boolean, is_key boolean, enum_code_list string, confidence double, review_status string"),
-    "SELECT * FROM (VALUES ('order_no', 'STRING', false, true, NULL, 0.95::DOUBLE, 'SUGGESTED'), ('price', 'DECIMAL', true, false, NULL, 0.95, 'SUGGESTED'), ('status', 'ENUM', true, false, 'ORDER_STATUS', 0.9, 'SUGGESTED'), ('day', 'DATE', false, false, NULL, 0.95, 'SUGGESTED'), ('odd', 'STRING', false, false, NULL, 0.6, 'SUGGESTED')) t(field_key, datatype, required, is_key, enum_code_list, confidence, review_status)",
-)
-_add(
-    "extracted_rules",
-    lambda spark, sf_dir: spark.createDataFrame([(r["rule_key"], r["type"], r["severity"], ",".join(r["target_field_keys"])) for r in _draft()["rules"]], "rule_key string, type string, severity string, targets string"),
-    "SELECT * FROM (VALUES ('price_tolerance', 'TOLERANCE', 'ERROR', 'price'), ('day_date_valid', 'DATE_VALID', 'ERROR', 'day'), ('price_cross_field', 'CROSS_FIELD', 'WARNING', 'price,twice')) t(rule_key, type, severity, targets)",
-)

@@ -64,3 +64,9 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
 def code_list(spark: SparkSession, items: list[dict]) -> DataFrame:
     """(item_code, active) of a code list; active is true unless said otherwise.  An empty list gives an empty table."""
     return spark.createDataFrame([(str(i["item_code"]), bool(i.get("active", True))) for i in items], "item_code string, active boolean")
+
+
+def code_table(df: DataFrame, column: str, inactive: tuple[str, ...] = ()) -> DataFrame:
+    """(item_code, active): the codes that a column holds, as a code list; those named inactive are not active."""
+    codes = df.select(F.col(f"`{column}`").cast("string").alias("item_code")).where("item_code is not null").distinct()
+    return codes.select("item_code", ~F.col("item_code").isin(*inactive) if inactive else F.lit(True).alias("active")).toDF("item_code", "active")
