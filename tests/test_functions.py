@@ -91,3 +91,18 @@ def test_names():
     assert d.safe_name("a.b") == "a_b" and d.safe_name("1x") == "_1x" and d.safe_name("ชื่อ-1")[-2:] == "_1"
     with pytest.raises(ValueError):
         d.number(True)
+
+
+def test_kinds_of_columns(spark):
+    """Every value counts, not the first few; parts merge to what the whole gives."""
+    from veritab.operators import profile
+
+    rows = [("1", "1.5", "2024-01-31", "20240131", "31.12.2023", "x", None, "007", "1e3", "20240101")] * 40 + [(" -2 ", ".5", "2024-2-3", "20240229", "01.01.2024", "1", " ", "12", "nan", "20249999"), (None, "7", None, None, "", None, "", "3", "5", "5")]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in ("whole", "number", "iso", "digits", "dots", "text", "none", "zeros", "special", "not.dates")))
+    wanted = {"whole": "INTEGER", "number": "DECIMAL", "iso": "DATE", "digits": "DATE", "dots": "DATE", "text": "STRING", "none": "EMPTY", "zeros": "INTEGER", "special": "STRING", "not.dates": "INTEGER"}
+    found = {r.column_name: r for r in profile.inferred(profile.kinds(df)).collect()}
+    assert {c: r.kind for c, r in found.items()} == wanted and found["dots"].date_format == "%d.%m.%Y" and found["text"].date_format is None
+    assert found["none"].filled == 0 and found["iso"].filled == 41 and found["zeros"].distinct_estimate == 3
+    parts = [profile.kinds(df.limit(0)), *(profile.kinds(spark.createDataFrame(rows[a:b], df.schema)) for a, b in ((0, 10), (10, 41), (41, 42)))]
+    merged = {r.column_name: r for r in profile.inferred(profile.merge_kinds(*parts)).collect()}
+    assert {c: (r.kind, r.filled, r.date_format) for c, r in merged.items()} == {c: (r.kind, r.filled, r.date_format) for c, r in found.items()}

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.functions.dialect import qcol
+from veritab.functions.dialect import parse_date, qcol
+
+#: Formats that a column of dates may have, in the order in which one is chosen.
+DATE_FORMATS = ("%Y-%m-%d", "%Y%m%d", "%d/%m/%Y", "%d.%m.%Y")
+#: Bits of a column's kinds: what all of its values are.
+_WHOLE, _NUMBER, _DATES = 1, 2, 4
 
 
 def samples(df: DataFrame, rows: int = 5) -> list[dict]:
@@ -27,3 +32,39 @@ def statistics(df: DataFrame, exact: bool = True) -> DataFrame:
     else:
         null_count, distinct = F.count_if(F.col("value").isNull()), F.approx_count_distinct("value")
     return long.groupBy("ordinal", "column_name").agg(null_count.alias("null_count"), distinct.alias("distinct_count"), F.min(F.length("value")).alias("min_length"), F.max(F.length("value")).alias("max_length"))
+
+
+def kinds(df: DataFrame) -> DataFrame:
+    """(column_name, ordinal, filled, flags, sketch) of every column, by one pass over all rows without a shuffle of them.
+
+    filled: values that are not blank.  flags: bits of what every one of them is, a whole number, a number, a date of each format; -1 without values.  sketch:
+    a mergeable sketch of the distinct values.  Tables of parts of a dataset are merged by merge_kinds, so a new file needs no second look at the old ones."""
+    parts = []
+    for k, c in enumerate(df.columns):
+        text = F.trim(qcol(c).cast("string"))
+        text = F.when(text != "", text)
+        flags = F.when(text.rlike(r"^[+-]?\d+$"), _WHOLE + _NUMBER).when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), _NUMBER).otherwise(0)
+        for j, fmt in enumerate(DATE_FORMATS):
+            # a number is no date unless it has the year in front and eight digits
+            flags = flags + F.when(text.rlike(r"^\d{8}$" if "%Y%m" in fmt else r"^\d{1,4}\D\d{1,2}\D\d{1,4}$") & parse_date(text, fmt).isNotNull(), _DATES << j).otherwise(0)
+        parts.append((k, c, F.count(text), F.coalesce(F.bit_and(F.when(text.isNotNull(), flags)), F.lit(-1)), F.hll_sketch_agg(F.coalesce(text, F.lit("")))))
+    row = df.agg(*[x.alias(f"{name}{k}") for k, _, *xs in parts for name, x in zip("nfs", xs, strict=True)])
+    columns = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(k).cast("long").alias("ordinal"), F.col(f"n{k}").alias("filled"), F.col(f"f{k}").cast("long").alias("flags"), F.col(f"s{k}").alias("sketch")) for k, c, *_ in parts])
+    return row.select(F.inline(columns))
+
+
+def merge_kinds(*tables: DataFrame) -> DataFrame:
+    """kinds of a dataset from those of its parts; a column is known by its name."""
+    every = tables[0]
+    for other in tables[1:]:
+        every = every.unionByName(other)
+    return every.groupBy("column_name").agg(F.min("ordinal").alias("ordinal"), F.sum("filled").alias("filled"), F.bit_and("flags").alias("flags"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def inferred(table: DataFrame) -> DataFrame:
+    """(column_name, ordinal, filled, kind, date_format, distinct_estimate) of a table of kinds.
+
+    kind: INTEGER, DECIMAL, DATE or STRING, the narrowest that all values have; EMPTY without values.  A number that is a date as well is a DATE."""
+    date = F.coalesce(*[F.when(F.col("flags").bitwiseAND(_DATES << j) != 0, F.lit(fmt)) for j, fmt in enumerate(DATE_FORMATS)])
+    kind = F.when(F.col("filled") == 0, "EMPTY").when(date.isNotNull(), "DATE").when(F.col("flags").bitwiseAND(_WHOLE) != 0, "INTEGER").when(F.col("flags").bitwiseAND(_NUMBER) != 0, "DECIMAL").otherwise("STRING")
+    return table.select("column_name", "ordinal", "filled", kind.alias("kind"), F.when(F.col("filled") > 0, date).alias("date_format"), F.hll_sketch_estimate("sketch").alias("distinct_estimate"))

@@ -18,6 +18,7 @@ from veritab.functions import dialect as d
 from veritab.functions import transforms
 from veritab.functions.dialect import Value
 from veritab.operators import profile, report
+from veritab.operators.incremental import Incremental
 from veritab.operators.reconcile import Reconciliation, reconcile
 from veritab.plans.config import resolve
 from veritab.sources import store, tables, tagged
@@ -261,6 +262,22 @@ _add(
     lambda spark, sf_dir: profile.statistics(dest(spark, sf_dir)).select("column_name", F.col("ordinal").cast("long").alias("ordinal"), "null_count", "distinct_count", F.col("min_length").cast("long").alias("min_length"), F.col("max_length").cast("long").alias("max_length")),
     _base(" UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({k} AS BIGINT) AS ordinal, count(*) - count(\"{c}\") AS null_count, count(DISTINCT \"{c}\") AS distinct_count, CAST(min(length(\"{c}\")) AS BIGINT) AS min_length, CAST(max(length(\"{c}\")) AS BIGINT) AS max_length FROM dest" for k, c in enumerate(("OKEY", "CUSTOMER", "STATUS", "PRICE", "TWICE", "DAY", "PRIORITY")))),
 )
+_KINDS = " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, CAST({k} AS BIGINT) AS ordinal, count(t) AS filled,
+  CASE WHEN count(t) = 0 THEN 'EMPTY' WHEN bool_and(coalesce(regexp_full_match(t, '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') AND try_strptime(t, '%Y-%m-%d') IS NOT NULL, false)) FILTER (WHERE t IS NOT NULL) THEN 'DATE'
+    WHEN bool_and(regexp_full_match(t, '[+-]?\\d+')) THEN 'INTEGER' WHEN bool_and(regexp_full_match(t, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?')) THEN 'DECIMAL' ELSE 'STRING' END AS kind FROM (SELECT nullif(trim("{c}"), '') AS t FROM both_)"""
+    for k, c in enumerate(("OKEY", "CUSTOMER", "STATUS", "PRICE", "TWICE", "DAY", "PRIORITY"))
+)
+
+
+def column_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of the destination's columns after the source's rows, as further files of one dataset, were merged into them."""
+    names = ("OKEY", "CUSTOMER", "STATUS", "PRICE", "TWICE", "DAY", "PRIORITY")
+    parts = [profile.kinds(dest(spark, sf_dir)), profile.kinds(source(spark, sf_dir).toDF(*names))]
+    return profile.inferred(profile.merge_kinds(*parts)).select("column_name", "ordinal", "filled", "kind")
+
+
+_add("column_kinds", column_kinds, _base("SELECT * FROM dest, source WHERE false").removesuffix("SELECT * FROM dest, source WHERE false").rstrip() + ", both_ AS (SELECT * FROM dest UNION ALL SELECT * FROM source)\n" + _KINDS)
 _add(
     "code_list_table",
     lambda spark, sf_dir: tables.code_table(source(spark, sf_dir), "status", inactive=("P",)),
@@ -383,6 +400,15 @@ def stored_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.by_field(kept.rows(saved).where("field_key is not null"))
 
 
+def incremental_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup of a run that took over what an earlier one, before some prices changed, had judged."""
+    kept, config = Incremental(spark, _folder(spark), 64), resolve(TEMPLATE, MAPPING, CODES, AS_OF)
+    now = dest(spark, sf_dir)
+    before = now.withColumn("PRICE", F.when(F.trim("OKEY").isin("1", "2", "3", "7", "32"), "0").otherwise(F.col("PRICE")))
+    kept.run(config, source(spark, sf_dir), before)
+    return kept.run(config, source(spark, sf_dir), now).record_rollup
+
+
 def tagged_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customers of one file that many tasks have written and many read by byte ranges."""
     path, head = f"{_folder(spark)}.tag", spark.createDataFrame([("CUST", "7")], "`header.kind` string, `header.revision` string")
@@ -404,6 +430,7 @@ _add("tagged_file", tagged_file, """SELECT row_number() OVER (ORDER BY c_custkey
 _add("csv_run", csv_run, _base(_SUMMARY_SQL))
 _add("csv_scan", csv_scan, "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'a \"b\", ' || o_orderpriority || chr(10) || 'c' ELSE o_orderpriority END AS text FROM orders")
 _add("parquet_sink", parquet_sink, _base("SELECT * FROM rollup_"))
+_add("incremental_run", incremental_run, _base("SELECT * FROM rollup_"))
 _add("stored_page", stored_page, _base("SELECT * FROM fr WHERE category = 'MISMATCH' ORDER BY record_key, field_key, rule_id OFFSET 100 LIMIT 50"))
 _add("stored_summary", stored_summary, _base(f"SELECT field_key, count(*) AS issues FROM fr WHERE {_ISSUES} GROUP BY 1"))
 _add("stored_run", stored_run, _base("SELECT record_key, field_key, rule_id, verdict FROM fr WHERE category = 'EXCEPTION'"))

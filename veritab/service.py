@@ -70,7 +70,9 @@ class Service:
             raise ServiceError(400, "role must be SOURCE or DESTINATION")
         frame = tables.read_csv(self.spark, path)
         key = _id()
-        self.datasets[key] = {"id": key, "role": role, "name": name, "path": path, "status": "READY", "columns": profile.samples(frame)}
+        found = {r["column_name"]: r["kind"] for r in profile.inferred(profile.kinds(frame)).collect()} if frame.columns else {}
+        columns = [c | {"kind": found[c["column_name"]]} for c in profile.samples(frame)]
+        self.datasets[key] = {"id": key, "role": role, "name": name, "path": path, "status": "READY", "columns": columns}
         return self.datasets[key]
 
     def dataset_schema(self, dataset_id: str) -> list[dict]:

@@ -174,7 +174,7 @@ class MemoryStore(Store):
         return {key: body for (k, key), body in self._artifacts.items() if k == kind}
 
 
-class _Files:
+class Versions:
     """Small texts in a shared folder, by whatever file system Spark knows for it.
 
     A key's text is the newest of its versions.  A version is written under a name that readers skip and then renamed, which is one step."""
@@ -231,7 +231,7 @@ class ParquetStore(Store):
 
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark, self.base = spark, base.rstrip("/")
-        self._files = _Files(spark, self.base)
+        self._files = Versions(spark, self.base)
 
     def _put_run(self, run: Run) -> None:
         self._files.put(f"runs/{run.run_id}", json.dumps(run.as_dict(), ensure_ascii=False))
@@ -434,7 +434,7 @@ class JdbcStore(Store):
         finally:
             with self._transaction() as run:
                 run(f"DROP TABLE {stage}")
-            _Files(self.spark, self.work).delete(f"veritab-stage-{version}")
+            Versions(self.spark, self.work).delete(f"veritab-stage-{version}")
 
     def rows(self, run_id: str) -> DataFrame:
         """Read in parallel by bucket."""
