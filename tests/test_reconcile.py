@@ -124,3 +124,20 @@ def test_write(run, spark, tmp_path):
     run.write(str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "field_results.parquet")).count() == golden.RESULTS
     assert report.write_csv({"run_id": "x"}, run.field_results, str(tmp_path / "report"))
+
+
+def test_saved_sides_are_joined_without_a_shuffle(spark, run, tmp_path):
+    run.save_sides("tickets", str(tmp_path), 4)
+    again = reconcile(config(), run.source, run.dest).from_sides("tickets")
+    try:
+        for name in ("field_results", "record_rollup", "run_summary"):
+            assert sorted(map(repr, getattr(again, name).collect())) == sorted(map(repr, getattr(run, name).collect()))
+        assert sorted(map(tuple, again.duplicate_keys().collect())) == sorted(map(tuple, run.duplicate_keys().collect()))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for table, kind in ((again.field_results, "Inner"), (again.record_rollup, "FullOuter")):
+            plan = table._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and kind in plan and "SelectedBucketsCount: 4 out of 4" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("source", "dest"):
+            spark.sql(f"DROP TABLE tickets_{name}")

@@ -1,4 +1,5 @@
 import json
+import time
 
 import golden
 import pytest
@@ -48,8 +49,9 @@ def test_background_and_failed_runs(spark, paths):
     template, mapping = service.create_template(golden.TEMPLATE)["id"], service.create_mapping(golden.MAPPING)["id"]
     run = service.start_run(template, mapping, source, dest, codes, golden.AS_OF, background=True)
     assert run["status"] == "QUEUED"
-    service.last_job.result(120)
-    assert service.run(run["run_id"])["status"] == "COMPLETED"
+    assert service.wait(run["run_id"], 120)["status"] == "COMPLETED"
+    progress = service.progress(run["run_id"])
+    assert progress["status"] == "COMPLETED" and 0 < progress["tasks_done"] <= progress["tasks"]
     with pytest.raises(ServiceError, match="run failed") as failed:
         service.start_run(template, mapping, source, dest)  # no code list
     assert failed.value.status == 422 and service.runs()[0]["status"] == "FAILED"
@@ -194,3 +196,36 @@ def test_command_line(spark, paths, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["summary"] == golden.SUMMARY
     assert "Physical Plan" in (tmp_path / "plan").read_text()
     assert main(args) == 0 and "MISSING_IN_DEST" in capsys.readouterr().out
+
+
+def test_cancelled_runs(spark, paths, tmp_path, monkeypatch):
+    """A run that is cancelled fails and says so while another goes on; one that still waits never starts."""
+    from veritab.sources import tables
+
+    slow, plain = str(tmp_path / "slow.csv"), tables.read_csv
+    with open(paths[0]) as f, open(slow, "w") as out:
+        out.write(f.read())
+
+    def sleepy(session, path, *more):
+        table = plain(session, path, *more)
+        return table.mapInArrow(lambda batches: (b for b in batches if not time.sleep(20)), table.schema) if path == slow else table
+
+    service, source, dest, codes = ready(spark, paths, workers=2)
+    slow_source = service.create_dataset("SOURCE", "slow", slow)["id"]
+    monkeypatch.setattr(tables, "read_csv", sleepy)
+    template, mapping = service.create_template(golden.TEMPLATE)["id"], service.create_mapping(golden.MAPPING)["id"]
+    start = lambda s: service.start_run(template, mapping, s, dest, codes, golden.AS_OF, background=True)["run_id"]
+    one, other = start(slow_source), start(slow_source)
+    waiting, good = start(slow_source), start(source)
+    assert service.cancel(waiting)["status"] == "FAILED"
+    deadline = time.time() + 60
+    while service.progress(one)["tasks"] == 0 and time.time() < deadline:
+        time.sleep(0.2)
+    service.cancel(one)
+    assert (service.wait(one, 60)["status"], service.run(one)["error_message"]) == ("FAILED", "cancelled")
+    assert service.wait(good, 120)["summary"] == golden.SUMMARY and service.run(other)["status"] == "RUNNING"
+    service.cancel(other)
+    assert service.wait(other, 60)["error_message"] == service.run(waiting)["error_message"] == "cancelled"
+    with pytest.raises(ServiceError, match="not in progress") as refused:
+        service.cancel(good)
+    assert refused.value.status == 409

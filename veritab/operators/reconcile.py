@@ -40,9 +40,17 @@ CATEGORIES = {
     "exception_count": "EXCEPTION",
 }
 SUMMARY = ["total_records", *CATEGORIES]
+#: Buckets of saved sides.
+BUCKETS = 256
+_CACHED = ("judged", "key_counts", "field_results", "record_rollup", "run_summary")
 PAIRED = "n_s = 1 and n_d = 1"
 
 
+def _fields(frame: DataFrame) -> Column:
+    """The columns of a canonical side but its key, as one."""
+    return F.struct(*[c for c in frame.columns if c != "record_key"]) if len(frame.columns) > 1 else F.struct(F.lit(1).alias("f_"))
+
+
 def canonical(df: DataFrame, config: RunConfig, side: str) -> tuple[DataFrame, dict[str, str]]:
     """(record_key and f_<field> columns of one side, kind of each field).
 
@@ -75,11 +83,29 @@ class Reconciliation:
         """The same run over some of the canonical rows of each side."""
         run = copy(self)
         run.source_keyed, run.dest_keyed = source_keyed, dest_keyed
-        for name in ("judged", "key_counts", "field_results", "record_rollup", "run_summary"):
+        for name in _CACHED:
             run.__dict__.pop(name, None)
         run.key_frame = run._key_frame()
         return run
 
+    def save_sides(self, prefix: str, folder: str, buckets: int = BUCKETS) -> None:
+        """Keeps both sides as tables prefix_source and prefix_dest under a folder, one row for each key, bucketed by it.
+
+        Rows of one key are collapsed before they are dealt out, so a key with very many rows makes no large bucket."""
+        for name, frame in (("source", self.source_keyed), ("dest", self.dest_keyed)):
+            once = frame.groupBy("record_key").agg(F.count("*").alias("n"), F.any_value(_fields(frame)).alias("v"))
+            once.repartition(buckets, "record_key").write.mode("overwrite").option("path", f"{folder}/{name}").bucketBy(buckets, "record_key").sortBy("record_key").format("parquet").saveAsTable(f"{prefix}_{name}")
+
+    def from_sides(self, prefix: str) -> Reconciliation:
+        """The same run over saved sides: a full outer join of buckets where they lie, without a shuffle."""
+        tables = (self.source.sparkSession.table(f"{prefix}_{name}") for name in ("source", "dest"))
+        s, d = (t.select("record_key", F.col("n").alias(f"n_{x}"), F.col("v").alias(x)) for x, t in zip("sd", tables, strict=True))
+        run = copy(self)
+        for name in _CACHED:
+            run.__dict__.pop(name, None)
+        run.key_frame = s.join(d, "record_key", "full_outer").select("record_key", *(F.coalesce(f"n_{x}", F.lit(0)).alias(f"n_{x}") for x in "sd"), "s", "d")
+        return run
+
     @cached_property
     def judged(self) -> DataFrame:
         """record_key, n_s, n_d, results (null unless matched) and category."""
@@ -88,8 +114,7 @@ class Reconciliation:
 
     def _key_frame(self) -> DataFrame:
         def side(frame: DataFrame, mine: str, other: str) -> DataFrame:
-            fields = F.struct(*[c for c in frame.columns if c != "record_key"]) if len(frame.columns) > 1 else F.struct(F.lit(1).alias("f_"))
-            return frame.select("record_key", F.lit(1).alias(f"is_{mine}"), fields.alias(mine), F.lit(0).alias(f"is_{other}"))
+            return frame.select("record_key", F.lit(1).alias(f"is_{mine}"), _fields(frame).alias(mine), F.lit(0).alias(f"is_{other}"))
 
         both = side(self.source_keyed, "s", "d").unionByName(side(self.dest_keyed, "d", "s"), allowMissingColumns=True)
         return both.groupBy("record_key").agg(F.sum("is_s").alias("n_s"), F.sum("is_d").alias("n_d"), F.any_value("s", True).alias("s"), F.any_value("d", True).alias("d"))

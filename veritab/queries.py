@@ -400,6 +400,13 @@ def stored_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.by_field(kept.rows(saved).where("field_key is not null"))
 
 
+def bucketed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup over sides that were saved in buckets, which are joined where they lie."""
+    planned, prefix = run(spark, sf_dir), f"sides_{uuid.uuid4().hex}"
+    planned.save_sides(prefix, _folder(spark), 16)
+    return planned.from_sides(prefix).record_rollup
+
+
 def incremental_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rollup of a run that took over what an earlier one, before some prices changed, had judged."""
     kept, config = Incremental(spark, _folder(spark), 64), resolve(TEMPLATE, MAPPING, CODES, AS_OF)
@@ -430,6 +437,7 @@ _add("tagged_file", tagged_file, """SELECT row_number() OVER (ORDER BY c_custkey
 _add("csv_run", csv_run, _base(_SUMMARY_SQL))
 _add("csv_scan", csv_scan, "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'a \"b\", ' || o_orderpriority || chr(10) || 'c' ELSE o_orderpriority END AS text FROM orders")
 _add("parquet_sink", parquet_sink, _base("SELECT * FROM rollup_"))
+_add("bucketed_run", bucketed_run, _base("SELECT * FROM rollup_"))
 _add("incremental_run", incremental_run, _base("SELECT * FROM rollup_"))
 _add("stored_page", stored_page, _base("SELECT * FROM fr WHERE category = 'MISMATCH' ORDER BY record_key, field_key, rule_id OFFSET 100 LIMIT 50"))
 _add("stored_summary", stored_summary, _base(f"SELECT field_key, count(*) AS issues FROM fr WHERE {_ISSUES} GROUP BY 1"))

@@ -5,9 +5,8 @@ Each public method is one request of the service API; errors carry an HTTP-like
 
 from __future__ import annotations
 
-import threading
 import uuid
-from concurrent.futures import Future, ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
@@ -19,6 +18,9 @@ from veritab.sources import spec, tables
 from veritab.sources.store import MemoryStore, Run, Store
 
 
+CANCELLED = "cancelled"
+
+
 class ServiceError(Exception):
     def __init__(self, status: int, message: str) -> None:
         super().__init__(message)
@@ -30,7 +32,8 @@ def _id() -> str:
 
 
 class Service:
-    def __init__(self, spark: SparkSession, store: Store | None = None, extractors: dict | None = None, ocr: spec.Ocr | None = None) -> None:
+    def __init__(self, spark: SparkSession, store: Store | None = None, extractors: dict | None = None, ocr: spec.Ocr | None = None, workers: int = 4) -> None:
+        """workers: background runs at one time; in a scheduler pool named runs, which shares fairly where the cluster's scheduler does."""
         self.spark, self.store, self.ocr = spark, store or MemoryStore(), ocr
         self.extractors = extractors or {"default": spec.SectionExtractor(), "section": spec.SectionExtractor()}
         self.datasets: dict[str, dict] = {}
@@ -38,7 +41,7 @@ class Service:
         self.extraction_runs: dict[str, dict] = {}
         self.suggestions: dict[str, suggest.Graph] = {}
         self.kept = {kind: self.store.artifacts(kind) for kind in ("template", "mapping", "code_list")}
-        self._workers, self._lock = ThreadPoolExecutor(max_workers=2), threading.Lock()
+        self._workers, self._jobs, self._cancelled = ThreadPoolExecutor(max_workers=workers), {}, set()
 
     def _keep(self, kind: str, body: dict, key: str | None = None) -> str:
         key = key or _id()
@@ -164,22 +167,28 @@ class Service:
         self.store.create_run(run)
 
         def work() -> None:
-            self.spark.sparkContext.setJobGroup(run.run_id, f"run {run.run_id}")
-            self.store.mark_running(run.run_id)
+            context = self.spark.sparkContext
+            context.setJobGroup(run.run_id, f"run {run.run_id}", interruptOnCancel=True)
+            context.setLocalProperty("spark.scheduler.pool", "runs" if background else None)
+            planned = None
             try:
+                self._go_on(run.run_id)
+                self.store.mark_running(run.run_id)
                 config = resolve(template, mapping, codes, as_of_date, engine_version)
-                with self._lock:  # planning sets a session option
-                    planned = reconcile(config, *(tables.read_csv(self.spark, d["path"]) for d in (source, dest))).persist()
-                try:
-                    self.store.save_results(run.run_id, planned.field_results, planned.record_rollup)
-                finally:
-                    planned.unpersist()
+                own = SparkSession(context, self.spark._jsparkSession.cloneSession())  # planning sets an option of its session
+                planned = reconcile(config, *(tables.read_csv(own, d["path"]) for d in (source, dest))).persist()
+                self._go_on(run.run_id)
+                self.store.save_results(run.run_id, planned.field_results, planned.record_rollup)
                 self.store.mark_completed(run.run_id)
             except Exception as e:  # noqa: BLE001  whatever it is, the run has failed and says why
-                self.store.mark_failed(run.run_id, str(e))
+                self.store.mark_failed(run.run_id, CANCELLED if run.run_id in self._cancelled else str(e))
+            finally:
+                if planned is not None:
+                    planned.unpersist()
+                context.setLocalProperty("spark.jobGroup.id", None)
 
         if background:
-            self.last_job: Future = self._workers.submit(inheritable_thread_target(self.spark)(work))
+            self._jobs[run.run_id] = self._workers.submit(inheritable_thread_target(self.spark)(work))
             return run.as_dict()
         work()
         done = self.store.get_run(run.run_id)
@@ -187,6 +196,36 @@ class Service:
             raise ServiceError(422, f"run failed: {done.error_message}")
         return done.as_dict()
 
+    def _go_on(self, run_id: str) -> None:
+        if run_id in self._cancelled:
+            raise RuntimeError(CANCELLED)
+
+    def wait(self, run_id: str, seconds: float | None = None) -> dict:
+        """A background run once it has ended."""
+        if run_id in self._jobs:
+            self._jobs[run_id].result(seconds)
+        return self.run(run_id)
+
+    def cancel(self, run_id: str) -> dict:
+        """Ends a background run, whose record says so; what other runs do goes on.  409 if it has ended already."""
+        if self.run(run_id)["status"] not in ("QUEUED", "RUNNING") or run_id not in self._jobs:
+            raise ServiceError(409, "run is not in progress")
+        self._cancelled.add(run_id)
+        if self._jobs[run_id].cancel():  # it was still waiting
+            self.store.mark_failed(run_id, CANCELLED)
+        else:
+            self.spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(run_id)  # jobs that it has yet to start, too
+        return self.run(run_id)
+
+    def progress(self, run_id: str) -> dict:
+        """status, and how many tasks of the run's jobs so far are done, of how many."""
+        tracker, done, tasks = self.spark.sparkContext.statusTracker(), 0, 0
+        for job in tracker.getJobIdsForGroup(run_id):
+            for stage in (found.stageIds if (found := tracker.getJobInfo(job)) else ()):
+                if info := tracker.getStageInfo(stage):
+                    done, tasks = done + info.numCompletedTasks, tasks + info.numTasks
+        return {"status": self.run(run_id)["status"], "tasks_done": done, "tasks": tasks}
+
     def runs(self) -> list[dict]:
         return [r.as_dict() for r in self.store.list_runs()]
 
