@@ -16,11 +16,12 @@ def vectors(spark, rows):
 def brute(rows):
     ok = {}
     for k, v in rows:
-        if k is not None and v and all(x is not None and math.isfinite(x) for x in v):
+        if k is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             ok.setdefault(k, [math.floor(256 * float(np.float32(x))) for x in v])
+    narrow = lambda s: max(1 - (1 << 63), min((1 << 63) - 1, s))
     out = []
     for q in sorted(k for k in ok if k % 50 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(ok[q], ok[k], strict=False)), k) for k in ok if k != q)[:5]
+        scores = sorted((-narrow(sum(a * b for a, b in zip(ok[q], ok[k], strict=False))), k) for k in ok if k != q)[:5]
         out += [(q, r, k, -s) for r, (s, k) in enumerate(scores, 1)]
     return out
 
@@ -44,8 +45,19 @@ def test_vectors_of_any_length_and_size(spark):
     rows += [(k, (1e6 * rng.normal(size=3)).tolist()) for k in range(200, 230)] + [(k, [2.0**22, 3.0]) for k in range(250, 252)]
     found = topk_join.op2_topk_search(vectors(spark, rows))
     assert sorted(tuple(r) for r in found.collect()) == brute(rows)
-    with pytest.raises(Exception, match="64 bits"):
-        topk_join.op2_topk_search(vectors(spark, [(0, [1e30, 1.0]), (1, [1e30, 2.0])])).collect()
+
+
+def test_huge_and_empty_vectors_take_part(spark):
+    """Scores beyond 64 bits stay at the bound; the others of the table are not touched by it."""
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=3).tolist()) for k in range(160)]
+    rows += [(k, v) for k, v in zip(range(200, 212), ([1e30, 1.0], [1e30, 2.0], [-1e30, 1.0], [3e38, 0.0, 1.0], [-3e38], [1e17, 1e17], [], [], [0.0], [1e30, -1e30], [2.0**40, 2.0**20], [1e-30]), strict=True)] + [(250, [])]
+    assert sorted(tuple(r) for r in topk_join.op2_topk_search(vectors(spark, rows)).collect()) == brute(rows)
+    none = [(0, []), (50, []), (51, [])]
+    assert sorted(tuple(r) for r in topk_join.op2_topk_search(vectors(spark, none)).collect()) == brute(none)
+    doubles = spark.createDataFrame([(0, [1e308, 1.0]), (1, [1e308]), (2, [-1e308]), (3, [0.0, 5.0])], "vec_id long, embedding array<double>")
+    found = [(r.vec_id, r.score) for r in topk_join.op2_topk_search(doubles).orderBy("rank").collect()]
+    assert found == [(1, (1 << 63) - 1), (3, 256 * 1280), (2, 1 - (1 << 63))]
 
 
 def test_few_vectors(spark):

@@ -26,16 +26,21 @@ EACH, PIVOTS = 512, (16, 4096)
 BLOCK, QUERIES = 2048, 256
 #: Sums of products below this are exact in doubles.
 EXACT = float(1 << 53)
+#: The bound of scores, of either sign.
+MOST = (1 << 63) - 1
+LARGEST = float(np.finfo(np.float64).max)
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, v) with v = floor(scale * x) per component as doubles; without vectors that are null, empty or hold null, NaN or infinity
-    (or become infinite)."""
-    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * scale)
-    fit = F.forall(whole, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where((F.size("embedding") > 0) & fit)
+    """(vec_id, v) with v = floor(scale * x) per component as doubles; without vectors that are null or hold null, NaN or infinity.
+
+    What exceeds the largest double stays at it; an empty vector has the score 0 with every other."""
+    x = F.col("embedding").cast("array<double>")
+    fit = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fit)
+    whole = F.transform(x, lambda c: F.greatest(F.least(c * scale, F.lit(LARGEST)), F.lit(-LARGEST)))
     # a double of 2**52 or more is whole, and may be too large for the long that floor gives
-    return rows.select("vec_id", F.transform(whole, lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)).alias("v"))
+    return rows.select("vec_id", F.transform(whole, lambda c: F.when(F.abs(c) < float(1 << 52), F.floor(c).cast("double")).otherwise(c)).alias("v"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -62,17 +67,14 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
 
 
 def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """All inner products as exact 64-bit integers."""
-    most = v.shape[1] * np.abs(v).max() * np.abs(q).max()
+    """All inner products as exact integers; one beyond 64 bits stays at the bound of its sign."""
+    most = v.shape[1] * np.abs(v).max(initial=0.0) * np.abs(q).max(initial=0.0)
     if most < EXACT:
         return (q @ v.T).astype(np.int64)
     if most < float(1 << 62):
         return q.astype(np.int64) @ v.T.astype(np.int64)
     left, right = ([[int(x) for x in row] for row in m] for m in (q, v))
-    exact = [[sum(a * b for a, b in zip(x, y, strict=True)) for y in right] for x in left]
-    if any(not -(1 << 63) <= s < 1 << 63 for row in exact for s in row):
-        raise OverflowError("a score does not fit in 64 bits")
-    return np.array(exact, np.int64)
+    return np.array([[max(-MOST, min(MOST, sum(a * b for a, b in zip(x, y, strict=True)))) for y in right] for x in left], np.int64).reshape(len(q), len(v))
 
 
 def _blocks(data: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
@@ -141,7 +143,7 @@ def _routed(queries: DataFrame, pivots: np.ndarray, summaries: dict, k: int) ->
                 low = middle[:, owner] - length * nearest[None, :] - slack[:, owner]
                 # the query itself may be among the k + 1 best, so the (k + 1)-th counts
                 floor = -np.partition(-low, k, axis=1)[:, k] if low.shape[1] > k else np.full(len(q), -np.inf)
-                floor = np.where(np.isfinite(floor), floor, -np.inf)
+                floor = np.minimum(np.where(np.isfinite(floor), floor, -np.inf), float(MOST))
                 need = ~(middle + length * radius[None, :] + slack < floor[:, None])  # what overflows is needed
                 for j in np.flatnonzero(need.any(axis=0)).tolist():
                     at = np.flatnonzero(need[:, j])
@@ -193,13 +195,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     vectors and queries: vec_id long, v array<double> of whole numbers (see quantised).
     A row is no candidate for a query of its own vec_id; repeated rows are candidates
     once.  Vectors may differ in length: what a shorter one lacks counts as zero.  Empty tables give no rows.
-    A score beyond 64 bits is refused."""
+    A score beyond 64 bits stays at the bound of its sign."""
     spark = vectors.sparkSession
     n, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     first = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(min(PIVOTS[1], max(PIVOTS[0], n // EACH))).collect()
-    pivots = np.unique(np.array([r["v"] + [0.0] * (width - len(r["v"])) for r in first]), axis=0)
+    pivots = np.unique(np.array([r["v"] + [0.0] * (width - len(r["v"])) for r in first]), axis=0) if width else np.zeros((1, 0))
     blocks = materialize(_blocks(vectors, pivots, BLOCK), "blocks")
     summaries = _summaries(blocks, k)
     routed = _routed(queries.repartition(parallelism(spark), "vec_id").distinct(), pivots, summaries, k)
@@ -217,7 +219,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 def op2_topk_search(vectors: DataFrame) -> DataFrame:
     """The digest: queries are the rows whose vec_id is divisible by 50.
 
-    Null ids, vectors that are null, empty or not finite take no part; repeated rows count once; an empty table gives no rows."""
+    Null ids and vectors that are null or not finite take no part, empty and huge ones do; a score beyond 64 bits stays at the bound of its sign; repeated rows count once; an empty table gives no rows."""
     data = quantised(clashing(vectors, ["vec_id", "embedding"]))
     return top_k(data, data.where("vec_id % 50 = 0"), 5)
 
