@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from veritab.functions.dialect import parse_date, qcol
 
-#: Formats that a column of dates may have, in the order in which one is chosen.
-DATE_FORMATS = ("%Y-%m-%d", "%Y%m%d", "%d/%m/%Y", "%d.%m.%Y")
+#: Formats that a column of dates may have, in the order in which one is chosen, and what a text must look like to be tried.
+DATE_FORMATS = {"%Y-%m-%d": r"^\d{4}-\d\d?-\d\d?$", "%Y%m%d": r"^\d{8}$", "%d/%m/%Y": r"^\d\d?/\d\d?/\d{4}$", "%d.%m.%Y": r"^\d\d?\.\d\d?\.\d{4}$"}
 #: Bits of a column's kinds: what all of its values are.
 _WHOLE, _NUMBER, _DATES = 1, 2, 4
 
@@ -39,17 +39,20 @@ def kinds(df: DataFrame) -> DataFrame:
 
     filled: values that are not blank.  flags: bits of what every one of them is, a whole number, a number, a date of each format; -1 without values.  sketch:
     a mergeable sketch of the distinct values.  Tables of parts of a dataset are merged by merge_kinds, so a new file needs no second look at the old ones."""
-    parts = []
+    texts, flags = [], []
     for k, c in enumerate(df.columns):
         text = F.trim(qcol(c).cast("string"))
-        text = F.when(text != "", text)
-        flags = F.when(text.rlike(r"^[+-]?\d+$"), _WHOLE + _NUMBER).when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), _NUMBER).otherwise(0)
-        for j, fmt in enumerate(DATE_FORMATS):
-            # a number is no date unless it has the year in front and eight digits
-            flags = flags + F.when(text.rlike(r"^\d{8}$" if "%Y%m" in fmt else r"^\d{1,4}\D\d{1,2}\D\d{1,4}$") & parse_date(text, fmt).isNotNull(), _DATES << j).otherwise(0)
-        parts.append((k, c, F.count(text), F.coalesce(F.bit_and(F.when(text.isNotNull(), flags)), F.lit(-1)), F.hll_sketch_agg(F.coalesce(text, F.lit("")))))
-    row = df.agg(*[x.alias(f"{name}{k}") for k, _, *xs in parts for name, x in zip("nfs", xs, strict=True)])
-    columns = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(k).cast("long").alias("ordinal"), F.col(f"n{k}").alias("filled"), F.col(f"f{k}").cast("long").alias("flags"), F.col(f"s{k}").alias("sketch")) for k, c, *_ in parts])
+        texts.append(F.when(text != "", text).alias(f"t{k}"))
+        t = F.col(f"t{k}")
+        bits = F.when(t.rlike(r"^[+-]?\d+$"), _WHOLE + _NUMBER).when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), _NUMBER).otherwise(0)
+        for j, (fmt, form) in enumerate(DATE_FORMATS.items()):
+            bits = bits + F.when(F.when(t.rlike(form), parse_date(t, fmt)).isNotNull(), _DATES << j).otherwise(0)
+        flags.append(F.when(t.rlike(r"^[-+.\d]"), bits).when(t.isNotNull(), 0).alias(f"f{k}"))
+    rows = df.select(*texts).select("*", *flags)
+    n = range(len(df.columns))
+    counts = [F.count(f"t{k}").alias(f"n{k}") for k in n] + [F.coalesce(F.bit_and(f"f{k}"), F.lit(-1)).alias(f"f{k}") for k in n]
+    row = rows.agg(*counts, *[F.hll_sketch_agg(F.coalesce(f"t{k}", F.lit(""))).alias(f"s{k}") for k in n])
+    columns = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(k).cast("long").alias("ordinal"), F.col(f"n{k}").alias("filled"), F.col(f"f{k}").cast("long").alias("flags"), F.col(f"s{k}").alias("sketch")) for k, c in enumerate(df.columns)])
     return row.select(F.inline(columns))
 
 
