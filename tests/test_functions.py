@@ -82,7 +82,11 @@ def test_expressions(spark):
     assert value("f_a * f_b") == "42.00000000" and value("f_a + 2 * (f_b - 1)") == "18.0000"
     assert value("-f_a + 1") == "-5.0000" and value("f_a / 4") == "1.5" and value("f_a / 0") == "inf"
     assert value("f_c * 2") is None and value("greatest(f_a, f_b)") == "7.0000"
-    for bad in ("f_z", "exec(1)", "f_a +", "f_a; drop", "f_last_update", "f_a ) ", "'x'"):
+    assert value("trunc(-f_a / 4)") == "-1.0" and float(value("mod(-f_b, 4)")) == -3 and value("mod(f_a, 0)") is None and float(value("sign(-f_a)")) == -1
+    for text, want in (("log(f_a)", 0.7781512503836436), ("log(2, f_a + 2)", 3), ("ln(exp(f_b))", 7), ("log2(8)", 3), ("pow(f_a, 2)", 36), ("cbrt(27)", 3), ("pi()", 3.141592653589793), ("sin(radians(90))", 1), ("degrees(atan2(1, 1))", 45), ("nullif(f_a, f_b)", 6), ("ifnull(f_c, f_b)", 7), ("ceiling(f_a / 4)", 2)):
+        assert abs(float(value(text)) - want) < 1e-9, text
+    assert all(value(t) is None for t in ("ln(0)", "log(f_a - f_b)", "sqrt(-1)", "acos(2)", "nullif(f_a, 6)", "log2(f_c)"))
+    for bad in ("mod(f_a)", "pi(1)", "sign()", "ln(f_a, f_b)", "f_z", "exec(1)", "f_a +", "f_a; drop", "f_last_update", "f_a ) ", "'x'"):
         with pytest.raises(ValueError):
             value(bad)
 

@@ -10,7 +10,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from decimal import Decimal
+from functools import reduce
+from operator import and_
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import dialect as d
@@ -62,6 +65,36 @@ def _rounded(a: Value, digits: Value | None) -> Value:
     return Value(d.round_away(a.col, n), "double") if a.kind == "double" else Value(F.round(a.col, n), "decimal")
 
 
+def _real(f, defined: Callable[..., Column] | None = None) -> Callable:
+    """A function of doubles; where the operands are not in its domain the value is null."""
+
+    def make(*args: Value) -> Value:
+        x = [a.double() for a in args]
+        return Value(F.when(defined(*x), f(*x)) if defined else f(*x), "double")
+
+    return make
+
+
+def _positive(*x: Column) -> Column:
+    return reduce(and_, (c > 0 for c in x))
+
+
+def _remainder(a: Value, b: Value) -> Value:
+    """What is left of a, with its sign; null for b = 0."""
+    return _same(lambda x, y: F.when(y != 0, x % y))(a, b)
+
+
+def _truncated(a: Value) -> Value:
+    return _same(lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)))(a)
+
+
+def _log(a: Value, b: Value | None = None) -> Value:
+    """log(x) to base 10, log(base, x)."""
+    if b is None:
+        return _real(F.log10, _positive)(a)
+    return _real(lambda base, x: d.ieee_divide(F.ln(x), F.ln(base)), _positive)(a, b)
+
+
 FUNCTIONS: dict[str, Callable[..., Value]] = {
     "abs": _same(F.abs),
     "floor": _same(F.floor),
@@ -69,8 +102,32 @@ FUNCTIONS: dict[str, Callable[..., Value]] = {
     "greatest": _same(F.greatest),
     "least": _same(F.least),
     "coalesce": _same(F.coalesce),
-    "sqrt": lambda a: Value(F.when(a.double() >= 0, F.sqrt(a.double())), "double"),
-    "power": lambda a, b: Value(F.pow(a.double(), b.double()), "double"),
+    "ceiling": _same(F.ceil),
+    "ifnull": _same(lambda a, b: F.coalesce(a, b)),
+    "nullif": _same(lambda a, b: F.when(a.eqNullSafe(b), None).otherwise(a)),
+    "sign": lambda a: Value(F.when(a.col > 0, 1).when(a.col < 0, -1).when(a.col == 0, 0).cast("decimal(18,0)"), "decimal"),
+    "mod": _remainder,
+    "fmod": _remainder,
+    "trunc": _truncated,
+    "sqrt": _real(F.sqrt, lambda x: x >= 0),
+    "cbrt": _real(F.cbrt),
+    "power": _real(F.pow),
+    "pow": _real(F.pow),
+    "exp": _real(F.exp),
+    "ln": _real(F.ln, _positive),
+    "log": _log,
+    "log10": _log,
+    "log2": _real(F.log2, _positive),
+    "pi": lambda: Value(F.pi(), "double"),
+    "degrees": _real(F.degrees),
+    "radians": _real(F.radians),
+    "sin": _real(F.sin),
+    "cos": _real(F.cos),
+    "tan": _real(F.tan),
+    "asin": _real(F.asin, lambda x: x.between(-1, 1)),
+    "acos": _real(F.acos, lambda x: x.between(-1, 1)),
+    "atan": _real(F.atan),
+    "atan2": _real(F.atan2),
     "round": lambda a, n=None: _rounded(a, n),
 }
 
@@ -119,12 +176,15 @@ def compile(text: str, fields: dict[str, Value]) -> Value:
             if name.lower() not in FUNCTIONS:
                 raise ValueError(f"unknown function {name!r} in {text!r}")
             take("(")
-            args = [total()]
-            while peek() == ",":
+            args = [] if peek() == ")" else [total()]
+            while args and peek() == ",":
                 take(",")
                 args.append(total())
             take(")")
-            return FUNCTIONS[name.lower()](*args)
+            try:
+                return FUNCTIONS[name.lower()](*args)
+            except TypeError:
+                raise ValueError(f"{name} does not take {len(args)} operands in {text!r}") from None
         if name and name.startswith("f_") and name[2:] in fields:
             return Value(d.to_decimal(fields[name[2:]], 18, 4), "decimal")
         raise ValueError(f"unknown name {name or sign!r} in {text!r}")

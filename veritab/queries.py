@@ -22,6 +22,7 @@ from veritab.operators.incremental import Incremental
 from veritab.operators.reconcile import Reconciliation, reconcile
 from veritab.plans.config import resolve
 from veritab.sources import store, tables, tagged
+from veritab.streaming.arrivals import judge_arrivals, settled
 
 AS_OF = "2026-06-04"
 TRIM = {"op": "trim"}
@@ -416,6 +417,16 @@ def incremental_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.run(config, source(spark, sf_dir), now).record_rollup
 
 
+def arrivals_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup of destination rows that arrived in several batches of a stream, some keys in more than one."""
+    folder, config = _folder(spark), resolve(TEMPLATE, MAPPING, CODES, AS_OF)
+    rows, left = dest(spark, sf_dir), source(spark, sf_dir)
+    rows.repartition(4).write.parquet(f"{folder}/arrived")  # round robin: copies of a key part
+    arrivals = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/arrived")
+    judge_arrivals(config, left, arrivals, f"{folder}/judged", f"{folder}/stream", once=True).awaitTermination()
+    return settled(spark, config, left, f"{folder}/judged").record_rollup
+
+
 def tagged_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customers of one file that many tasks have written and many read by byte ranges."""
     path, head = f"{_folder(spark)}.tag", spark.createDataFrame([("CUST", "7")], "`header.kind` string, `header.revision` string")
@@ -439,6 +450,7 @@ _add("csv_scan", csv_scan, "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 =
 _add("parquet_sink", parquet_sink, _base("SELECT * FROM rollup_"))
 _add("bucketed_run", bucketed_run, _base("SELECT * FROM rollup_"))
 _add("incremental_run", incremental_run, _base("SELECT * FROM rollup_"))
+_add("arrivals_settled", arrivals_settled, _base("SELECT * FROM rollup_"))
 _add("stored_page", stored_page, _base("SELECT * FROM fr WHERE category = 'MISMATCH' ORDER BY record_key, field_key, rule_id OFFSET 100 LIMIT 50"))
 _add("stored_summary", stored_summary, _base(f"SELECT field_key, count(*) AS issues FROM fr WHERE {_ISSUES} GROUP BY 1"))
 _add("stored_run", stored_run, _base("SELECT record_key, field_key, rule_id, verdict FROM fr WHERE category = 'EXCEPTION'"))
