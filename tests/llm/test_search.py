@@ -74,6 +74,28 @@ def test_groups_that_cannot_reach_are_left_out(spark):
     assert [r.part for r in topk_join._routed(queries, pivots, summaries, 5).collect()] == [0]
 
 
+def test_queries_do_not_travel_once_for_each_group_and_block(spark, monkeypatch):
+    """Many small blocks of many groups: a query goes to a place once, and no task sends the driver a list of pivots of its own."""
+    monkeypatch.setattr(topk_join, "EACH", 8)
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=4).tolist()) for k in range(3000)]
+    met, many = [], topk_join._solved
+    monkeypatch.setattr(topk_join, "_solved", lambda pairs, *rest: met.append(pairs.count()) or many(pairs, *rest))
+    data = vectors(spark, rows).repartition(20)
+    assert sorted(tuple(r) for r in topk_join.op2_topk_search(data).collect()) == brute(rows)
+    assert met[0] <= 100  # blocks of queries times blocks of data: thousands, where each group has its own
+    shares = topk_join._pivots(topk_join.quantised(data), 3000, 4)
+    assert 250 < len(shares) < 500
+
+
+@pytest.mark.parametrize("places", [1, 5])
+def test_groups_lie_in_one_or_several_places(places, monkeypatch):
+    monkeypatch.setattr(topk_join, "BLOCK", 10)
+    found = topk_join._places({0: (3, 1.0, None), 2: (100, 1.0, None), 7: (4, 1.0, None)}, places)
+    assert [x for p in found.values() for x in p] and max(x for p in found.values() for x in p) < places and all(len(p) for p in found.values())
+    assert len(found[2]) == places
+
+
 URLS = [
     (None, "", "", None, "allow"),
     ("no scheme", "", "", None, "allow"),
