@@ -3,10 +3,11 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import frame, prose
 
-from veritab.llm import minhash, paragraph_dedup, suffix_dedup
+from veritab.llm import minhash, paragraph_dedup, suffix_dedup, textbytes
 from veritab.llm.components import components
 
 
@@ -68,6 +69,42 @@ def test_chain_across_components(spark, monkeypatch, block):
     assert [found[k] for k in range(30)] == brute.components([brute.shingles(t, 2) for t in chain])
 
 
+def crowd(rng, families=40):
+    """Pairs of near copies that share half of their words with all others, in any order."""
+    common, out = prose(rng, 60, 10**6).split(), []
+    for k in range(families):
+        own = [f"own{k}x{j}" for j in range(60)]
+        for side in "ab":
+            out.append(" ".join(common + [w if rng.random() > 0.03 else f"{side}{k}x{j}" for j, w in enumerate(own)]))
+    rng.shuffle(out)
+    return out
+
+
+def linked_within_bands(texts, bands, rows, words=2):
+    """Components by the links of pairs that share any band, by plain comparison of all pairs."""
+    scale = minhash._multipliers(bands * rows)
+    grids = [minhash.registers(x, scale).reshape(bands, rows) for x in minhash.shingle_sets(*textbytes.buffers(pa.array(texts)), words)]
+    sets, low = [brute.shingles(t, words) for t in texts], list(range(len(texts)))
+    meets = lambda i, j: (grids[i] == grids[j]).all(axis=1).any() and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if meets(i, j)]
+    for _ in texts:
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    return low
+
+
+@pytest.mark.parametrize("bands, rows", [(1, 1), (2, 2), (3, 1)])
+@pytest.mark.parametrize("block", [1, 4])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, block, bands, rows):
+    """Near copies that share one band only, in buckets with many members that are alike by half."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    texts = crowd(random.Random(21))
+    found = {r.id: r.component for r in minhash.near_duplicates(frame(spark, texts).selectExpr("doc_id AS id", "text"), 2, 80, bands, rows).collect()}
+    want = linked_within_bands(texts, bands, rows)
+    assert len(set(want)) < len(texts)
+    assert [found[k] for k in range(len(texts))] == want
+
+
 def test_likelihood_keeps_pairs_above_the_threshold():
     rng = np.random.default_rng(2)
     scale = minhash._multipliers(160)

@@ -11,8 +11,8 @@ full sets of all members of shared buckets are written once; (4) each member is
 a centre and two predecessors of its buckets; the joint likelihood of (K_u > K_v, K_u < K_v, K_u = K_v) with
 known set sizes drops pairs for which the threshold is out of reach, the full sets decide
 on the rest; (5) connected components; (6) where a bucket still holds several components, its
-members are compared among themselves.  A large one is banded again first: similar members
-share a second band as well, members that only met by chance do not.  Full sets
+members are compared among themselves.  Those of large ones meet under the rarest items of
+their sets first: similar members share one of them, members that only met by chance do not.  Full sets
 meet block by block, and a spanning forest of the links between components leaves the
 block.  The plan is the same at every size.
 """
@@ -36,7 +36,7 @@ RATE = 20.0
 LIMIT = 65534
 #: Log-likelihood by which the best similarity may beat the threshold before a pair is dropped unseen.
 MARGIN = 9.0
-#: Members of a bucket that are compared in one place; a larger bucket is banded again, and what then is larger becomes pairs of such blocks.
+#: Members of a bucket that are compared in one place; members of a larger bucket meet under their rarest items, and what then is larger becomes pairs of such blocks.
 BLOCK = 1024
 
 
@@ -44,40 +44,59 @@ def _multipliers(m: int) -> np.ndarray:
     return np.random.default_rng(11).integers(0, 1 << 63, m, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
-    """For each document of a batch: the sorted distinct 64-bit hashes of its word shingles.
+def _chunk_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(items, n): the sorted distinct hashes of each document of a chunk, one document after the other, and how many each has."""
+    docs = len(offsets) - 1
+    low = tb.LOWER[data]
+    start, end, doc = tb.words(low, offsets)
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(docs, np.int64)
+    word = tb.slice_hashes(tb.prefix_hashes(tb.byte_values(low)), start, end)
+    n = np.bincount(doc, minlength=docs)
+    to = np.cumsum(n)
+    rolled = np.zeros(len(word), np.uint64)
+    with np.errstate(over="ignore"):
+        for j, c in enumerate(tb.powers(0xD6E8FEB86659FD93, size)):
+            rolled[: len(word) - j] += word[j:] * c if j else word
+        whole = np.arange(len(word)) + size <= to[doc]
+        items, owner = tb.mix(rolled[whole]), doc[whole]
+        few = np.flatnonzero((n > 0) & (n < size))
+        if len(few):
+            at = (n < size)[doc]
+            place = np.arange(len(word))[at] - (to - n)[doc[at]]
+            sums = np.add.reduceat(word[at] * tb.powers(0xA24BAED4963EE407, size + 1)[place + 1], np.flatnonzero(place == 0))
+            items, owner = np.append(items, tb.mix(sums)), np.append(owner, few)
+    order = np.argsort(items)
+    by = owner[order].astype(np.uint16) if docs < 1 << 16 else owner[order]  # a stable sort of short numbers takes one pass
+    order = order[np.argsort(by, kind="stable")]
+    items, owner = items[order], owner[order]
+    once = np.append(True, (items[1:] != items[:-1]) | (owner[1:] != owner[:-1]))
+    return items[once], np.bincount(owner[once], minlength=docs)
+
+
+def chunk_sets(data: np.ndarray, offsets: np.ndarray, size: int):
+    """For each chunk of documents of a batch: the sorted distinct 64-bit hashes of their word shingles, and the size of each set.
 
     Words are lower-cased (A-Z).  A text with fewer words than size counts as one
     shingle, its whole word sequence; one without words has none."""
     for first, last in tb.chunks(offsets):
         base = offsets[first]
-        part, at = tb.LOWER[data[base : offsets[last]]], offsets[first : last + 1] - base
-        start, end, doc = tb.words(part, at)
-        word = tb.slice_hashes(tb.prefix_hashes(tb.byte_values(part)), start, end)
-        n = np.bincount(doc, minlength=last - first)
+        yield _chunk_sets(data[base : offsets[last]], offsets[first : last + 1] - base, size)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
+    """The set of each document of a batch, as chunk_sets gives them."""
+    for items, n in chunk_sets(data, offsets, size):
         to = np.cumsum(n)
-        rolled = np.zeros(len(word), np.uint64)
-        with np.errstate(over="ignore"):
-            for j, c in enumerate(tb.powers(0xD6E8FEB86659FD93, size)):
-                rolled[: len(word) - j] += word[j:] * c if j else word
-        rolled = tb.mix(rolled)
-        for k in range(last - first):
-            if n[k] >= size:
-                yield np.unique(rolled[to[k] - n[k] : to[k] - size + 1])
-            elif n[k]:
-                with np.errstate(over="ignore"):
-                    own = word[to[k] - n[k] : to[k]] * tb.powers(0xA24BAED4963EE407, int(n[k]) + 1)[1:]
-                    yield tb.mix(np.array([own.sum()], np.uint64))
-            else:
-                yield np.zeros(0, np.uint64)
-
-
-def minima(items: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """The least of the items under each of the hash functions."""
-    least = np.full(len(multipliers), ~np.uint64(0))
+        yield from (items[x:y] for x, y in zip((to - n).tolist(), to.tolist(), strict=True))
+
+
+def minima(items: np.ndarray, multipliers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The least of the items under each of the hash functions, of every run of items that begins at one of starts: a row for each."""
+    least = np.empty((len(starts), len(multipliers)), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(0, len(items), 256):
-            np.minimum(least, (multipliers[:, None] * items[None, k : k + 256]).min(axis=1), out=least)
+        for k, c in enumerate(multipliers.tolist()):
+            least[:, k] = np.minimum.reduceat(items * np.uint64(c), starts)
     return least
 
 
@@ -89,7 +108,7 @@ def scaled(least: np.ndarray) -> np.ndarray:
 
 def registers(items: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     """The sketch of one set of 64-bit hashes, as uint16 registers."""
-    return scaled(minima(items, multipliers))
+    return scaled(minima(items, multipliers, np.zeros(1, np.int64))[0])
 
 
 def sketch(docs: DataFrame, words: int, m: int) -> DataFrame:
@@ -99,19 +118,24 @@ def sketch(docs: DataFrame, words: int, m: int) -> DataFrame:
         scale = _multipliers(m)
         for batch in batches:
             data, offsets = tb.buffers(batch.column(1))
-            n, f1, f2, least = [], [], [], []
-            for items in shingle_sets(data, offsets, words):
-                n.append(len(items))
-                with np.errstate(over="ignore"):
-                    f1.append(items.sum(dtype=np.uint64))
-                    f2.append(np.bitwise_xor.reduce(tb.mix(items + np.uint64(99))) if len(items) else np.uint64(0))
-                if len(items):
-                    least.append(minima(items, scale))
-            found = scaled(np.stack(least)).tobytes() if least else b""
-            at = np.cumsum([0] + [2 * m * (k > 0) for k in n]).tolist()
-            out = [found[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-            f1, f2 = (np.array(f, np.uint64).view(np.int64) for f in (f1, f2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), pa.array(out, pa.binary())], ["id", "n", "f1", "f2", "sketch"])
+            sizes, f1, f2, found = [], [], [], []
+            for items, n in chunk_sets(data, offsets, words):
+                some = n > 0
+                starts = (np.cumsum(n) - n)[some]
+                one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+                if len(starts):
+                    with np.errstate(over="ignore"):
+                        one[some] = np.add.reduceat(items, starts)
+                        two[some] = np.bitwise_xor.reduceat(tb.mix(items + np.uint64(99)), starts)
+                    found.append(scaled(minima(items, scale, starts)).tobytes())
+                sizes.append(n)
+                f1.append(one)
+                f2.append(two)
+            n, f1, f2 = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((sizes, np.int64), (f1, np.uint64), (f2, np.uint64)))
+            at = np.append(0, np.cumsum(2 * m * (n > 0))).astype(np.int32)
+            out = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(b"".join(found))])
+            f1, f2 = f1.view(np.int64), f2.view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), out], ["id", "n", "f1", "f2", "sketch"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, n long, f1 long, f2 long, sketch binary")
 
@@ -271,6 +295,12 @@ def _across(placed: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _binary(items: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The sets of a chunk as one binary value each."""
+    at = np.append(0, 8 * np.cumsum(n)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(items.tobytes())])
+
+
 def _sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(id, items): the full sets of the texts with these ids, written once.
 
@@ -279,7 +309,7 @@ def _sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = tb.buffers(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(data, offsets, words)], pa.binary())], ["id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.chunked_array([_binary(*x) for x in chunk_sets(data, offsets, words)], pa.binary()).combine_chunks()], ["id", "items"])
 
     return materialize(docs.select("id", "text").join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(run, "id long, items binary"), "sets")
 
@@ -312,17 +342,39 @@ def _open(placed: DataFrame) -> DataFrame:
     return placed.join(several.drop("components"), "bucket")
 
 
-def _blocks(placed: DataFrame, reps: DataFrame, bands: int, rows: int) -> DataFrame:
+def _prefixes(crowd: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(bucket, id, c): the members of crowd (id, c) under the rarest items of their sets, so many that no link is lost.
+
+    Of two sets of n and k items that are linked, percent / 100 * max(n, k) items are common, so in one order of all items
+    the first n - ceil(percent / 100 * n) + 1 of the one and the like of the other share an item.  Rare ones first, few others share it."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = tb.buffers(batch.column(3))
+            size = np.diff(offsets) // 8
+            number = pa.array(np.repeat(np.arange(len(size)), size))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(number) for k in range(3)), pa.array(np.repeat(size, size)), pa.array(data.view(np.int64))], ["id", "c", "set", "n", "bucket"])
+
+    # repeated rows of one id may have different sets
+    held = crowd.join(full, "id").select("id", "c", F.xxhash64("items").alias("set"), "items").mapInArrow(run, "id long, c long, set long, n long, bucket long")
+    held = materialize(held, "items")
+    held = held.join(held.groupBy("bucket").agg(F.count("*").alias("k")).hint("merge"), "bucket")
+    first = held.groupBy("id", "c", "set", "n").agg(F.sort_array(F.collect_set(F.struct("k", "bucket"))).alias("x"))
+    wanted = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    return first.select(F.explode(F.slice("x", F.lit(1), wanted.cast("int"))).alias("x"), "id", "c").select("x.bucket", "id", "c").distinct()
+
+
+def _blocks(placed: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """(key, id, c): what is to be compared in one place, of the members of open buckets as _open gives them.
 
     Where all but the largest component fit in one block, they go to each block of that component,
-    whose members go to one place each.  Buckets with more of the others are banded again."""
+    whose members go to one place each.  Members of buckets with more of the others meet under the rarest items of their sets
+    instead, which loses no link; where very many share one of those as well, every block of them meets every other."""
     others = F.col("n") - F.col("most")
     crowded = (F.col("n") > BLOCK) & (others > BLOCK)
     if not placed.where(crowded).isEmpty():
-        second = _bands(reps, bands, rows).withColumnRenamed("bucket", "other")
-        again = placed.where(crowded).select("bucket", "id", "c").join(second, "id").where("other <> bucket").select(F.xxhash64("bucket", "other").alias("bucket"), "id", "c")
-        placed = materialize(placed.where(~crowded).unionByName(_open(again)), "open")
+        again = _prefixes(placed.where(crowded).select("id", "c").distinct(), full, percent)
+        placed = materialize(placed.where(~crowded).unionByName(_open(materialize(again, "prefixes"))), "open")
     upto = lambda count: F.sequence(F.lit(0).cast("long"), count - 1)
     all_blocks, main_blocks = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("most") / BLOCK)
     mine = F.pmod(F.xxhash64("id"), all_blocks)
@@ -360,7 +412,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
     placed = materialize(_open(placed), "open")
     if not placed.isEmpty():
-        more = materialize(_across(_blocks(placed, reps, bands, rows), full, percent), "links")
+        more = materialize(_across(_blocks(placed, full, percent), full, percent), "links")
         if not more.isEmpty():
             stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
             groups = materialize(components(stars.union(more)), "groups")
