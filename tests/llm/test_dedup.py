@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from conftest_llm import frame, prose
 
+import corpus_pipeline
 from veritab.llm import minhash, paragraph_dedup, suffix_dedup, textbytes
 from veritab.llm.components import components
 
@@ -69,13 +70,13 @@ def test_chain_across_components(spark, monkeypatch, block):
     assert [found[k] for k in range(30)] == brute.components([brute.shingles(t, 2) for t in chain])
 
 
-def crowd(rng, families=40):
+def crowd(rng, families=40, share=0.03):
     """Pairs of near copies that share half of their words with all others, in any order."""
     common, out = prose(rng, 60, 10**6).split(), []
     for k in range(families):
         own = [f"own{k}x{j}" for j in range(60)]
         for side in "ab":
-            out.append(" ".join(common + [w if rng.random() > 0.03 else f"{side}{k}x{j}" for j, w in enumerate(own)]))
+            out.append(" ".join(common + [w if rng.random() > share else f"{side}{k}x{j}" for j, w in enumerate(own)]))
     rng.shuffle(out)
     return out
 
@@ -105,6 +106,17 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch, block, bands, rows):
     assert [found[k] for k in range(len(texts))] == want
 
 
+def test_crowded_paragraphs_lose_no_link(spark, monkeypatch):
+    """The same among lines, of which the later one of each group goes."""
+    for module, name, value in ((minhash, "BLOCK", 1), (paragraph_dedup, "BANDS", 2), (paragraph_dedup, "ROWS", 2)):
+        monkeypatch.setattr(module, name, value)
+    texts = crowd(random.Random(22), share=0.015)
+    found = {r.doc_id: r.removed for r in paragraph_dedup.repeated_paragraphs(frame(spark, texts)).collect()}
+    want = linked_within_bands(texts, 2, 2, 5)
+    assert len(set(want)) < len(texts)
+    assert found == {k: [0] for k, low in enumerate(want) if k != low}
+
+
 def test_likelihood_keeps_pairs_above_the_threshold():
     rng = np.random.default_rng(2)
     scale = minhash._multipliers(160)

@@ -203,7 +203,7 @@ def _with_marks(batch: pa.RecordBatch, column: int):
 def _ends(marked: DataFrame) -> DataFrame:
     """(doc_id, ends): words beside shared segments up to which an earlier text reads the same; 2 * number of the word.
 
-    Where a shared segment stands beside one that is not, and beside any where it is the first of its kind, the text from it to each word of the
+    Where a shared segment stands beside one that repeats no earlier one, and beside any where it is the first of its kind, the text from it to each word of the
     other, and a little further, is a unit of its own; so passages reach to their first and last word, and to an edit from both sides."""
 
     def cut(batches):
@@ -219,7 +219,7 @@ def _ends(marked: DataFrame) -> DataFrame:
                 for step in (1, -1):
                     k = np.flatnonzero(shared)
                     beside, far = np.clip(k + step, 0, last), np.clip(k + 2 * step, 0, last)
-                    near, more = ((x != k) & (s.doc[x] == s.doc[k]) & (first[k] | ~shared[x]) for x in (beside, far))
+                    near, more = ((x != k) & (s.doc[x] == s.doc[k]) & (first[k] | ~repeated[x]) for x in (beside, far))
                     more &= far != beside
                     width = s.to - s.at
                     size = np.where(near, width[beside] + np.where(more, np.minimum(REACH, width[far]), 0), 0)
