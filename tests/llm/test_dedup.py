@@ -117,6 +117,18 @@ def test_crowded_paragraphs_lose_no_link(spark, monkeypatch):
     assert found == {k: [0] for k, low in enumerate(want) if k != low}
 
 
+def test_crowded_documents_in_the_pipeline_lose_no_link(spark, monkeypatch):
+    """The stage keeps one document of each group."""
+    whole = minhash.near_duplicates
+    monkeypatch.setattr(minhash, "BLOCK", 1)
+    monkeypatch.setattr(minhash, "near_duplicates", lambda docs, words, percent: whole(docs, words, percent, 1, 1))
+    texts = crowd(random.Random(31), share=0.015)
+    kept = dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, frame(spark, texts), "")
+    want = linked_within_bands(texts, 1, 1, 5)
+    assert len(set(want)) < len(texts)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+
+
 def test_likelihood_keeps_pairs_above_the_threshold():
     rng = np.random.default_rng(2)
     scale = minhash._multipliers(160)
