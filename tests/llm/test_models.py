@@ -1,5 +1,7 @@
 import os
+import random
 import sys
+from collections import Counter
 
 import brute
 import numpy as np
@@ -112,6 +114,27 @@ def test_language(spark, docs, empty):
     assert {(r.lang_pred, r.score) for r in unknown} == {("und", 0.0)}
 
 
+def test_every_language_is_learned(spark):
+    """Many languages with one document each; none is too rare."""
+    rng = random.Random(41)
+    words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(30)] for _ in range(505)]
+    rows = [(k, " ".join(w), f"l{k:03}") for k, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.languages == [lang for _, _, lang in rows]
+    found = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert sum(found[k] == lang for k, _, lang in rows[-5:]) >= 4
+
+
+def test_copies_of_a_document_take_no_language_away(spark, monkeypatch):
+    """Rows of one doc_id and text are chosen all or none."""
+    monkeypatch.setattr(language_id, "DOCUMENTS_PER_LANGUAGE", 5)
+    for first in range(3):
+        rows = [(first, "ein Satz", "de")] * 60 + [(100 + k, f"one sentence {k}", "en") for k in range(12)]
+        chosen = Counter(r["lang"] for r in language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+        assert chosen["de"] == 10 and 1 <= chosen["en"] <= 10
+
+
 def test_predictions_do_not_use_lang_source_or_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language_id.fit(docs)

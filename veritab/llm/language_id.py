@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .pretokens import LETTER, _classes
-from .shared import clashing
+from .shared import attach, clashing, materialize
 
-#: Documents of a language that are trained on, about, and languages, the most frequent ones; the only bounds that are not over all data.
-DOCUMENTS_PER_LANGUAGE, LANGUAGES = 800, 500
+#: Documents of a language that are trained on, about; the only bound that is not over all data.  Every language is learned.
+DOCUMENTS_PER_LANGUAGE = 800
 WIDTH = 1 << 14
 #: Follow-the-regularised-leader: step sizes, penalties and rounds.
 ALPHA, BETA, L1, L2, ROUNDS = 0.5, 1.0, 0.02, 0.001, 3
@@ -82,11 +82,14 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample(docs: DataFrame) -> list:
-    """About DOCUMENTS_PER_LANGUAGE rows (lang, slots, counts) of each language, chosen by a hash of doc_id."""
-    many = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not many:
-        return []
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(many.items()) for x in (lang, int((1 << 20) * min(1.0, DOCUMENTS_PER_LANGUAGE / n)))])
+    """About DOCUMENTS_PER_LANGUAGE rows (lang, slots, counts) of each language, chosen by a hash of doc_id and text.
+
+    Copies of a row hash alike: the row of a language's least hash is chosen at any rate, and where copies
+    are many each language is cut at twice its size, so none takes the place of another."""
+    docs = docs.select("doc_id", "text", "lang")
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 20))
+    share = F.floor((1 << 20) * F.least(F.lit(1.0), DOCUMENTS_PER_LANGUAGE / F.count("*")))
+    bounds = materialize(docs.groupBy("lang").agg(F.greatest(share, F.min(chance) + 1).alias("bound")), "languages")
 
     def run(batches):
         for batch in batches:
@@ -97,10 +100,10 @@ def sample(docs: DataFrame) -> list:
                 counts.append(np.minimum(c[used], 65535).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "lang", "slots", "counts"])
 
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 20)) < share[F.col("lang")])
-    # copies hash alike, so where they are many the sample is cut at twice its size
-    found = chosen.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, slots binary, counts binary").orderBy("doc_id", "lang", "slots", "counts")
-    rows = found.limit(2 * DOCUMENTS_PER_LANGUAGE * len(many)).collect()
+    chosen = attach(docs, bounds, "lang").where(chance < F.col("bound"))
+    found = chosen.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, slots binary, counts binary")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id", "slots", "counts"))
+    rows = found.withColumn("nth", nth).where(F.col("nth") <= 2 * DOCUMENTS_PER_LANGUAGE).drop("nth").collect()
     return sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["slots"]))
 
 
